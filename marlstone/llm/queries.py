@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, substring_dedup, url_filter
+from . import bpe, decontamination, exact_dedup, line_dedup, quality, sharding, simhash, substring_dedup, url_filter, warc
 
 #: (verdict, host, path prefix)
 URL_RULES = [
@@ -19,16 +20,36 @@ URL_RULES = [
 REPEAT_WORDS = 35
 SIMHASH_BITS = 4
 SIMHASH_SHINGLE = 4
+#: Added to the labelled share of good documents, so that sampling noise costs few of them.
+QUALITY_MARGIN = 0.02
+SHARD_BYTES = 8 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), margin=QUALITY_MARGIN)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), REPEAT_WORDS)
 
@@ -37,17 +58,69 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), SIMHASH_BITS, SIMHASH_SHINGLE)
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Encode documents by the byte-level vocabulary and decode them again."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=with_ids)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_OP1 = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+o AS (SELECT h, min(page_id) AS owner FROM q WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to, p.url, true AS digest_ok
+FROM q JOIN p USING (page_id) LEFT JOIN o USING (h)
+"""
+
+# The share of equal lines is found by hash; candidates for one edit share a half.
+_OP3 = r"""
+WITH o AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT line, min({'d': doc_id, 'k': k}) AS first, length(line) AS n FROM o
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+), b AS (
+  SELECT line, first, n, unnest([n, n - 1]) AS base FROM f WHERE n >= 20
+), h AS (
+  SELECT line, first, n, base, 'p' AS side, left(line, base // 2) AS half FROM b
+  UNION ALL SELECT line, first, n, base, 's', right(line, base - base // 2) FROM b
+), c AS (
+  SELECT DISTINCT x.line AS late, y.line AS early, x.n AS nl, y.n AS ne
+  FROM h AS x JOIN h AS y ON x.base = y.base AND x.side = y.side AND x.half = y.half AND y.first < x.first
+), e AS (
+  SELECT DISTINCT late FROM c WHERE abs(nl - ne) <= 1 AND (
+    nl = ne AND len(list_filter(range(1, nl + 1), lambda i: late[i] <> early[i])) <= 1
+    OR nl > ne AND len(list_filter(range(1, nl + 1), lambda i: left(late, i - 1) || substr(late, i + 1) = early)) > 0
+    OR nl < ne AND len(list_filter(range(1, ne + 1), lambda i: left(early, i - 1) || substr(early, i + 1) = late)) > 0)
+), g AS (
+  SELECT o.doc_id, o.k, o.line, f.first IS NOT NULL AND (f.first <> {'d': o.doc_id, 'k': o.k} OR e.late IS NOT NULL) AS gone
+  FROM o LEFT JOIN f ON f.line = o.line LEFT JOIN e ON e.late = o.line
+), r AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone::BIGINT)::BIGINT AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
+  FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN r USING (doc_id)
+"""
+
 _OP4 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -55,6 +128,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 FROM d JOIN g USING (t)
 """
 
+_OP5 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), l AS (
+  SELECT *, depth, h >> (60 - depth) AS prefix FROM d, range(0, 25) AS r(depth)
+), s AS (
+  SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY ALL
+), m AS (
+  SELECT doc_id, h, n_bytes, min(depth) AS depth FROM l JOIN s USING (depth, prefix)
+  WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes,
+       CASE WHEN m.depth = 0 THEN 'all' ELSE lpad(bin(h >> (60 - m.depth)), m.depth::INTEGER, '0') END AS shard,
+       m.depth::INTEGER AS depth, shard_bytes, shard_rows
+FROM m JOIN s ON s.depth = m.depth AND s.prefix = m.h >> (60 - m.depth)
+"""
+
 _OP6 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
@@ -78,6 +170,33 @@ WITH d AS (
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM f
 """
 
+def _masked(alias: str, offsets: tuple[int, ...]) -> str:
+    return " || ' ' || ".join(f"{alias}[i + {o + 1}]" for o in offsets)
+
+
+_OP10 = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v FROM benchmark
+), dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {decontamination.SPAN} + 1)) AS i FROM d),
+bp AS (SELECT item_id, v, unnest(range(0, len(v) - {decontamination.SPAN} + 1)) AS i FROM b),
+ds AS ({" UNION ALL ".join(f"SELECT doc_id, w, i, {k} AS m, {_masked('w', s)} AS x FROM dp" for k, s in enumerate(decontamination.SEEDS))}),
+bs AS ({" UNION ALL ".join(f"SELECT item_id, v, i, {k} AS m, {_masked('v', s)} AS x FROM bp" for k, s in enumerate(decontamination.SEEDS))}),
+h AS (
+  SELECT DISTINCT doc_id, item_id, ds.i AS p, bs.i AS q, w, v, least(len(v), {decontamination.WINDOW}) AS width
+  FROM ds JOIN bs ON ds.m = bs.m AND ds.x = bs.x
+), y AS (
+  SELECT DISTINCT doc_id, item_id FROM h
+  WHERE list_max(list_transform(
+    range(greatest(0, q + {decontamination.SPAN} - width), least(q, len(v) - width) + 1),
+    lambda s: len(list_filter(range(s, s + width), lambda j: v[j + 1] = w[CASE WHEN p - q + j >= 0 THEN p - q + j + 1 ELSE 0 END]))
+  )) >= ceil(width * {decontamination.SHARE})
+), z AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids FROM y GROUP BY doc_id)
+SELECT documents.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids
+FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id
+"""
+
 _OP9 = """
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -99,8 +218,17 @@ FROM h LEFT JOIN (SELECT * FROM m WHERE k = 1) AS m ON h.page_id = m.page_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_substring_dedup, op7_simhash, op8_bpe, op9_url_filter)}
+    each = (op1_warc, op2_quality, op3_line_dedup, op4_exact_dedup, op5_sharding, op6_substring_dedup, op7_simhash, op8_bpe, op9_url_filter, op10_decontamination)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op6_substring_dedup": _OP6, "op9_url_filter": _OP9}
+    return {
+        "op1_warc": _OP1,
+        "op3_line_dedup": _OP3,
+        "op4_exact_dedup": _OP4,
+        "op5_sharding": _OP5,
+        "op6_substring_dedup": _OP6,
+        "op9_url_filter": _OP9,
+        "op10_decontamination": _OP10,
+    }

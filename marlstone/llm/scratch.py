@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: list[str] = []
 
@@ -49,3 +50,16 @@ def discard(*tables: DataFrame) -> None:
         for root in roots:
             path = spark._jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a staged table of a few numbers that may be broadcast.
+LOOKUP_ROWS = 400_000
+
+
+def lookup(table: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if it is small enough.
+
+    Its rows are counted first. A larger table is left to a shuffled join, whose
+    keys are then many.
+    """
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
