@@ -68,11 +68,11 @@ def _context(hashes: Column, at: Column) -> Column:
 def benchmark_seeds(items: DataFrame, masks: list[tuple[int, tuple[int, ...]]], id_col: str, text_col: str) -> DataFrame:
     """(seed, item_id, q, n, ictx): every seed of every item with its context."""
     rows = items.select(F.col(id_col).alias("item_id"), F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w)).alias("ih")).withColumn("n", F.size("ih"))
-    seeds = rows.withColumn("seeds", _seeds(F.col("ih"), masks)).select("item_id", "n", "ih", F.posexplode("seeds").alias("mask", "list"))
+    seeds = rows.withColumn("seeds", _seeds(F.col("ih"), masks)).select("item_id", "n", "ih", F.posexplode_outer("seeds").alias("mask", "list"))
     spans = F.element_at(F.array(*(F.lit(s) for s, _ in masks)), F.col("mask") + 1)
     # The seed of a short length is meant for items of just that length.
     seeds = seeds.withColumn("span", spans).where((F.col("span") == SPAN) | (F.col("span") == F.col("n")))
-    return seeds.select("item_id", "n", "ih", "span", F.posexplode("list").alias("q", "seed")).select("item_id", "n", "q", "span", "seed", _context(F.col("ih"), F.col("q")).alias("ictx"))
+    return seeds.select("item_id", "n", "ih", "span", F.posexplode_outer("list").alias("q", "seed")).select("item_id", "n", "q", "span", "seed", _context(F.col("ih"), F.col("q")).alias("ictx"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -90,8 +90,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted = staged(bench.select("seed").distinct(), "benchmark-hashes")
     few = wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     rows = docs.select(F.col(id_col).alias("doc_id"), F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w)).alias("dh"))
-    seeds = rows.withColumn("seeds", _seeds(F.col("dh"), masks)).select("doc_id", "dh", F.explode("seeds").alias("list"))
-    seeds = seeds.select("doc_id", "dh", F.posexplode("list").alias("p", "seed"))
+    seeds = rows.withColumn("seeds", _seeds(F.col("dh"), masks)).select("doc_id", "dh", F.explode_outer("seeds").alias("list"))
+    seeds = seeds.select("doc_id", "dh", F.posexplode_outer("list").alias("p", "seed"))
     hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed", "left_semi").select("doc_id", "seed", _context(F.col("dh"), F.col("p")).alias("dctx"))
     hits = staged(hits, "seed-hits")
     pairs = hits.join(bench, "seed")

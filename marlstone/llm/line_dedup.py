@@ -39,7 +39,7 @@ def _order() -> Column:
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, line_no, line) of every line that is not blank."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(_split(F.col(text_col))).alias("line_no", "line"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode_outer(_split(F.col(text_col))).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
