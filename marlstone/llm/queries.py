@@ -21,7 +21,7 @@ REPEAT_WORDS = 35
 SIMHASH_BITS = 4
 SIMHASH_SHINGLE = 4
 #: Added to the labelled share of good documents, so that sampling noise costs few of them.
-QUALITY_MARGIN = 0.02
+QUALITY_MARGIN = 0.005
 SHARD_BYTES = 8 << 20
 
 
