@@ -2,12 +2,13 @@
 
 Two generative models of hashed word n-grams (unigrams and bigrams in a fixed
 number of buckets) are estimated: one from target text, the documents labelled
-good, one from all raw text. The log importance weight of a document is the sum
-over its n-grams of log(target probability / raw probability). Documents are
-drawn without replacement by Gumbel top-k: to each log weight a Gumbel variate
-is added, and the k largest sums stay (Xie et al., "Data selection for language
-models via importance resampling", 2023). The variate comes from a hash of the
-id, so a document has the same one at every run and on every machine.
+good, one from all raw text. The log importance weight of a document is the mean
+over its n-grams of log(target probability / raw probability), taken for a text
+of a fixed length; the plain sum would rank documents by their length first.
+Documents are drawn without replacement by Gumbel top-k: to each log weight a
+Gumbel variate is added, and the k largest sums stay (Xie et al., "Data selection
+for language models via importance resampling", 2023). The variate comes from a
+hash of the id, so a document has the same one at every run and on every machine.
 
 Counting emits one dense vector per task; the driver sees two vectors of the
 fixed bucket number. The k-th largest sum is found by narrowing histograms of a
@@ -31,8 +32,10 @@ from .words import WordHashes, chunks, mixed
 BUCKETS = 1 << 16
 #: Labelled target documents of which the target model is made at most (those of smallest id hash).
 TARGET_DOCUMENTS = 50_000
-#: Pseudo-count of each bucket, in units of the other model's share.
-SMOOTHING = 500.0
+#: Part of the raw model that is mixed into the target model.
+SMOOTHING = 0.1
+#: Number of n-grams for which weights are given.
+REFERENCE = 200
 _BINS = 1024
 
 
@@ -64,8 +67,8 @@ def target_ids(labels: DataFrame, limit: int = TARGET_DOCUMENTS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int = TARGET_DOCUMENTS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) of every bucket; raw counts are of all documents.
 
-    Each model is smoothed towards the raw shares, so a bucket that the target
-    has never seen keeps a finite, very low, weight. Without target text all
+    The target model is mixed with the raw one, so a bucket that the target has
+    never seen keeps a finite weight, log(smoothing). Without target text all
     weights are zero.
     """
     # At most ``limit`` ids of eight bytes, whatever the corpus.
@@ -93,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int =
     if not target.sum():
         return np.zeros(buckets)
     share = (raw + 1) / (raw.sum() + buckets)
-    model = (target + smoothing * share) / (target.sum() + smoothing)
+    model = (1 - smoothing) * target / target.sum() + smoothing * share
     return np.log(model / share)
 
 
@@ -110,7 +113,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 found, owner = _features(texts, vocabulary, len(table))
                 n = np.bincount(owner, minlength=len(texts))
                 total = np.bincount(owner, weights=table[found], minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(total)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(REFERENCE * total / np.maximum(n, 1))], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     return map_arrow(rows, run, "doc_id long, n_grams long, log_weight double")
