@@ -142,7 +142,7 @@ WITH d AS (
   WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL
 )
 SELECT doc_id, n_bytes::BIGINT AS n_bytes,
-       CASE WHEN m.depth = 0 THEN 'all' ELSE lpad(bin(h >> (60 - m.depth)), m.depth::INTEGER, '0') END AS shard,
+       's' || CASE WHEN m.depth = 0 THEN '' ELSE lpad(bin(h >> (60 - m.depth)), m.depth::INTEGER, '0') END AS shard,
        m.depth::INTEGER AS depth, shard_bytes, shard_rows
 FROM m JOIN s ON s.depth = m.depth AND s.prefix = m.h >> (60 - m.depth)
 """

@@ -72,8 +72,9 @@ def build_directory(sizes: DataFrame, limit: int, step: int = STEP) -> DataFrame
 
 
 def shard_name(depth: Column, prefix: Column) -> Column:
-    """The bits of a bucket as text; 'all' for the bucket of no bits."""
-    return F.when(depth == 0, F.lit("all")).otherwise(F.lpad(F.conv(prefix.cast("string"), 10, 2), depth, F.lit("0")))
+    """``s`` and the bits of a bucket; with the letter, no reader of folders takes it for a number."""
+    bits = F.lpad(F.conv(prefix.cast("string"), 10, 2), depth, F.lit("0"))
+    return F.concat(F.lit("s"), F.when(depth == 0, F.lit("")).otherwise(bits))
 
 
 def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:

@@ -218,7 +218,7 @@ def test_shards_match_brute_force(spark, awkward, limit, step):
         for d in range(61):
             inside = [(x, n) for x, n in rows if x >> (60 - d) == h >> (60 - d)]
             if sum(n for _, n in inside) <= limit or d == 60:
-                return d, sum(n for _, n in inside), len(inside), (format(h >> (60 - d), f"0{d}b") if d else "all")
+                return d, sum(n for _, n in inside), len(inside), "s" + (format(h >> (60 - d), f"0{d}b") if d else "")
 
     want = Counter((i, len((t or "").encode()), *bucket(h)) for (i, t), (h, _) in zip(awkward, rows))
     assert Counter((r.doc_id, r.n_bytes, r.depth, r.shard_bytes, r.shard_rows, r.shard) for r in got) == want
