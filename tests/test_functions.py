@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from marlstone.functions import cleaning, extraction, predicates, tokens
+from marlstone.functions import cleaning, extraction, predicates, tokens, understanding
 from marlstone.operators import chunking, evaluation, indicators, knowledge, retrieval
 from marlstone.sources import readers
 from marlstone.streaming import ingest
@@ -58,6 +58,18 @@ def test_extraction(spark):
     assert one(spark, "股价上涨突破", extraction.sentiment) == "positive"
 
 
+def test_json_in_text():
+    assert understanding.first_json('x {"a": "}\\"{", "b": [1]} y') == '{"a": "}\\"{", "b": [1]}'
+    assert understanding.first_json("{1} ```json\n[2]\n```") == "[2]"
+    assert understanding.first_json("{ open [3] ") == "[3]" and understanding.first_json(None) is None
+
+
+def test_query_dates(spark):
+    rows = spark.createDataFrame([("近一周走势",), ("2024-01-05 公告",), ("none",)], "text string")
+    got = [tuple(map(str, r[0])) for r in rows.select(understanding.date_range(F.col("text"), F.lit("2024-03-10").cast("date"))).collect()]
+    assert got == [("2024-03-03", "2024-03-10"), ("2024-01-05", "2024-01-05"), ("None", "None")]
+
+
 def test_chunks_cover_the_text(spark):
     text = ("Satz eins. " * 30 + "\n") * 4 + "x" * 1200
     parts = chunking.merge_small(chunking.split_text(text, 500), 50)
@@ -73,7 +85,7 @@ def test_context_budget(spark):
     rows = [(1, 10, 1, 0.9, "a" * 30 + ". " + "b" * 30), (1, 11, 2, 0.8, "c. " * 20), (1, 12, 3, 0.7, "d" * 50)]
     items = spark.createDataFrame(rows, "query_id int, key long, rank int, score double, text string")
     got = {r.key: (r.used_chars, r.status) for r in chunking.build_context(items, 100, 10).collect()}
-    assert got[10] == (62, "kept") and got[11] == (37, "cut") and got[12] == (0, "dropped")
+    assert got[10] == (62, "kept") and got[11] == (38, "cut") and got[12] == (0, "dropped")
 
 
 def test_bm25_clamp_and_repeated_terms(spark):
@@ -142,11 +154,11 @@ def test_stream_counts_like_a_batch(spark, sf):
     folder = pathlib.Path(tempfile.mkdtemp())
     shutil.copy(f"{sf}/events.parquet", folder)
     schema = spark.read.parquet(str(folder)).schema
-    counts = ingest.windowed_counts(ingest.deduplicated(ingest.read_stream(spark, str(folder), schema), "event_id", "ts"), "ts", "event_type")
+    counts = ingest.windowed_counts(ingest.deduplicated(ingest.read_stream(spark, str(folder), schema), "event_id", "ts"), "ts", "event_type", late=None)
     running = counts.writeStream.format("memory").queryName("windowed").outputMode("append").start()
     running.processAllAvailable()
     running.stop()
     batch = spark.read.parquet(str(folder)).groupBy(F.window("ts", "10 minutes").start.alias("start"), "event_type").count()
-    late = spark.table("windowed")
+    late = spark.table("windowed").withColumn("start", F.col("start").cast("timestamp_ntz"))
     assert late.count() > 0
     assert late.join(batch, ["start", "event_type"]).where("n <> count").count() == 0
