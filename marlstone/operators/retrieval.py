@@ -7,6 +7,7 @@ rank, score). Ties are broken by key, so results are stable.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +69,24 @@ def jaccard_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str =
     return top_k(common.select("query_id", "key", F.round(score, 6).alias("score")), k).select("query_id", "key", "rank", "score")
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block_values: int = QUERY_VALUES) -> DataFrame:
     """Exact cosine of every query against every row, in blocks: (query_id, key, rank, score).
 
-    A vector of norm zero, a null one or one of another length scores 0. The
-    queries are a stated, counted set; each task keeps only its k best per query.
+    A vector of norm zero, a null one or one of another length scores 0. Queries
+    are a stated set; they are broadcast in blocks of about block_values
+    numbers, each against all rows, and a task keeps only its k best per query.
     """
-    rows = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").collect()
-    if sum(len(r["v"]) for r in rows) > QUERY_VALUES:
-        raise ValueError("too many query values for one broadcast; search them in parts")
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    values = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    blocks = max(1, -(-values // block_values))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_search_block(vectors, asked.where(block == i) if blocks > 1 else asked, k, key, vector) for i in range(blocks)]
+    return top_k(reduce(DataFrame.unionByName, parts), k).select("query_id", "key", "rank", "score")
+
+
+def _search_block(vectors: DataFrame, asked: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """The k best rows of each task for one block of queries."""
+    rows = asked.collect()
     width = max((len(r["v"]) for r in rows), default=0)
     matrix = np.array([list(r["v"]) + [0.0] * (width - len(r["v"])) for r in rows]).reshape(len(rows), width)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -91,7 +101,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
             given = batch.column(1)
             block = np.zeros((len(keys), unit.shape[1]))
             lengths = np.asarray(given.value_lengths().fill_null(0))
-            same = lengths == unit.shape[1]
+            same = (lengths == unit.shape[1]) & (lengths > 0)
             if same.any():
                 block[same] = np.asarray(given.filter(pa.array(same)).flatten()).reshape(-1, unit.shape[1])
             size = np.linalg.norm(block, axis=1)
@@ -103,8 +113,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
             rows = np.repeat(np.arange(len(ids)), take)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(keys[best.ravel()], pa.int64()), pa.array(scores[rows, best.ravel()])], schema=kinds)
 
-    found = map_arrow(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")), run, "query_id long, key long, score double")
-    return top_k(found, k).select("query_id", "key", "rank", "score")
+    return map_arrow(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")), run, "query_id long, key long, score double")
 
 
 def dedupe_ranked(hits: DataFrame, group: Column) -> DataFrame:

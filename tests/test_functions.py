@@ -106,6 +106,7 @@ def test_fusion_counts_a_key_once_per_channel(spark):
 def test_cosine_takes_zero_and_null_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0])], "vec_id long, embedding array<float>")
     hits = retrieval.cosine_search(rows, rows.where("vec_id = 0"), 4).collect()
+    assert retrieval.cosine_search(rows, rows.where("vec_id <> 2"), 1, block_values=2).count() == 3
     assert [(h.key, h.score) for h in sorted(hits, key=lambda h: h.rank)] == [(0, 1.0), (1, 0.0), (2, 0.0), (3, 0.0)]
 
 
