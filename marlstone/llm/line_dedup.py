@@ -144,11 +144,11 @@ def _near_lines(found: DataFrame, distinct: DataFrame, candidates: DataFrame) ->
     return staged(checked.select("h1", "h2").distinct(), "near-lines")
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
-    """``docs`` with the repeated lines cut out of the text, and two more columns.
+def line_dedup(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS, counts: bool = True) -> DataFrame:
+    """``docs`` with the repeated lines cut out of the text.
 
-    Adds n_lines and n_removed; other columns stay as they are (extra columns of
-    any other name are passed through). A null text stays null with no lines; an
+    Other columns stay as they are. With ``counts`` there are also n_lines and
+    n_removed, in place of columns of those names. A null text stays null with no lines; an
     empty text has one blank line. Rows that share id and text are treated
     alike, so both keep the lines that they own. Documents are never dropped: one
     whose lines all go has an empty text.
@@ -162,4 +162,7 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     text = F.when(F.col("gone").isNull(), whole).otherwise(left)
     columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    if not counts:
+        return joined.select(*columns)
+    columns = [c for c, name in zip(columns, docs.columns, strict=True) if name not in ("n_lines", "n_removed")]
     return joined.select(*columns, F.coalesce(F.when(whole.isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

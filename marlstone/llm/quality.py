@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..session import map_arrow
+from ..session import map_arrow, share_package
 from .scratch import staged
 from .words import WordHashes, chunks, mixed
 
@@ -100,6 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int =
     return np.log(model / share)
 
 
+def _weights(texts: list[bytes], vocabulary: WordHashes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of n-grams and log weight of each text."""
+    found, owner = _features(texts, vocabulary, len(table))
+    n = np.bincount(owner, minlength=len(texts))
+    return n, REFERENCE * np.bincount(owner, weights=table[found], minlength=len(texts)) / np.maximum(n, 1)
+
+
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_grams, log_weight) of every row; a null text has no n-grams and weight 0."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -110,10 +118,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         for batch in batches:
             ids = batch.column(0)
             for start, texts in chunks(batch, 1):
-                found, owner = _features(texts, vocabulary, len(table))
-                n = np.bincount(owner, minlength=len(texts))
-                total = np.bincount(owner, weights=table[found], minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(REFERENCE * total / np.maximum(n, 1))], schema=kinds)
+                n, values = _weights(texts, vocabulary, table)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(values)], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     return map_arrow(rows, run, "doc_id long, n_grams long, log_weight double")
@@ -156,6 +162,13 @@ def labelled_share(labels: DataFrame, fallback: float = 1.0) -> float:
     return fallback if row[0] is None else row[0]
 
 
+def _threshold(scored: DataFrame, labels: DataFrame, share: float | None, margin: float) -> float:
+    """The smallest gumbel_key that stays."""
+    n = scored.count()
+    k = min(n, math.ceil(n * min(1.0, (labelled_share(labels) + margin) if share is None else share)))
+    return kth_largest(scored, "gumbel_key", k) if k else math.inf
+
+
 def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
     """Resample a share of the documents: (doc_id, n_grams, log_weight, gumbel_key, kept).
 
@@ -166,17 +179,34 @@ def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, mar
     variate. An empty table gives an empty result.
     """
     scored = staged(score(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **model), id_col, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "scores")
-    n = scored.count()
-    k = min(n, math.ceil(n * min(1.0, (labelled_share(labels) + margin) if share is None else share)))
-    least = kth_largest(scored, "gumbel_key", k) if k else math.inf
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(least))
+    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(_threshold(scored, labels, share, margin)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all columns.
+def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all columns.
 
-    Of rows that repeat an id all stay if one is kept.
+    The model is fitted and the threshold found as there; then each row is
+    scored again where it is read and compared, so no text is shuffled at any
+    size. Rows that share an id are judged by their own texts.
     """
-    kept = classify(docs, labels, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = staged(kept, "kept-ids")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    weights = fit(docs, labels, id_col=id_col, text_col=text_col, **model)
+    scored = staged(score(docs, weights, id_col, text_col).select((F.col("log_weight") + gumbel(F.col("doc_id"), seed)).alias("gumbel_key")), "scores")
+    least = _threshold(scored, labels, share, margin)
+    weight = "log_weight"
+    while weight in docs.columns:
+        weight += "_"
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, table = WordHashes(), shared.value
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.binary())], ["text"])
+            for start, some in chunks(texts, 0):
+                part = batch.slice(start, len(some))
+                _, values = _weights(some, vocabulary, table)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*part.schema.names, weight])
+
+    share_package(docs.sparkSession)
+    both = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(weight, DoubleType())]))
+    return both.where(F.col(weight) + gumbel(F.col(id_col).cast("long"), seed) >= F.lit(least)).drop(weight)

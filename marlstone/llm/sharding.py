@@ -95,9 +95,15 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` with a folder for each shard below ``path``; the assignment is returned."""
+    """Write ``docs`` with a folder for each shard below ``path``; the assignment is returned.
+
+    The folders are named by column shard, or shard_ and so on if ``docs`` has one.
+    """
     shards = staged(assign_shards(docs, limit, id_col, text_col), "shards")
-    named = shards.select(F.col("doc_id").alias("shard_doc"), "shard").distinct()
-    out = docs.join(named, docs[id_col].eqNullSafe(named["shard_doc"])).drop("shard_doc")
-    out.repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    named = shards.select(F.col("doc_id").alias("doc_of_shard"), F.col("shard").alias(name)).distinct()
+    out = docs.join(named, docs[id_col].eqNullSafe(named["doc_of_shard"])).drop(named["doc_of_shard"])
+    out.repartition(F.col(name)).write.partitionBy(name).parquet(path)
     return shards

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow
 from .components import connected_components
-from .scratch import discard, staged
+from .scratch import discard, lookup, staged
 
 #: Points of one cell that one task compares; larger cells go block against block.
 CELL_POINTS = 16_384
 #: Cells up to this size are compared all at once over a whole batch.
 SMALL_CELL = 24
+#: Measured costs of a shuffled row, a step through a large cell, and a comparison.
+ROW_NS, WALK_NS, COMPARE_NS = 2_000, 10_000, 3
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -90,16 +92,18 @@ def projections(groups: int, radius: int) -> list[int]:
 
 
 def grid_groups(points: int, radius: int) -> int:
-    """Fewest axis groups for which a point meets few strangers in its cells.
+    """The number of axis groups of least cost; every choice finds all pairs.
 
-    A segment of random fingerprints agrees with probability 3/8. The choice
-    changes only the cost: every choice finds all pairs.
+    A point costs each projection a shuffled row, a walk through its cell unless
+    that is small, and a comparison with each stranger in it. Two-bit counts of
+    random fingerprints agree with probability 3/8.
     """
-    for groups in range(radius + 2, 13):
-        share = 0.375 ** (32 * (groups - radius) / groups)
-        if points * comb(groups, radius) * share <= 4096:
-            break
-    return groups
+
+    def cost(groups: int) -> float:
+        strangers = points * 0.375 ** (32 * (groups - radius) / groups)
+        return comb(groups, radius) * (ROW_NS + (WALK_NS if strangers > SMALL_CELL else 0) + COMPARE_NS * strangers)
+
+    return min(range(radius + 1, radius + 9), key=cost)
 
 
 def _close(fp: np.ndarray, un: np.ndarray, one_fp, one_un, radius: int) -> np.ndarray:
@@ -254,7 +258,10 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) ->
     """The rows of ``docs`` that have the smallest id of their class, with all columns.
 
     Rows that repeat the smallest id all stay, as do classes of null ids only.
+    The ids that go are joined, not those that stay: they are fewer, and while
+    they may be broadcast the texts are not shuffled.
     """
     classes = simhash_components(docs, id_col=id_col, **options)
-    kept = staged(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = staged(classes.groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select(F.col("doc_id").alias("gone_id")), "dropped-ids")
+    return docs.join(lookup(gone), docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -178,6 +178,8 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     copied = distinct.where("c > 1").select(*key)
     whole = runs.select("doc_id", "th", "s0", *key).join(copied, key, "left_semi").select("doc_id", "th", "s0", (F.col("s0") + F.col("n") - 1 + length).alias("end"))
     mixed = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("h")
+    # Written on its own, so that a join on a common anchor can be split.
+    mixed = staged(mixed, "mixed-anchors")
     needed = staged(distinct.join(mixed, "h", "left_semi").select("rep.doc_id", "rep.th", "rep.s0", "c"), "representatives")
     few = needed.count() <= BROADCAST_ROWS
     reps = (F.broadcast(needed) if few else needed).select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), F.col("s0").alias("rs"), "c")

@@ -225,7 +225,7 @@ def test_shards_match_brute_force(spark, awkward, limit, step):
 
 
 def test_write_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "t" * 10) for i in range(40)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "t" * 10, "own") for i in range(40)], "doc_id long, text string, doc_of_shard string")
     shards = sharding.write_shards(docs, str(tmp_path / "s"), 100)
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").agg(F.sum(F.length("text")).alias("b")).where("b > 100").count() == 0
     assert shards.count() == spark.read.parquet(str(tmp_path / "s")).count() == 40

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import bpe, line_dedup, quality, queries
+from marlstone.llm.scratch import staged
 
 from .test_operators import contaminated, fingerprint
 
@@ -14,10 +15,10 @@ def test_stages_by_brute_force(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     kept = {r.doc_id for r in quality.classify(docs, labels, margin=queries.QUALITY_MARGIN).where("kept").collect()}
-    first = corpus_pipeline.classify(spark, docs, sf)
+    first = staged(corpus_pipeline.classify(spark, docs, sf), "first")
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == kept
 
-    second = corpus_pipeline.clean_lines(spark, first, sf)
+    second = staged(corpus_pipeline.clean_lines(spark, first, sf), "second")
     assert second.columns == docs.columns and second.count() == first.count()
     assert second.where(F.col("n_chars") != F.length("text")).count() == 0
     texts = {r.doc_id: r.text for r in line_dedup.line_dedup(first).collect()}
@@ -33,14 +34,14 @@ def test_stages_by_brute_force(spark, sf):
 
     for a in marks:
         for b in marks:
-            if a < b and (marks[a] ^ marks[b]).bit_count() <= queries.SIMHASH_BITS:
+            if a < b and (marks[a] ^ marks[b]).bit_count() <= corpus_pipeline.NEAR_BITS:
                 low, high = sorted((find(a), find(b)))
                 parent[high] = low
-    third = corpus_pipeline.drop_near_copies(spark, second, sf)
+    third = staged(corpus_pipeline.drop_near_copies(spark, second, sf), "third")
     assert third.columns == docs.columns
     assert {r.doc_id for r in third.collect()} == {i for i in marks if find(i) == i}
 
-    fourth = corpus_pipeline.drop_leaks(spark, third, sf)
+    fourth = staged(corpus_pipeline.drop_leaks(spark, third, sf), "fourth")
     left = {r.doc_id for r in third.collect() if not any(contaminated(r.text, item.text) for item in items)}
     assert fourth.columns == docs.columns and {r.doc_id for r in fourth.collect()} == left
 
