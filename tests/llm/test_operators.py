@@ -361,17 +361,23 @@ def test_components_of_paths_stars_and_loops(spark):
 
 
 def contaminated(text, item):
-    w, v = ([x for x in (t or "").lower().encode().split()] for t in (text, item))
-    masks = list(decontamination.SEEDS) if len(v) >= decontamination.SPAN else [tuple(range(len(v)))] if v else []
-    span = min(decontamination.SPAN, len(v))
-    width = min(len(v), decontamination.WINDOW)
-    for p in range(len(w) - span + 1):
-        for q in range(len(v) - span + 1):
-            if any(all(w[p + o] == v[q + o] for o in m) for m in masks):
-                for s in range(max(0, q + span - width), min(q, len(v) - width) + 1):
-                    same = sum(0 <= p - q + j < len(w) and w[p - q + j] == v[j] for j in range(s, s + width))
-                    if same >= -(-width * 4 // 5):
-                        return True
+    """Lay the item over the text at every offset: row d of ``same`` is the one that starts at word d - m."""
+    words = {}
+    w, v = (np.array([words.setdefault(x, len(words)) for x in (t or "").lower().encode().split()], np.int64) for t in (text, item))
+    n, m = len(w), len(v)
+    span, width = min(decontamination.SPAN, m), min(decontamination.WINDOW, m)
+    if not m or n < span:
+        return False
+    masks = decontamination.SEEDS if m >= decontamination.SPAN else [tuple(range(m))]
+    none = np.full(m, -1)
+    same = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, w, none]), m) == v
+    starts = np.arange(len(same))[:, None] - m + np.arange(m - span + 1)
+    hits = np.any([np.all([same[:, o : o + m - span + 1] for o in mask], axis=0) for mask in masks], axis=0)
+    hits &= (starts >= 0) & (starts <= n - span)
+    for s in range(m - width + 1):
+        enough = same[:, s : s + width].sum(axis=1) >= -(-width * 4 // 5)
+        if (enough & hits[:, s : s + width - span + 1].any(axis=1)).any():
+            return True
     return False
 
 
