@@ -5,8 +5,9 @@ Hashes of the masked tokens of all training positions are joined to those of the
 benchmark, so a hit survives substitutions in the ignored positions. Around each
 hit the two texts are laid over each other: a document is contaminated by an
 item if some window of WINDOW tokens (the whole item, if it is shorter) contains
-the hit's span and agrees in at least SHARE of its tokens. The masks find every
-window of 20 tokens with up to three substitutions at any places.
+the hit's span and agrees in at least SHARE of its tokens. The two masks of SEEDS
+find every window of 20 tokens with up to three substitutions at any places; with
+``complete`` there are more, and every window that agrees in SHARE is found.
 
 The training side is never shuffled before the join: the distinct hashes of the
 benchmark are counted and broadcast if they are few; more are joined by shuffle.
@@ -16,6 +17,8 @@ Only hits carry context on.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,13 @@ SEEDS = (
     (0, 5, 6, 7, 8, 9, 10),
     (0, 1, 2, 4, 6, 9, 10),
 )
+#: With SEEDS these find all windows of 11 to 20 tokens that agree in SHARE.
+MORE_SEEDS = (
+    (0, 1, 2, 4, 5),
+    (0, 1, 3, 8, 10),
+)
+#: Places of a mask that may lie outside a text; all of them are ignored ones.
+EDGE = 2
 WINDOW = 20
 SHARE = 0.8
 #: Distinct benchmark hashes that may be broadcast (8 bytes each).
@@ -40,24 +50,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of tokens spanned, offsets) of every seed.
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of ``n`` places that leave none of the substitutions that SHARE allows unignored.
 
-    Items of fewer tokens than a span cannot hold a mask; for each such length
-    there is one seed of all its tokens.
+    For k substitutions the places are cut into k + 2 parts, and each mask
+    ignores k of them.
     """
-    return [(SPAN, s) for s in SEEDS] + [(n, tuple(range(n))) for n in short]
+    k = n - ceil(n * SHARE)
+    edges = [round(n * i / (k + 2)) for i in range(k + 3)]
+    parts = [range(edges[i], edges[i + 1]) for i in range(k + 2)]
+    return [tuple(j for i, part in enumerate(parts) if i not in out for j in part) for out in combinations(range(k + 2), k)]
+
 
+def _masks(short: list[int], complete: bool = False) -> list[tuple[int, tuple[int, ...], int]]:
+    """(number of tokens spanned, offsets, length of the items it is for or 0) of every seed.
+
+    Items of fewer tokens than SPAN cannot hold a mask of SEEDS; for each such
+    length there is one seed of all its tokens, or masks of its own with
+    ``complete``. The others are for items of SPAN tokens or more.
+    """
+    if complete:
+        return [(SPAN, s, 0) for s in SEEDS] + [(s[-1] + 1, s, 0) for s in MORE_SEEDS] + [(n, s, n) for n in short for s in _short_masks(n)]
+    return [(SPAN, s, 0) for s in SEEDS] + [(n, tuple(range(n)), n) for n in short]
 
-def _seeds(hashes: Column, masks: list[tuple[int, tuple[int, ...]]]) -> Column:
-    """The seed hashes of an array of token hashes: a list for each mask, by position."""
+
+def _seeds(hashes: Column, masks: list[tuple[int, tuple[int, ...], int]], edge: int = 0) -> Column:
+    """The seed hashes of an array of token hashes: a list for each mask, by position from ``-edge``."""
 
     def of(number: int, span: int, offsets: tuple[int, ...]) -> Column:
         last = F.size(hashes) - span
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.lit(number), *(F.get(hashes, i + j) for j in offsets)))
+        at = F.when(last + edge >= -edge, F.sequence(F.lit(-edge), last + edge)).otherwise(F.array().cast("array<int>"))
+        # Positions begin before the text only with an edge.
+        token = (lambda j: F.when(j >= 0, F.get(hashes, j))) if edge else (lambda j: F.get(hashes, j))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(number), *(token(i + j) for j in offsets)))
 
-    return F.array(*(of(k, *mask) for k, mask in enumerate(masks)))
+    return F.array(*(of(k, span, offsets) for k, (span, offsets, _) in enumerate(masks)))
 
 
 def _context(hashes: Column, at: Column) -> Column:
@@ -65,19 +92,23 @@ def _context(hashes: Column, at: Column) -> Column:
     return F.transform(F.sequence(at - (WINDOW - 1), at + (WINDOW - 1)), lambda j: F.when(j >= 0, F.get(hashes, j)))
 
 
-def benchmark_seeds(items: DataFrame, masks: list[tuple[int, tuple[int, ...]]], id_col: str, text_col: str) -> DataFrame:
+def benchmark_seeds(items: DataFrame, masks: list[tuple[int, tuple[int, ...], int]], id_col: str, text_col: str) -> DataFrame:
     """(seed, item_id, q, n, ictx): every seed of every item with its context."""
     rows = items.select(F.col(id_col).alias("item_id"), F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w)).alias("ih")).withColumn("n", F.size("ih"))
     seeds = rows.withColumn("seeds", _seeds(F.col("ih"), masks)).select("item_id", "n", "ih", F.posexplode_outer("seeds").alias("mask", "list"))
-    spans = F.element_at(F.array(*(F.lit(s) for s, _ in masks)), F.col("mask") + 1)
+    spans = F.element_at(F.array(*(F.lit(s) for s, _, _ in masks)), F.col("mask") + 1)
+    meant = F.element_at(F.array(*(F.lit(n) for _, _, n in masks)), F.col("mask") + 1)
     # The seed of a short length is meant for items of just that length.
-    seeds = seeds.withColumn("span", spans).where((F.col("span") == SPAN) | (F.col("span") == F.col("n")))
+    seeds = seeds.withColumn("span", spans).where(F.when(meant == 0, F.col("n") >= SPAN).otherwise(meant == F.col("n")))
     return seeds.select("item_id", "n", "ih", "span", F.posexplode_outer("list").alias("q", "seed")).select("item_id", "n", "q", "span", "seed", _context(F.col("ih"), F.col("q")).alias("ictx"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", complete: bool = False) -> DataFrame:
     """Distinct pairs (doc_id, item_id) of documents that overlap a benchmark item.
 
+    With ``complete`` these are all pairs with a window that agrees in SHARE,
+    else those in which it also holds a span of SEEDS.
+
     Null and empty texts have no tokens and match nothing; null ids of documents
     are passed through, items with a null id are not used. Rows that repeat an id
     are judged together. Either table may be empty. Other columns are not read.
@@ -85,14 +116,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items = items.where(F.col(item_col).isNotNull())
     sizes = items.select(F.size(tokens(F.col(item_text))).alias("n"))
     short = sorted(r[0] for r in sizes.where((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect())  # under SPAN values
-    masks = _masks(short)
+    masks = _masks(short, complete)
+    edge = EDGE if complete else 0
     bench = staged(benchmark_seeds(items, masks, item_col, item_text), "benchmark-seeds")
     wanted = staged(bench.select("seed").distinct(), "benchmark-hashes")
     few = wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     rows = docs.select(F.col(id_col).alias("doc_id"), F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w)).alias("dh"))
-    seeds = rows.withColumn("seeds", _seeds(F.col("dh"), masks)).select("doc_id", "dh", F.explode_outer("seeds").alias("list"))
+    seeds = rows.withColumn("seeds", _seeds(F.col("dh"), masks, edge)).select("doc_id", "dh", F.explode_outer("seeds").alias("list"))
     seeds = seeds.select("doc_id", "dh", F.posexplode_outer("list").alias("p", "seed"))
-    hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed", "left_semi").select("doc_id", "seed", _context(F.col("dh"), F.col("p")).alias("dctx"))
+    hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed", "left_semi").select("doc_id", "seed", _context(F.col("dh"), F.col("p") - edge).alias("dctx"))
     hits = staged(hits, "seed-hits")
     pairs = hits.join(bench, "seed")
     return pairs.where(_overlaps()).select("doc_id", "item_id").distinct()
@@ -130,7 +162,5 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns)
 
 def all_masks_found(substitutions: int, window: int = WINDOW) -> bool:
     """Whether the masks find every window with so many substitutions, whatever their places."""
-    from itertools import combinations
-
     placed = [reduce(lambda x, o, s=start: x | 1 << (s + o), seed, 0) for seed in SEEDS for start in range(window - SPAN + 1)]
     return all(any(not m & sum(1 << i for i in places) for m in placed) for places in combinations(range(window), substitutions))
