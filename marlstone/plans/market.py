@@ -1,4 +1,8 @@
-"""Indicators over daily bars. The bars are made of orders: the priority is the symbol, the price the order's total."""
+"""Indicators over daily bars. The bars are made of orders: the priority is the symbol, the price the order's total.
+
+The queries that have SQL take the last DAYS bars of each symbol, as the SQL
+does; those named ``_all`` take every bar.
+"""
 
 from __future__ import annotations
 
@@ -17,16 +21,20 @@ bars AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY symb
 """
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last bars of each symbol."""
-    daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(
+def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar of each symbol; a day gives one at most."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(
         F.min_by("o_totalprice", "o_orderkey").alias("open"),
         F.max("o_totalprice").alias("high"),
         F.min("o_totalprice").alias("low"),
         F.max_by("o_totalprice", "o_orderkey").alias("close"),
         F.count("*").alias("volume"),
     )
-    return indicators.tail(daily, DAYS)
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bars of each symbol."""
+    return indicators.tail(all_bars(spark, sf_dir), DAYS)
 
 
 @query(
@@ -40,6 +48,11 @@ def bar_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.bar_statistics(bars(spark, sf_dir))
 
 
+@query()
+def bar_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.bar_statistics(all_bars(spark, sf_dir))
+
+
 @query(
     f"""WITH {_BARS} SELECT symbol, date, close,
 {", ".join(f"CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) = {n} THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING), 4) END AS ma{n}" for n in (5, 10, 20))}
@@ -49,6 +62,11 @@ def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.averages(bars(spark, sf_dir))
 
 
+@query()
+def moving_averages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.averages(all_bars(spark, sf_dir))
+
+
 @query(
     f"""WITH {_BARS},
 g AS (SELECT symbol, date, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) AS c FROM bars),
@@ -61,6 +79,11 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.rsi(bars(spark, sf_dir))
 
 
+@query()
+def rsi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.rsi(all_bars(spark, sf_dir))
+
+
 @query(
     f"""WITH {_BARS},
 a AS (SELECT symbol, date, close, count(*) OVER w AS n, avg(close) OVER w AS mid, stddev_samp(close) OVER w AS dev FROM bars
@@ -73,6 +96,11 @@ def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.bollinger(bars(spark, sf_dir))
 
 
+@query()
+def bollinger_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.bollinger(all_bars(spark, sf_dir))
+
+
 def _ewm(values: str, alpha: str) -> str:
     """The averages at every place of a list, each a fold over what comes before."""
     return f"list_transform(range(1, len({values}) + 1), lambda i: list_reduce({values}[1:i], lambda a, x: a * (1 - {alpha}) + x * {alpha}))"
@@ -93,6 +121,11 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.macd(bars(spark, sf_dir))
 
 
+@query()
+def macd_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.macd(all_bars(spark, sf_dir))
+
+
 @query(
     f"""WITH {_BARS},
 r AS (SELECT symbol, date, count(*) OVER w AS n, (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w + 1e-10) * 100 AS rsv FROM bars
@@ -107,6 +140,11 @@ def kdj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.kdj(bars(spark, sf_dir))
 
 
+@query()
+def kdj_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.kdj(all_bars(spark, sf_dir))
+
+
 @query(
     f"""WITH {_BARS},
 n AS (SELECT symbol, date, row_number() OVER w AS n, (close / lag(close) OVER w - 1) * 100 AS pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
@@ -118,10 +156,18 @@ SELECT event_id, symbol, round(avg(pct) FILTER (n < pos), 4) AS before_pct, roun
 )
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars around 25 dated events, one per nation, by the nearest real date."""
+    return indicators.event_windows(_events(spark, sf_dir), bars(spark, sf_dir))
+
+
+@query()
+def event_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.event_windows(_events(spark, sf_dir), all_bars(spark, sf_dir))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     key = F.col("n_nationkey")
-    events = table(spark, sf_dir, "nation").select(key.cast("long").alias("event_id"), F.element_at(names, (key % 5 + 1).cast("int")).alias("symbol"), F.date_add(F.lit("1998-01-01").cast("date"), key * 40).alias("event_date"))
-    return indicators.event_windows(events, bars(spark, sf_dir))
+    return table(spark, sf_dir, "nation").select(key.cast("long").alias("event_id"), F.element_at(names, (key % 5 + 1).cast("int")).alias("symbol"), F.date_add(F.lit("1998-01-01").cast("date"), key * 40).alias("event_date"))
 
 
 @query(
@@ -131,9 +177,18 @@ SELECT symbol, date, CASE WHEN before <> 0 THEN round((close - before) / abs(bef
 )
 def growth_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth against the bar before, in % of its absolute value; null where that is missing or 0."""
+    return _growth(bars(spark, sf_dir))
+
+
+@query()
+def growth_rates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _growth(all_bars(spark, sf_dir))
+
+
+def _growth(daily: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
-    rows = bars(spark, sf_dir).select("symbol", "date", "close", before.alias("before"))
+    rows = daily.select("symbol", "date", "close", before.alias("before"))
     valid = F.col("before") != 0
     return rows.select("symbol", "date", F.when(valid, F.round((F.col("close") - F.col("before")) / F.abs("before") * 100, 2)).alias("growth_pct"), F.when(valid, F.round(F.col("close") / F.col("before"), 2)).alias("ratio"))
