@@ -76,17 +76,19 @@ def encode_text(coder, text: str, size: int = PIECE_CHARS) -> list[int]:
     return ids
 
 
-def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, size: int = PIECE_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, size: int = PIECE_CHARS, verify: bool = False) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns one row per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the
     decimal ids joined by a space), decoded_sha256 (of the decoded bytes), and
-    with ``with_ids`` also token_ids. A null text counts as empty (no tokens);
+    with ``with_ids`` also token_ids, with ``verify`` also decoded_ok, whether the
+    decoded bytes are those of the text. A null text counts as empty (no tokens);
     a null id stays null; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("token_ids", pa.list_(pa.int32()))] if with_ids else []
+    fields += [("decoded_ok", pa.bool_())] if verify else []
     kinds = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +96,23 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
-                counts, ids_hash, bytes_hash, lists = [], [], [], []
+                counts, ids_hash, bytes_hash, lists, same = [], [], [], [], []
                 for cell in some.column(1):
-                    ids = encode_text(coder, cell.as_py() or "", size)
+                    text = cell.as_py() or ""
+                    ids = encode_text(coder, text, size)
                     counts.append(len(ids))
                     ids_hash.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                     bytes_hash.append(hashlib.sha256(coder.decode_bytes(ids)).hexdigest())
+                    if verify:
+                        same.append(bytes_hash[-1] == hashlib.sha256(text.encode()).hexdigest())
                     if with_ids:
                         lists.append(ids)
                 columns = [some.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(bytes_hash)]
                 columns += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
+                columns += [pa.array(same, pa.bool_())] if verify else []
                 yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", decoded_ok boolean" * verify
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, out)
 
 

@@ -58,12 +58,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), SIMHASH_BITS, SIMHASH_SHINGLE)
 
 
-def encoded(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, with_ids: bool = False, verify: bool = False) -> DataFrame:
     """Encode documents by the byte-level vocabulary and decode them again."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=with_ids)
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=with_ids, verify=verify)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
