@@ -131,3 +131,16 @@ def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = docs.where("lang = 'fr'").select(F.col("doc_id").alias("key"))
     added = retrieval.postings(docs.where("lang = 'de' AND doc_id % 2 = 0"), "doc_id", "text")
     return scorecard.update_postings(index, removed, added).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest({search._TOKENS.format("text")}) AS term FROM documents WHERE lang <> 'fr')
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term"""
+)
+def index_maintenance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all but German, from which French goes and to which all of German comes."""
+    docs = table(spark, sf_dir, "documents")
+    index = retrieval.postings(docs.where("lang <> 'de'"), "doc_id", "text")
+    removed = docs.where("lang = 'fr'").select(F.col("doc_id").alias("key"))
+    added = retrieval.postings(docs.where("lang = 'de'"), "doc_id", "text")
+    return scorecard.update_postings(index, removed, added).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
