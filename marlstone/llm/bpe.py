@@ -23,7 +23,13 @@ from ..session import map_arrow
 #: Characters of a text from which it is cut at safe boundaries.
 PIECE_CHARS = 1 << 16
 
+#: White space of more characters than this is not given to the pattern.
+RUN_CHARS = 4096
+#: The characters of Unicode's White_Space, which are the pattern's ``\s``.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _boundary = re.compile(r"(?<=\S)(?=\s)")
+_long_run = re.compile(f"[{WHITE}]{{{RUN_CHARS + 1},}}+")
 _coders: dict[str, tuple] = {}
 
 
@@ -67,7 +73,7 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(coder, text: str, size: int = PIECE_CHARS) -> list[int]:
+def _encode_between(coder, text: str, size: int) -> list[int]:
     if len(text) <= size:
         return coder.encode_ordinary(text)
     ids: list[int] = []
@@ -76,6 +82,20 @@ def encode_text(coder, text: str, size: int = PIECE_CHARS) -> list[int]:
     return ids
 
 
+def encode_text(coder, text: str, size: int = PIECE_CHARS) -> list[int]:
+    """The ids of a text of any length, each match of the pattern merged separately."""
+    if len(text) <= RUN_CHARS:
+        return _encode_between(coder, text, size)
+    ids: list[int] = []
+    start = 0
+    for run in _long_run.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids.extend(_encode_between(coder, text[start : run.start()], size))
+        ids.extend(coder._encode_single_piece(text[run.start() : end]))
+        start = end
+    return ids + _encode_between(coder, text[start:], size)
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, size: int = PIECE_CHARS, verify: bool = False) -> DataFrame:
     """Encode and decode every whole text.
 
