@@ -2,10 +2,13 @@
 
 Two generative models of hashed word n-grams (unigrams and bigrams in a fixed
 number of buckets) are estimated: one from target text, the documents labelled
-good, one from all raw text. The log importance weight of a document is the mean
-over its n-grams of log(target probability / raw probability), taken for a text
-of a fixed length; the plain sum would rank documents by their length first.
-Documents are drawn without replacement by Gumbel top-k: to each log weight a
+good, one from all raw text. The importance weight of a document is the ratio of
+the two models' probabilities of its text, a product over its n-grams; its log is
+the sum of log(target probability / raw probability). N-grams of one text are far
+from independent, so the ratio of a text of more than REFERENCE n-grams is
+tempered to what REFERENCE of them would give on average: weight ** (REFERENCE /
+n). Otherwise length would decide first, and log weights would spread so far that
+the draw below were none. Documents are drawn without replacement by Gumbel top-k: to each log weight a
 Gumbel variate is added, and the k largest sums stay (Xie et al., "Data selection
 for language models via importance resampling", 2023). The variate comes from a
 hash of the id, so a document has the same one at every run and on every machine.
@@ -35,8 +38,8 @@ BUCKETS = 1 << 16
 TARGET_DOCUMENTS = 50_000
 #: Part of the raw model that is mixed into the target model.
 SMOOTHING = 0.1
-#: Number of n-grams for which weights are given.
-REFERENCE = 200
+#: N-grams of a text that count as independent evidence.
+REFERENCE = 20
 _BINS = 1024
 
 
@@ -105,7 +108,7 @@ def _weights(texts: list[bytes], vocabulary: WordHashes, table: np.ndarray) -> t
     """Number of n-grams and log weight of each text."""
     found, owner = _features(texts, vocabulary, len(table))
     n = np.bincount(owner, minlength=len(texts))
-    return n, REFERENCE * np.bincount(owner, weights=table[found], minlength=len(texts)) / np.maximum(n, 1)
+    return n, np.bincount(owner, weights=table[found], minlength=len(texts)) / np.maximum(1, n / REFERENCE)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +128,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     return map_arrow(rows, run, "doc_id long, n_grams long, log_weight double")
 
 
-def gumbel(key: Column, seed: int) -> Column:
+def gumbel(key: Column, seed: int | Column) -> Column:
     """A standard Gumbel variate that depends on ``key`` and ``seed`` only."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
