@@ -1,20 +1,20 @@
 """Line deduplication by a deletion-neighbourhood join, as DataFrame operations.
 
-A line goes if an earlier line is equal to it or differs by one edited character.
-Two lines are within one edit exactly if they give the same string when one
-character of each is deleted at the same place, or one of them gives the other.
-So each line emits, as hashed keys, itself and its text without each of its
-characters; equal keys are joined, and the edit distance is verified.
+A line goes if an earlier line is equal to it or within ``max_edits`` edited
+characters. Two lines are so near exactly if deletions in both give the same
+string, the deletions of the two, place by place, adding up to no more than the
+bound. So each line emits, as hashed keys, its variants with characters deleted;
+equal keys are joined, and the edit distance is verified.
 
 1. Equal lines are one: they are grouped by a 128-bit hash, the earliest
    occurrence owns the line. The aggregate is partial, so a line of a license in
    a third of all documents is combined before the shuffle.
-2. A line within one edit of another shares its first or its last half with it.
-   Lines whose halves occur once are settled by this alone, which leaves the
+2. Cut into one piece more than there are edits, a line within the bound of
+   another has one of these pieces in common with it, at nearly the same place.
+   Lines whose pieces occur once are settled by this alone, which leaves the
    neighbourhoods to few lines.
-3. The others emit the deletion variants of the blocks in which they may differ
-   from another line. Within a key only the earliest line can remove the rest,
-   so a minimum per key replaces pairs.
+3. The others emit variants. Within a key only the earliest line can remove the
+   rest, so a minimum per key replaces pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 from .scratch import lookup, staged
 
-#: Lines with fewer characters are compared exactly only.
-FUZZY_CHARS = 20
-
-
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -39,23 +35,36 @@ def _order() -> Column:
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, line_no, line) of every line that is not blank."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode_outer(_split(F.col(text_col))).alias("line_no", "line"))
+    # Hash and split come before the explode, else both are made again for every line.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), _split(F.col(text_col)).alias("parts"))
+    rows = rows.select("doc_id", "th", F.posexplode_outer("parts").alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Keys of the first and last half, for partners of the same length and of one more or less."""
+def _pieces(line: Column, n: Column, edits: int) -> Column:
+    """Keys of the pieces that a line can share with a partner whose length differs by ``edits`` at most.
 
-    def pair(base: Column) -> list[Column]:
-        first = F.floor(base / 2).cast("int")
-        return [F.xxhash64(F.lit(0), base, F.substring(line, F.lit(1), first)), F.xxhash64(F.lit(1), base, F.substring(line, n - base + first + 1, n))]
-
-    return F.array(*pair(n), *pair(n - 1))
+    The shorter partner of ``base`` characters is cut into ``edits + 1`` pieces.
+    One of them has no edit. Left of piece j there are then j edits at most or,
+    for another piece, right of it ``edits - j`` (else one further left or right
+    is free of edits as well), which leaves few places in the longer partner.
+    """
+    keys = []
+    for more in range(edits + 1):
+        base = n - more
+        for j in range(edits + 1):
+            begin = F.floor(base * j / (edits + 1)).cast("int")
+            size = F.floor(base * (j + 1) / (edits + 1)).cast("int") - begin
+            for shift in range(-edits, edits + 1):
+                if abs(shift) <= j and abs(shift - more) <= edits - j:
+                    piece = F.xxhash64(F.lit(j), base, F.substring(line, begin + shift + 1, size))
+                    keys.append(F.when((base >= 0) & (begin + shift >= 0), piece))
+    return F.array_compact(F.array(*keys))
 
 
 def _near_candidates(lines: DataFrame) -> DataFrame:
-    """Hashes of lines that share a half with another line."""
-    keys = lines.where("n is not null").select("h1", F.explode("halves").alias("key"))
+    """Hashes of lines that share a piece with another line."""
+    keys = lines.select("h1", F.explode("pieces").alias("key"))
     return staged(_shared_keys(keys, ["key"]).select("h1").distinct(), "near-candidates")
 
 
@@ -65,22 +74,24 @@ def _shared_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(lookup(staged(met, "shared-keys")), key, "left_semi")
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Occurrences that go: (doc_id, th, line_no), th being the hash of the whole text.
 
-    ``max_edits`` is 0 or 1. Occurrences are ordered by (id, text hash, line
-    number), null ids first. Lines of white space only are never judged. An
-    earlier line removes a later one whether or not it is removed itself.
+    Occurrences are ordered by (id, text hash, line number), null ids first.
+    Lines of white space only are never judged. An earlier line removes a later
+    one whether or not it is removed itself. A line of n characters costs in the
+    order of n to the power ``max_edits + 1`` if others share a piece with it
+    (1.5 for one edit).
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+    if max_edits < 0:
+        raise ValueError("max_edits is 0 or more")
     found = _occurrences(docs, id_col, text_col)
     n = F.length("line")
-    marked = found.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), F.when(n >= fuzzy_chars, n).alias("n"), F.when(n >= fuzzy_chars, _halves(F.col("line"), n)).alias("halves"))
+    marked = found.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), _pieces(F.col("line"), n, max_edits).alias("pieces"))
     lines = staged(marked, "lines")
     owners = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"))
     distinct = staged(owners, "owners")
-    near = _near_lines(found, distinct, _near_candidates(lines)) if max_edits else None
+    near = _near_lines(found, distinct, _near_candidates(lines), max_edits) if max_edits else None
     rows = lines.join(distinct, ["h1", "h2"])
     again = _order() > F.col("first")
     if near is not None:
@@ -91,7 +102,7 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
 
 def _block(base: Column, j: Column) -> tuple[Column, Column]:
     """Begin and end of block ``j`` of a line of ``base`` characters; there are about sqrt(base)."""
-    width = F.ceil(F.sqrt(base)).cast("int")
+    width = F.greatest(F.ceil(F.sqrt(base)).cast("int"), F.lit(1))
     return j * width, F.least(base, (j + 1) * width)
 
 
@@ -105,7 +116,7 @@ def _variants(texts: DataFrame) -> DataFrame:
     """
     line, n = F.col("line"), F.col("n")
     blocks = texts.select("h1", "h2", "line", "n", F.explode(F.array(n, n - 1)).alias("base"))
-    count = F.ceil(F.col("base") / F.ceil(F.sqrt("base"))).cast("int")
+    count = F.greatest(F.ceil(F.col("base") / F.greatest(F.ceil(F.sqrt("base")), F.lit(1))).cast("int"), F.lit(1))
     blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
     begin, end = _block(F.col("base"), F.col("j"))
     outside = F.xxhash64("base", "j", F.substring(line, F.lit(1), begin), F.substring(line, n - F.col("base") + end + 1, n))
@@ -118,15 +129,25 @@ def _variants(texts: DataFrame) -> DataFrame:
     return cut.unionByName(texts.select("h1", "h2", "first", F.lit(0).alias("at"), F.col("h1").alias("k1"), F.col("h2").alias("k2")))
 
 
-def _near_lines(found: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Distinct lines (h1, h2) within one edit of an earlier line."""
-    chosen = distinct.join(lookup(candidates), "h1", "left_semi")
-    first = chosen.select("h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line_no").alias("l"), "first")
-    first = staged(first, "candidate-places")
-    on = found["doc_id"].eqNullSafe(first["d"]) & (found["th"] == first["t"]) & (found["line_no"] == first["l"])
-    texts = found.join(lookup(first), on).select("h1", "h2", "first", "line", F.length("line").alias("n"))
-    # A text that is repeated under one id names one place twice.
-    texts = staged(texts.dropDuplicates(["h1", "h2"]), "candidate-lines")
+def _edited(texts: DataFrame, edits: int) -> DataFrame:
+    """Keys (h1, h2, first, k1, k2) of every line, such that two lines share one exactly if they are within ``edits``.
+
+    An edit at a gap of the remaining string either deletes the character after
+    the gap or leaves the line as it is there; the partner does either as well.
+    The key is the remaining string with the gaps of all ``edits`` edits, in
+    ascending order, deletions first.
+    """
+    rows = texts.select("h1", "h2", "first", F.col("line").alias("v"), F.lit(0).alias("gap"), F.lit(True).alias("cuts"), F.array().cast("array<int>").alias("gaps"))
+    for _ in range(edits):
+        rows = rows.select("*", F.explode(F.sequence("gap", F.length("v"))).alias("g")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("cut"))
+        rows = rows.where(~F.col("cut") | ((F.col("g") < F.length("v")) & (F.col("cuts") | (F.col("g") > F.col("gap")))))
+        cut = F.concat(F.substring("v", F.lit(1), F.col("g")), F.substring("v", F.col("g") + 2, F.length("v")))
+        rows = rows.select("h1", "h2", "first", F.when(F.col("cut"), cut).otherwise(F.col("v")).alias("v"), F.col("g").alias("gap"), F.col("cut").alias("cuts"), F.concat("gaps", F.array("g")).alias("gaps"))
+    return rows.select("h1", "h2", "first", F.xxhash64("v", "gaps").alias("k1"), F.xxhash64(F.lit(17), "v", "gaps").alias("k2"))
+
+
+def _met_one(texts: DataFrame) -> DataFrame:
+    """(h1, h2, best): lines and the earliest line within one edit of each that they meet, if it is earlier."""
     met = staged(_shared_keys(staged(_variants(texts), "variants"), ["k1", "k2"]), "met-variants")
     # The same place deleted on both sides: one substitution.
     place = met.where("at > 0").groupBy("k1", "k2", "at").agg(F.min("first").alias("best"))
@@ -137,30 +158,79 @@ def _near_lines(found: DataFrame, distinct: DataFrame, candidates: DataFrame) ->
     some = met.where("at > 0").groupBy("k1", "k2").agg(F.min("first").alias("best"))
     shorter = met.where("at = 0").join(some, ["k1", "k2"])
     pairs = [x.where("best < first").select("h1", "h2", "best") for x in (swapped, longer, shorter)]
-    pairs = staged(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), "line-pairs")
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+
+
+def _met_more(texts: DataFrame, edits: int) -> DataFrame:
+    """As ``_met_one``, for any number of edits."""
+    met = staged(_shared_keys(staged(_edited(texts, edits), "variants"), ["k1", "k2"]), "met-variants")
+    best = met.groupBy("k1", "k2").agg(F.min("first").alias("best"))
+    return met.join(best, ["k1", "k2"]).where("best < first").select("h1", "h2", "best")
+
+
+def _near_lines(found: DataFrame, distinct: DataFrame, candidates: DataFrame, edits: int) -> DataFrame:
+    """Distinct lines (h1, h2) within so many edits of an earlier line."""
+    chosen = distinct.join(lookup(candidates), "h1", "left_semi")
+    first = chosen.select("h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line_no").alias("l"), "first")
+    first = staged(first, "candidate-places")
+    on = found["doc_id"].eqNullSafe(first["d"]) & (found["th"] == first["t"]) & (found["line_no"] == first["l"])
+    texts = found.join(lookup(first), on).select("h1", "h2", "first", "line", F.length("line").alias("n"))
+    # A text that is repeated under one id names one place twice.
+    texts = staged(texts.dropDuplicates(["h1", "h2"]), "candidate-lines")
+    pairs = staged((_met_one(texts) if edits == 1 else _met_more(texts, edits)).distinct(), "line-pairs")
     mine = texts.select("h1", "h2", "line")
     other = texts.select(F.col("first").alias("best"), F.col("line").alias("earlier"))
-    checked = pairs.join(mine, ["h1", "h2"]).join(other, "best").where(F.levenshtein("line", "earlier", 1) >= 0)
+    checked = pairs.join(mine, ["h1", "h2"]).join(other, "best").where(F.levenshtein("line", "earlier", edits) >= 0)
     return staged(checked.select("h1", "h2").distinct(), "near-lines")
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS, counts: bool = True) -> DataFrame:
+def _without(parts: Column, gone: Column) -> Column:
+    """The lines whose numbers are not in ``gone``, joined again; in time linear in the lines."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    # The lines are the field of a lambda's argument, so that they are split once and not for every line.
+    both = F.array(F.struct(parts.alias("parts"), left.alias("left")))
+    return F.array_join(F.transform(both, lambda x: F.transform(x["left"], lambda i: F.get(x["parts"], i)))[0], "\n")
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rd, rt): id and text hash that several rows share."""
+    keys = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rd"), F.xxhash64(F.col(text_col)).alias("rt"))
+    return staged(keys.groupBy("rd", "rt").count().where("count > 1").select("rd", "rt"), "repeated-rows")
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns row, gd0, gt0 and again, which is true on all but one of the rows that share id and text."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("gd0"), F.xxhash64(F.col(text_col)).alias("gt0"))
+    repeated = _repeated(docs, id_col, text_col)
+    if not repeated.limit(1).count():
+        return rows.withColumn("again", F.lit(False))
+    on = F.col("gd0").eqNullSafe(F.col("rd")) & (F.col("gt0") == F.col("rt"))
+    once = rows.join(lookup(repeated), on, "left_anti").withColumn("again", F.lit(False))
+    # Written with their numbers, which then stay what they are when a task runs again.
+    copies = staged(rows.join(lookup(repeated), on).withColumn("uid", F.monotonically_increasing_id()), "repeated-copies")
+    least = copies.groupBy("rd", "rt").agg(F.min("uid").alias("uid")).select(F.col("uid").alias("least"))
+    copies = copies.join(lookup(staged(least, "first-copies")), F.col("uid") == F.col("least"), "left")
+    return once.unionByName(copies.select("row", "gd0", "gt0", F.col("least").isNull().alias("again")))
+
+
+def line_dedup(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text.
 
     Other columns stay as they are. With ``counts`` there are also n_lines and
     n_removed, in place of columns of those names. A null text stays null with no lines; an
-    empty text has one blank line. Rows that share id and text are treated
-    alike, so both keep the lines that they own. Documents are never dropped: one
-    whose lines all go has an empty text.
+    empty text has one blank line. Of rows that share id and text one is the
+    first, and all lines but the blank ones of the others go. Documents are never
+    dropped: one whose lines all go has an empty text.
     """
-    gone = dropped_lines(docs, max_edits, id_col, text_col, fuzzy_chars).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped_lines(docs, max_edits, id_col, text_col).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gd"), F.col("th").alias("gt"), "gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("gd0"), F.xxhash64(F.col(text_col)).alias("gt0"))
+    rows = _numbered(docs, id_col, text_col)
     joined = rows.join(gone, F.col("gd0").eqNullSafe(F.col("gd")) & (F.col("gt0") == F.col("gt")), "left")
     whole = F.col("row")[text_col]
     parts = _split(whole)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(F.col("gone").isNull(), whole).otherwise(left)
+    filled = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("gone", F.when(F.col("again"), filled).otherwise(F.col("gone")))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(_without(parts, F.col("gone")))
     columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     if not counts:
         return joined.select(*columns)

@@ -97,7 +97,7 @@ WITH o AS (
   SELECT line, min({'d': doc_id, 'k': k}) AS first, length(line) AS n FROM o
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
 ), b AS (
-  SELECT line, first, n, unnest([n, n - 1]) AS base FROM f WHERE n >= 20
+  SELECT line, first, n, unnest([n, n - 1]) AS base FROM f
 ), h AS (
   SELECT line, first, n, base, 'p' AS side, left(line, base // 2) AS half FROM b
   UNION ALL SELECT line, first, n, base, 's', right(line, base - base // 2) FROM b

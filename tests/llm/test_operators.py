@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -135,41 +136,65 @@ def test_quality_weights_match_brute_force(spark, awkward):
 # 3. Lines
 
 
-def near(a, b):
-    if abs(len(a) - len(b)) > 1:
+def edits(a, b):
+    """The edit distance of two lines."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def near(a, b, most):
+    if abs(len(a) - len(b)) > most:
         return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) <= 1
-    a, b = sorted((a, b), key=len)
-    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
-
-
-def test_line_dedup_matches_brute_force(spark):
-    rng = random.Random(3)
-    lines = ["".join(rng.choice("abé ") for _ in range(n)) + "x" for n in (19, 20, 21, 25, 25, 40, 300, 5, 5)] + ["a" * 30, "a" * 31, "ab" * 12, "ba" * 12]
-    for line in lines[:7]:
-        i = rng.randrange(len(line))
-        lines += [line[:i] + "Z" + line[i:], line[:i] + line[i + 1 :], line[:i] + "Q" + line[i + 1 :]]
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return max(len(a), len(b)) <= most or len(a) < 200 and edits(a, b) <= most
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_line_dedup_matches_brute_force(spark, most):
+    rng = random.Random(3 + most)
+    lines = ["".join(rng.choice("abé ") for _ in range(n)) + "x" for n in (0, 1, 2, 3, 9, 19, 20, 21, 25, 25, 40, 60, 5, 5)] + ["a" * 30, "a" * 31, "ab" * 12, "ba" * 12, "a", "b", "ab", "é", ".", "12."]
+    for line in lines[:11]:
+        for _ in range(3):
+            i = rng.randrange(len(line))
+            lines += [line[:i] + "Z" + line[i:], line[:i] + line[i + 1 :], line[:i] + "Q" + line[i + 1 :]]
     rows = [(d, "\n".join(rng.choice(lines) for _ in range(6))) for d in range(25)]
-    rows += [(50, None), (51, ""), (52, "\n \n"), (None, lines[0] + "\nnew line of the null id"), (7, rows[7][1]), (60, "c" * 5000), (61, "c" * 5001)]
-    got = line_dedup.line_dedup(table(spark, rows))
+    rows += [(50, None), (51, ""), (52, "\n \n"), (None, lines[0] + "\nnew line of the null id"), (7, rows[7][1]), (7, rows[7][1]), (8, rows[7][1])]
+    rows += [(60, "c" * 5000), (61, "c" * 5001)] if most < 2 else []
+    rows += [(None, "null id, twice\n\n" + lines[3])] * 2
+    got = line_dedup.line_dedup(table(spark, rows), max_edits=most)
     assert got.columns == table(spark, []).columns + ["n_lines", "n_removed"]
     hashes = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t in {t for _, t in rows}}
-    places = sorted({(i is not None, i or 0, hashes[t], k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))})
-    seen, dropped = {}, set()
-    for has, i, h, k, line in places:
-        if not line.strip(" \t\n\x0b\x0c\r"):
-            continue
-        if line in seen or (len(line) >= 20 and any(len(s) >= 20 and near(s, line) for s in seen)):
-            dropped.add((has, i, h, k))
-        seen.setdefault(line, 1)
-    want = []
-    for i, t in rows:
-        parts = [] if t is None else t.split("\n")
-        gone = [k for k in range(len(parts)) if (i is not None, i or 0, hashes[t], k) in dropped]
-        want.append((i, None if t is None else "\n".join(p for k, p in enumerate(parts) if k not in gone), len(parts), len(gone)))
-    have = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()]
-    assert sorted(have, key=repr) == sorted(want, key=repr)
+    copies = Counter()
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    seen, want = [], Counter((i, t, 0, 0) for i, t in rows if t is None)
+    for i, t in order:
+        parts, left = t.split("\n"), []
+        for line in parts:
+            blank = not line.strip(" \t\n\x0b\x0c\r")
+            if blank or not any(s == line or near(s, line, most) for s in seen):
+                left.append(line)
+            if not blank:
+                seen.append(line)
+        copies[i, t] += 1
+        want[i, "\n".join(left), len(parts), len(parts) - len(left)] += 1
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == want
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    rng = random.Random(8)
+    text = "\n".join("line %d of the long text" % rng.randrange(10**9) if k % 2 else "the line that repeats" for k in range(200_000))
+    start = time.time()
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text), (2, "alone"), (3, None)], "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert got[1].n_lines == 200_000 and 99_999 <= got[1].n_removed < 101_000
+    assert got[1].text.split("\n")[0] == "the line that repeats" and got[1].text.count("\n") == 199_999 - got[1].n_removed
 
 
 def test_line_dedup_is_native(spark, sf):
