@@ -42,7 +42,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _pieces(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the pieces that a line can share with a partner whose length differs by ``edits`` at most.
+    """Keys of the pieces that a line can share with a partner whose length differs by ``edits`` at most; null where none fits.
 
     The shorter partner of ``base`` characters is cut into ``edits + 1`` pieces.
     One of them has no edit. Left of piece j there are then j edits at most or,
@@ -58,13 +58,14 @@ def _pieces(line: Column, n: Column, edits: int) -> Column:
             for shift in range(-edits, edits + 1):
                 if abs(shift) <= j and abs(shift - more) <= edits - j:
                     piece = F.xxhash64(F.lit(j), base, F.substring(line, begin + shift + 1, size))
-                    keys.append(F.when((base >= 0) & (begin + shift >= 0), piece))
-    return F.array_compact(F.array(*keys))
+                    # One edit never leaves the line.
+                    keys.append(piece if edits <= 1 else F.when((base >= 0) & (begin + shift >= 0), piece))
+    return F.array(*keys)
 
 
 def _near_candidates(lines: DataFrame) -> DataFrame:
     """Hashes of lines that share a piece with another line."""
-    keys = lines.select("h1", F.explode("pieces").alias("key"))
+    keys = lines.select("h1", F.explode("pieces").alias("key")).where("key is not null")
     return staged(_shared_keys(keys, ["key"]).select("h1").distinct(), "near-candidates")
 
 
@@ -86,8 +87,8 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
     if max_edits < 0:
         raise ValueError("max_edits is 0 or more")
     found = _occurrences(docs, id_col, text_col)
-    n = F.length("line")
-    marked = found.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), _pieces(F.col("line"), n, max_edits).alias("pieces"))
+    marked = found.withColumn("n", F.length("line"))
+    marked = marked.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), _pieces(F.col("line"), F.col("n"), max_edits).alias("pieces"))
     lines = staged(marked, "lines")
     owners = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"))
     distinct = staged(owners, "owners")

@@ -75,7 +75,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), complete=True)
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 _OP1 = """
@@ -170,28 +170,21 @@ WITH d AS (
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM f
 """
 
-def _masked(alias: str, offsets: tuple[int, ...]) -> str:
-    return " || ' ' || ".join(f"{alias}[i + {o + 1}]" for o in offsets)
-
-
+# Laid over each other wherever they have a token in common; no seeds.
 _OP10 = f"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v FROM benchmark
-), dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {decontamination.SPAN} + 1)) AS i FROM d),
-bp AS (SELECT item_id, v, unnest(range(0, len(v) - {decontamination.SPAN} + 1)) AS i FROM b),
-ds AS ({" UNION ALL ".join(f"SELECT doc_id, w, i, {k} AS m, {_masked('w', s)} AS x FROM dp" for k, s in enumerate(decontamination.SEEDS))}),
-bs AS ({" UNION ALL ".join(f"SELECT item_id, v, i, {k} AS m, {_masked('v', s)} AS x FROM bp" for k, s in enumerate(decontamination.SEEDS))}),
-h AS (
-  SELECT DISTINCT doc_id, item_id, ds.i AS p, bs.i AS q, w, v, least(len(v), {decontamination.WINDOW}) AS width
-  FROM ds JOIN bs ON ds.m = bs.m AND ds.x = bs.x
+), dp AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+bp AS (SELECT item_id, least(len(v), {decontamination.WINDOW}) AS width, len(v) AS n, unnest(v) AS x, generate_subscripts(v, 1) AS q FROM b),
+a AS (
+  SELECT doc_id, item_id, width, n, list(q) AS places
+  FROM dp JOIN bp USING (x) GROUP BY doc_id, item_id, width, n, p - q
+  HAVING count(*) >= ceil(width * {decontamination.SHARE})
 ), y AS (
-  SELECT DISTINCT doc_id, item_id FROM h
-  WHERE list_max(list_transform(
-    range(greatest(0, q + {decontamination.SPAN} - width), least(q, len(v) - width) + 1),
-    lambda s: len(list_filter(range(s, s + width), lambda j: v[j + 1] = w[CASE WHEN p - q + j >= 0 THEN p - q + j + 1 ELSE 0 END]))
-  )) >= ceil(width * {decontamination.SHARE})
+  SELECT DISTINCT doc_id, item_id FROM a
+  WHERE list_max(list_transform(range(1, n - width + 2), lambda s: len(list_filter(places, lambda q: q >= s AND q < s + width)))) >= ceil(width * {decontamination.SHARE})
 ), z AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids FROM y GROUP BY doc_id)
 SELECT documents.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids
 FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id

@@ -386,24 +386,16 @@ def test_components_of_paths_stars_and_loops(spark):
 
 
 def contaminated(text, item):
-    """Lay the item over the text at every offset: row d of ``same`` is the one that starts at word d - m."""
+    """Lay the item over the text at every offset, also over its ends: row d of ``same`` is the one that starts at word d - m."""
     words = {}
     w, v = (np.array([words.setdefault(x, len(words)) for x in (t or "").lower().encode().split()], np.int64) for t in (text, item))
-    n, m = len(w), len(v)
-    span, width = min(decontamination.SPAN, m), min(decontamination.WINDOW, m)
-    if not m or n < span:
+    m = len(v)
+    if not m:
         return False
-    masks = decontamination.SEEDS if m >= decontamination.SPAN else [tuple(range(m))]
+    width = min(decontamination.WINDOW, m)
     none = np.full(m, -1)
     same = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, w, none]), m) == v
-    starts = np.arange(len(same))[:, None] - m + np.arange(m - span + 1)
-    hits = np.any([np.all([same[:, o : o + m - span + 1] for o in mask], axis=0) for mask in masks], axis=0)
-    hits &= (starts >= 0) & (starts <= n - span)
-    for s in range(m - width + 1):
-        enough = same[:, s : s + width].sum(axis=1) >= -(-width * 4 // 5)
-        if (enough & hits[:, s : s + width - span + 1].any(axis=1)).any():
-            return True
-    return False
+    return any((same[:, s : s + width].sum(axis=1) >= -(-width * 4 // 5)).any() for s in range(m - width + 1))
 
 
 def test_decontamination_matches_brute_force(spark, awkward):
@@ -428,7 +420,3 @@ def test_decontamination_matches_brute_force(spark, awkward):
     assert Counter((r.doc_id, r.contaminated, tuple(r.item_ids)) for r in got) == want
     clean = decontamination.decontaminate(table(spark, rows), frame)
     assert clean.columns == table(spark, []).columns and clean.count() == sum(n for (_, bad, _), n in want.items() if not bad)
-
-
-def test_masks_find_three_substitutions():
-    assert decontamination.all_masks_found(3)
