@@ -17,10 +17,21 @@ def index_tokens(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     latin = F.regexp_extract_all(low, F.lit(r"[a-z]+"), 0)
     numbers = F.regexp_extract_all(low, F.lit(r"\d+(?:\.\d+)?%?"), 0)
+    return F.concat(latin, _cjk_terms(low), numbers)
+
+
+def index_terms(text: Column) -> Column:
+    """The tokens of ``index_tokens`` in another order: one search of the text gives letters and numbers, and CJK is looked for only where there is any."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.regexp_extract_all(low, F.lit(r"[a-z]+|\d+(?:\.\d+)?%?"), 0)
+    return F.when(low.rlike(CJK), F.concat(plain, _cjk_terms(low))).otherwise(plain)
+
+
+def _cjk_terms(low: Column) -> Column:
     runs = F.regexp_extract_all(low, F.lit(CJK + "+"), 0)
     whole = F.filter(runs, lambda r: F.length(r).between(2, 8))
     trigrams = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 4), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda i: F.substring(r, i, F.lit(3)))))
-    return F.concat(latin, whole, trigrams, numbers)
+    return F.concat(whole, trigrams)
 
 
 def query_tokens(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Technical indicators over price bars (symbol, date, open, high, low, close, volume).
 
 Windows partition by symbol; exponential averages are folds over the symbol's
-bars, of which callers keep the last n (``tail``), so an array stays small.
+bars, of which there is one a day at most, so an array stays small.
 """
 
 from __future__ import annotations
@@ -111,12 +111,17 @@ def event_windows(events: DataFrame, bars: DataFrame, width: int = 10) -> DataFr
     """Per event (event_id, symbol, event_date): mean change in % of ``width`` bars before and after the nearest bar.
 
     The nearest bar is by real dates, the earlier of two equally near; changes
-    are from close to close. An event meets the bars of its symbol, of which
-    callers keep the last n, and its window is joined by bar number.
+    are from close to close. Each bar stands for the days to which it is the
+    nearest, so an event meets one row and not the bars of its symbol.
     """
-    numbered = bars.select("symbol", "date", "close", F.row_number().over(_order()).alias("n"), ((F.col("close") / F.lag("close").over(_order()) - 1) * 100).alias("pct"))
-    gap = F.abs(F.datediff("date", "event_date"))
-    near = events.join(numbered.select("symbol", "date", "n"), "symbol").groupBy("event_id", "symbol", "event_date").agg(F.min_by("n", F.struct(gap, "date")).alias("at"))
+    before, after = F.lag("date").over(_order()), F.lead("date").over(_order())
+    numbered = bars.select("symbol", "date", "close", F.row_number().over(_order()).alias("n"), ((F.col("close") / F.lag("close").over(_order()) - 1) * 100).alias("pct"), before.alias("before"), after.alias("after"))
+    half = lambda low, high: F.date_add(low, F.floor(F.datediff(high, low) / 2).cast("int"))
+    begin = F.coalesce(F.date_add(half(F.col("before"), F.col("date")), 1), F.col("date"))
+    days = numbered.select("symbol", "n", F.explode(F.sequence(begin, F.coalesce(half(F.col("date"), F.col("after")), F.col("date")))).alias("day"))
+    bounds = bars.groupBy("symbol").agg(F.min("date").alias("low"), F.max("date").alias("high"))
+    day = F.greatest(F.least("event_date", "high"), "low")
+    near = events.join(bounds, "symbol").withColumn("day", day).join(days, ["symbol", "day"]).select("event_id", "symbol", F.col("n").alias("at"))
     around = near.withColumn("n", F.explode(F.sequence(F.col("at") - width, F.col("at") + width)))
     rows = around.join(numbered.select("symbol", "n", "pct"), ["symbol", "n"])
     mean = lambda side: F.round(F.avg(F.when(side, F.col("pct"))), 4)

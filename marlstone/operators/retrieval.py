@@ -1,119 +1,181 @@
 """Search of many queries at once: BM25, token overlap, cosine, and rank fusion.
 
 Queries and documents are tables; every search returns hits (query_id, key,
-rank, score). Ties are broken by key, so results are stable.
+rank, score). Hits are ranked by scores to PRECISION decimals, below which sums of
+doubles depend on their order, and given to fewer; ties are broken by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Mapping
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_tokens
+from ..functions.predicates import metadata_filter
+from ..functions.tokens import index_terms
 from ..session import map_arrow
+from ..staging import if_few, staged
 
-#: Values of queries that one broadcast may hold in a cosine search (8 bytes each).
+#: Values of queries that a task of a cosine search holds at once (8 bytes each).
 QUERY_VALUES = 4_000_000
+PRECISION = 10
 
 
-def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The ``k`` best rows of each query with their rank; Spark limits each partition first."""
+def top_k(scored: DataFrame, k: int, score: str = "score", decimals: int = 6) -> DataFrame:
+    """The ``k`` best rows of each query with their rank, scores to ``decimals``; Spark limits each partition first."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = scored.withColumn(score, F.round(score, PRECISION))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn(score, F.round(score, decimals))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, dl, term, tf): the inverted index; dl is the number of tokens of the document."""
-    rows = docs.select(F.col(key).alias("key"), index_tokens(F.col(text)).alias("tokens"))
+    rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
     terms = rows.select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
     return terms.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def search_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> tuple[DataFrame, DataFrame]:
+    """What both text searches read: the postings of the queries' terms, and the queries' terms.
+
+    Each text is tokenised once. Only postings of terms that some query asks for
+    are shuffled: (key, dl, n, term, tf), n being the document's distinct tokens.
+    A row with a null term stands for each document, so that sizes are of all.
+    Terms are (query_id, term, qtf, m), m being the query's distinct tokens.
+    """
+    asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
+    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), F.explode("tokens").alias("term"))
+    terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
+    wanted = if_few(staged(terms.select("term").distinct().withColumn("asked", F.lit(True)), "asked-terms"))
+    rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
+    rows = rows.select("key", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    found = rows.join(wanted, "term", "left").where("asked or term is null")
+    return staged(found.groupBy("key", "dl", "n", "term").agg(F.count("*").alias("tf")), "postings"), terms
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", k1: float = 1.2, b: float = 0.75, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Okapi BM25 over the OR of the query's terms: (query_id, key, rank, score).
 
     idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive. A
     term that a query repeats counts as often. N and the mean length are of all
-    rows, empty documents included.
+    rows, empty documents included. ``index`` is what ``search_index`` gives.
     """
-    wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(index_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = wanted.select("term").distinct()
-    sizes = docs.select(F.size(index_tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # Only the terms that some query asks for are indexed.
-    found = postings(docs, key, text).join(terms, "term", "left_semi")
+    found, terms = index or search_index(docs, queries, key, text, query_key, query_text)
+    sizes = found.where("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = found.where("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight"))
+    # One row of sizes, and a row for each term of a query.
+    weights = terms.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(weights, "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 6)).where("score > 0"), k).select("query_id", "key", "rank", "score")
+    scored = found.join(if_few(staged(weights, "term-weights")), "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
+    return top_k(scored.where("score > 0"), k).select("query_id", "key", "rank", "score")
 
 
-def jaccard_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+def jaccard_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """0.7 * Jaccard of distinct tokens + 0.3 * min(1, 200 / n), n = distinct tokens of the document.
 
     Documents without a common token are no hits. The join is on tokens, not on
-    pairs of query and document.
+    pairs of query and document. ``index`` is what ``search_index`` gives.
     """
-    rows = docs.select(F.col(key).alias("key"), F.array_distinct(index_tokens(F.col(text))).alias("tokens"))
-    tokens = rows.select("key", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("term")).where("term is not null")
-    asked = queries.select(F.col(query_key).alias("query_id"), F.array_distinct(index_tokens(F.col(query_text))).alias("tokens"))
-    asked = asked.select("query_id", F.size("tokens").alias("m"), F.explode("tokens").alias("term"))
-    common = tokens.join(asked, "term").groupBy("query_id", "key", "n", "m").agg(F.count("*").alias("c"))
+    found, terms = index or search_index(docs, queries, key, text, query_key, query_text)
+    common = found.where("term is not null").join(if_few(terms), "term").groupBy("query_id", "key", "n", "m").agg(F.count("*").alias("c"))
     score = 0.7 * F.col("c") / (F.col("n") + F.col("m") - F.col("c")) + 0.3 * F.least(F.lit(1.0), 200 / F.col("n"))
-    return top_k(common.select("query_id", "key", F.round(score, 6).alias("score")), k).select("query_id", "key", "rank", "score")
+    return top_k(common.select("query_id", "key", score.alias("score")), k).select("query_id", "key", "rank", "score")
+
+
+def hybrid_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    filters: Mapping[str, Any] | None = None,
+    soft: frozenset[str] = frozenset(),
+    filter_first: bool = False,
+    weights: Mapping[str, float] | None = None,
+    method: str = "rrf",
+    threshold: float | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Both text searches at 2k, fused, filtered by metadata, cut at k and gated.
+
+    queries (query_id, query). One row per hit (query_id, stage, key, rank,
+    score, n_channels and the documents' other columns), and one with a null key
+    for a query without any. ``filters`` are those of ``metadata_filter``; with
+    ``filter_first`` the searches see the documents that pass only, so none is
+    lost behind the cut, else hits are filtered after fusion. stage is
+    ``retrieval`` without hits, ``quality_gate`` if the best score is under
+    ``threshold``, else ``pass``.
+    """
+    allowed = metadata_filter(filters or {}, soft)
+    searched = docs.where(allowed) if filter_first else docs
+    index = search_index(searched, queries, key, text)
+    both = channels({"bm25": bm25_search(searched, queries, 2 * k, key, text, index=index), "jaccard": jaccard_search(searched, queries, 2 * k, key, text, index=index)})
+    fused = staged(fuse(both, weights or {"bm25": 0.5, "jaccard": 0.5}, 2 * k, method), "fused")
+    meta = docs.where(allowed).drop(text, "query_id", "rank", "score", "n_channels", "stage").withColumnRenamed(key, "key")
+    hits = meta.join(if_few(fused), "key").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    hits = staged(hits.where(F.col("place") <= k).withColumn("rank", F.col("place")).drop("place"), "hybrid-hits")
+    gate = quality_gate(hits, queries, float("-inf") if threshold is None else threshold).select("query_id", "stage")
+    columns = [c for c in meta.columns if c != "key"]
+    return gate.join(hits, "query_id", "left").select("query_id", "stage", "key", "rank", "score", "n_channels", *columns)
 
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block_values: int = QUERY_VALUES) -> DataFrame:
     """Exact cosine of every query against every row, in blocks: (query_id, key, rank, score).
 
     A vector of norm zero, a null one or one of another length scores 0. Queries
-    are a stated set; they are broadcast in blocks of about block_values
-    numbers, each against all rows, and a task keeps only its k best per query.
+    are a stated set; they are written to the shared folder in files of about
+    block_values numbers. A task reads one block after the other and lays each
+    batch of its rows against it; only the k best of a batch leave the task.
     """
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    values = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    blocks = max(1, -(-values // block_values))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [_search_block(vectors, asked.where(block == i) if blocks > 1 else asked, k, key, vector) for i in range(blocks)]
-    return top_k(reduce(DataFrame.unionByName, parts), k).select("query_id", "key", "rank", "score")
-
-
-def _search_block(vectors: DataFrame, asked: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """The k best rows of each task for one block of queries."""
-    rows = asked.collect()
-    width = max((len(r["v"]) for r in rows), default=0)
-    matrix = np.array([list(r["v"]) + [0.0] * (width - len(r["v"])) for r in rows]).reshape(len(rows), width)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = matrix / np.where(norms > 0, norms, 1)
-    shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], unit))
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    width = vectors.select(F.size(F.col(vector)).alias("w")).agg(F.max("w")).first()[0] or 1
+    blocks = staged(asked, "query-vectors", maxRecordsPerFile=max(1, block_values // max(1, width)))
+    files = blocks.inputFiles()  # names only
     kinds = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def block(file: str) -> tuple[np.ndarray, np.ndarray]:
+            if file not in held:
+                held.clear()
+                store, path = pafs.FileSystem.from_uri(file)
+                rows = pq.read_table(path, filesystem=store)
+                held[file] = rows.column("query_id").to_numpy(), _unit(rows.column("v").combine_chunks(), width)
+            return held[file]
+
         for batch in batches:
             keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            given = batch.column(1)
-            block = np.zeros((len(keys), unit.shape[1]))
-            lengths = np.asarray(given.value_lengths().fill_null(0))
-            same = (lengths == unit.shape[1]) & (lengths > 0)
-            if same.any():
-                block[same] = np.asarray(given.filter(pa.array(same)).flatten()).reshape(-1, unit.shape[1])
-            size = np.linalg.norm(block, axis=1)
-            scores = np.round(unit @ (block / np.where(size > 0, size, 1)[:, None]).T, 6)
-            take = min(k, len(keys))
-            # By score, then by key, as in the final ranking.
-            best = np.argsort(keys, kind="stable")
-            best = best[np.argsort(-scores[:, best], axis=1, kind="stable")[:, :take]]
-            rows = np.repeat(np.arange(len(ids)), take)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(keys[best.ravel()], pa.int64()), pa.array(scores[rows, best.ravel()])], schema=kinds)
-
-    return map_arrow(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")), run, "query_id long, key long, score double")
+            rows = _unit(batch.column(1), width)
+            for file in files:
+                ids, asked = block(file)
+                scores = np.round(asked @ rows.T, PRECISION)
+                take = min(k, len(keys))
+                # By score, then by key, as in the final ranking.
+                best = np.argsort(keys, kind="stable")
+                best = best[np.argsort(-scores[:, best], axis=1, kind="stable")[:, :take]]
+                at = np.repeat(np.arange(len(ids)), take)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(keys[best.ravel()], pa.int64()), pa.array(scores[at, best.ravel()])], schema=kinds)
+
+    scored = map_arrow(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")), run, "query_id long, key long, score double")
+    return top_k(scored, k).select("query_id", "key", "rank", "score")
+
+
+def _unit(vectors: pa.Array, width: int) -> np.ndarray:
+    """The vectors scaled to length one; zeros for one that is null or of another length."""
+    out = np.zeros((len(vectors), width))
+    same = np.asarray(vectors.value_lengths().fill_null(0)) == width
+    if same.any():
+        out[same] = np.asarray(vectors.filter(pa.array(same)).flatten()).reshape(-1, width)
+    size = np.linalg.norm(out, axis=1)
+    return out / np.where(size > 0, size, 1)[:, None]
 
 
 def dedupe_ranked(hits: DataFrame, group: Column) -> DataFrame:
@@ -132,7 +194,7 @@ def channels(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def fuse(hits: DataFrame, weights: dict[str, float], k: int, method: str = "rrf", constant: int = 60) -> DataFrame:
+def fuse(hits: DataFrame, weights: Mapping[str, float], k: int, method: str = "rrf", constant: int = 60) -> DataFrame:
     """Fuse channels: (query_id, key, rank, score, n_channels).
 
     ``rrf`` sums weight / (constant + rank); ``linear`` sums weight * the score
@@ -150,8 +212,8 @@ def fuse(hits: DataFrame, weights: dict[str, float], k: int, method: str = "rrf"
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
     reciprocal = 1 / (F.lit(constant) + F.col("rank"))
     value = {"rrf": reciprocal, "linear": F.col("scaled"), "weighted_rrf": 0.7 * reciprocal + 0.3 * F.col("scaled")}[method]
-    scored = rows.groupBy("query_id", "key").agg(F.round(F.sum(weight * value), 8).alias("score"), F.count("*").alias("n_channels"))
-    return top_k(scored, k).select("query_id", "key", "rank", "score", "n_channels")
+    scored = rows.groupBy("query_id", "key").agg(F.sum(weight * value).alias("score"), F.count("*").alias("n_channels"))
+    return top_k(scored, k, decimals=8).select("query_id", "key", "rank", "score", "n_channels")
 
 
 def fusion_statistics(hits: DataFrame) -> DataFrame:
@@ -174,7 +236,7 @@ def pool_search(hits: DataFrame, weights: dict[str, float], k: int) -> DataFrame
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("pool") == name, w).otherwise(weight)
-    best = hits.groupBy("query_id", "key").agg(F.round(F.max(F.col("score") * weight), 6).alias("score"))
+    best = hits.groupBy("query_id", "key").agg(F.max(F.col("score") * weight).alias("score"))
     return top_k(best, k).select("query_id", "key", "rank", "score")
 
 

@@ -1,7 +1,6 @@
 """Indicators over daily bars. The bars are made of orders: the priority is the symbol, the price the order's total.
 
-The queries that have SQL take the last DAYS bars of each symbol, as the SQL
-does; those named ``_all`` take every bar.
+Every bar counts; only ``tail_bars`` is about the last ones.
 """
 
 from __future__ import annotations
@@ -12,16 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import indicators
 from .registry import query, table
 
+#: Bars that the tail keeps of each symbol.
 DAYS = 250
 
 _BARS = """
-all_bars AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS date, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
-  min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL),
-bars AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM all_bars) WHERE k <= 250)
+bars AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS date, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+  min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL)
 """
 
 
-def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bar of each symbol; a day gives one at most."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(
         F.min_by("o_totalprice", "o_orderkey").alias("open"),
@@ -32,9 +31,10 @@ def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_BARS} SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) WHERE k <= {DAYS}")
+def tail_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last bars of each symbol."""
-    return indicators.tail(all_bars(spark, sf_dir), DAYS)
+    return indicators.tail(bars(spark, sf_dir), DAYS)
 
 
 @query(
@@ -48,11 +48,6 @@ def bar_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.bar_statistics(bars(spark, sf_dir))
 
 
-@query()
-def bar_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.bar_statistics(all_bars(spark, sf_dir))
-
-
 @query(
     f"""WITH {_BARS} SELECT symbol, date, close,
 {", ".join(f"CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) = {n} THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING), 4) END AS ma{n}" for n in (5, 10, 20))}
@@ -62,11 +57,6 @@ def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.averages(bars(spark, sf_dir))
 
 
-@query()
-def moving_averages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.averages(all_bars(spark, sf_dir))
-
-
 @query(
     f"""WITH {_BARS},
 g AS (SELECT symbol, date, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) AS c FROM bars),
@@ -79,11 +69,6 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.rsi(bars(spark, sf_dir))
 
 
-@query()
-def rsi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.rsi(all_bars(spark, sf_dir))
-
-
 @query(
     f"""WITH {_BARS},
 a AS (SELECT symbol, date, close, count(*) OVER w AS n, avg(close) OVER w AS mid, stddev_samp(close) OVER w AS dev FROM bars
@@ -96,11 +81,6 @@ def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.bollinger(bars(spark, sf_dir))
 
 
-@query()
-def bollinger_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.bollinger(all_bars(spark, sf_dir))
-
-
 def _ewm(values: str, alpha: str) -> str:
     """The averages at every place of a list, each a fold over what comes before."""
     return f"list_transform(range(1, len({values}) + 1), lambda i: list_reduce({values}[1:i], lambda a, x: a * (1 - {alpha}) + x * {alpha}))"
@@ -121,11 +101,6 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.macd(bars(spark, sf_dir))
 
 
-@query()
-def macd_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.macd(all_bars(spark, sf_dir))
-
-
 @query(
     f"""WITH {_BARS},
 r AS (SELECT symbol, date, count(*) OVER w AS n, (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w + 1e-10) * 100 AS rsv FROM bars
@@ -140,11 +115,6 @@ def kdj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.kdj(bars(spark, sf_dir))
 
 
-@query()
-def kdj_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.kdj(all_bars(spark, sf_dir))
-
-
 @query(
     f"""WITH {_BARS},
 n AS (SELECT symbol, date, row_number() OVER w AS n, (close / lag(close) OVER w - 1) * 100 AS pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
@@ -159,11 +129,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.event_windows(_events(spark, sf_dir), bars(spark, sf_dir))
 
 
-@query()
-def event_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.event_windows(_events(spark, sf_dir), all_bars(spark, sf_dir))
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     key = F.col("n_nationkey")
@@ -180,11 +145,6 @@ def growth_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _growth(bars(spark, sf_dir))
 
 
-@query()
-def growth_rates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _growth(all_bars(spark, sf_dir))
-
-
 def _growth(daily: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 

@@ -22,39 +22,40 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"list_concat(regexp_extract_all(lower({0}), '[a-z]+'), regexp_extract_all(lower({0}), '\d+(?:\.\d+)?%?'))"
 
-_BM25 = f"""
+_BM25_AT = f"""
 bm_d AS (SELECT doc_id AS key, {_TOKENS.format("text")} AS ts FROM documents),
 bm_n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM bm_d),
 bm_p AS (SELECT key, dl, term, count(*) AS tf FROM (SELECT key, len(ts) AS dl, unnest(ts) AS term FROM bm_d) GROUP BY ALL),
 bm_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 bm_f AS (SELECT term, count(*) AS df FROM bm_p GROUP BY term),
 bm_s AS (SELECT query_id, key, round(sum(qtf * CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
-  * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 10) AS score
   FROM bm_q JOIN bm_p USING (term) JOIN bm_f USING (term), bm_n GROUP BY ALL),
-bm AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score FROM bm_s WHERE score > 0) WHERE rank <= 10)
+bm AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, round(score, 6) AS score FROM bm_s WHERE score > 0) WHERE rank <= {{0}})
 """
-_JACCARD = f"""
+_JACCARD_AT = f"""
 ja_d AS (SELECT doc_id AS key, list_distinct({_TOKENS.format("text")}) AS ts FROM documents),
 ja_q AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS ts FROM benchmark),
 ja_c AS (SELECT query_id, key, n, m, count(*) AS c FROM (SELECT key, len(ts) AS n, unnest(ts) AS t FROM ja_d)
   JOIN (SELECT query_id, len(ts) AS m, unnest(ts) AS t FROM ja_q) USING (t) GROUP BY ALL),
-ja_s AS (SELECT query_id, key, round(0.7::DOUBLE * c / (n + m - c) + 0.3::DOUBLE * least(1.0::DOUBLE, 200 / n), 6) AS score FROM ja_c),
-ja AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score FROM ja_s) WHERE rank <= 10)
+ja_s AS (SELECT query_id, key, round(0.7::DOUBLE * c / (n + m - c) + 0.3::DOUBLE * least(1.0::DOUBLE, 200 / n), 10) AS score FROM ja_c),
+ja AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, round(score, 6) AS score FROM ja_s) WHERE rank <= {{0}})
 """
+_BM25, _JACCARD = _BM25_AT.replace("{0}", "10"), _JACCARD_AT.replace("{0}", "10")
 _COSINE = f"""
 co_v AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings),
-co_s AS (SELECT q.key AS query_id, d.key, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM co_v AS q, co_v AS d WHERE q.key % {EVERY} = 0),
-co AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score FROM co_s) WHERE rank <= 10)
+co_s AS (SELECT q.key AS query_id, d.key, round(list_cosine_similarity(q.v, d.v), 10) AS score FROM co_v AS q, co_v AS d WHERE q.key % {EVERY} = 0),
+co AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, round(score, 6) AS score FROM co_s) WHERE rank <= 10)
 """
 _HITS = "hits AS (SELECT *, 'bm25' AS channel FROM bm UNION ALL SELECT *, 'jaccard' FROM ja)"
 
 
-def _fused(value: str) -> str:
+def _fused(value: str, k: int = 10) -> str:
     return f"""
-fused_s AS (SELECT query_id, key, round(sum(0.5 * ({value})), 8) AS score, count(*) AS n_channels FROM (
+fused_s AS (SELECT query_id, key, round(sum(0.5 * ({value})), 10) AS score, count(*) AS n_channels FROM (
   SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS scaled
   FROM hits WINDOW w AS (PARTITION BY query_id, channel)) GROUP BY ALL),
-fused AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score, n_channels FROM fused_s) WHERE rank <= 10)
+fused AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, round(score, 8) AS score, n_channels FROM fused_s) WHERE rank <= {k})
 """
 
 
@@ -75,7 +76,9 @@ def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.channels({"bm25": bm25_search(spark, sf_dir), "jaccard": jaccard_search(spark, sf_dir)})
+    docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    index = retrieval.search_index(docs, asked)
+    return retrieval.channels({"bm25": retrieval.bm25_search(docs, asked, TOP, index=index), "jaccard": retrieval.jaccard_search(docs, asked, TOP, index=index)})
 
 
 _EQUAL = {"bm25": 0.5, "jaccard": 0.5}
@@ -105,13 +108,31 @@ def fusion_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fusion_statistics(_both(spark, sf_dir))
 
 
-@query(f"WITH {_BM25}, {_JACCARD}, {_HITS}, {_fused('1 / (60 + rank)')} SELECT query_id, key, rank, score, n_channels, lang, source FROM fused JOIN documents ON key = doc_id WHERE n_chars >= 200")
+_TWICE = ", ".join((_BM25_AT.replace("{0}", "20"), _JACCARD_AT.replace("{0}", "20"), _HITS, _fused("1 / (60 + rank)", 20)))
+
+
+@query(
+    f"""WITH {_TWICE}, cut AS (SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, score, n_channels, lang, source
+  FROM fused JOIN documents ON key = doc_id WHERE n_chars >= 200) WHERE rank <= 10),
+best AS (SELECT query_id, max(score) AS best FROM cut GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN best IS NULL THEN 'retrieval' WHEN best < 0.012 THEN 'quality_gate' ELSE 'pass' END AS stage, key, rank, score, n_channels, lang, source
+FROM benchmark LEFT JOIN best ON best.query_id = item_id LEFT JOIN cut ON cut.query_id = item_id"""
+)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both channels, fused, joined to the documents and filtered by metadata afterwards."""
-    from ..functions.predicates import metadata_filter
+    """Both channels at twice the cut, fused, filtered by metadata, cut and gated."""
+    docs = table(spark, sf_dir, "documents")
+    out = retrieval.hybrid_search(docs, _asked(spark, sf_dir), TOP, {"n_chars": {"$gte": 200}}, threshold=0.012)
+    return out.select("query_id", "stage", "key", "rank", "score", "n_channels", "lang", "source")
+
+
+_FIRST = ", ".join((_BM25_AT.replace("{0}", "20").replace("FROM documents", "FROM documents WHERE lang = 'en'"), _JACCARD_AT.replace("{0}", "20").replace("FROM documents", "FROM documents WHERE lang = 'en'"), _HITS, _fused("0.7 / (60 + rank) + 0.3 * scaled", 20)))
+
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "source", "n_chars")
-    return rrf_fusion(spark, sf_dir).join(docs, "key").where(metadata_filter({"n_chars": {"$gte": 200}})).select("query_id", "key", "rank", "score", "n_channels", "lang", "source")
+@query(f"WITH {_FIRST} SELECT query_id, key, rank, score, n_channels FROM fused WHERE rank <= 10")
+def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter before both searches, fused by ranks and scores."""
+    out = retrieval.hybrid_search(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), TOP, {"lang": "en"}, filter_first=True, method="weighted_rrf")
+    return out.where("key is not null").select("query_id", "key", "rank", "score", "n_channels")
 
 
 @query(
@@ -130,7 +151,7 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_JACCARD}, s AS (SELECT query_id, key, round(score * CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 2.0 ELSE 1.0 END, 6) AS score FROM ja JOIN documents ON key = doc_id)
+    f"""WITH {_JACCARD}, s AS (SELECT query_id, key, round(score * CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 2.0 ELSE 1.0 END, 6) AS score FROM ja JOIN documents ON key = doc_id)
 SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score FROM s) WHERE rank <= 5"""
 )
 def pool_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,11 @@
-"""The indicators over every bar, against plain loops over a small table of orders and the uncut SQL."""
+"""The indicators over every bar, against plain loops over a small table of orders."""
 
 import datetime as dt
 import random
 
 import pytest
 
-from marlstone.plans import market, registry
-
-from .oracle import assert_same
-
-CUT = " WHERE k <= 250"
-
+from marlstone.plans import market
 
 @pytest.fixture(scope="module")
 def orders(spark, tmp_path_factory):
@@ -23,13 +18,6 @@ def orders(spark, tmp_path_factory):
     return at, rows
 
 
-@pytest.mark.parametrize("name", ["bar_statistics", "moving_averages", "rsi", "bollinger", "macd", "kdj", "event_windows", "growth_rates"])
-def test_all_bars_match_the_sql_without_its_cut(spark, sf, name):
-    sql = registry.oracle_sql()[name]
-    assert CUT in sql
-    assert_same(registry.queries()[f"{name}_all"](spark, sf), sql.replace(CUT, ""), sf)
-
-
 def test_averages_begin_at_the_first_bar(spark, orders):
     at, rows = orders
     for symbol in ("1-URGENT", "5-LOW"):
@@ -41,12 +29,12 @@ def test_averages_begin_at_the_first_bar(spark, orders):
             fast, slow = fast * 11 / 13 + x * 2 / 13, slow * 25 / 27 + x * 2 / 27
             dea = fast - slow if dea is None else dea * 0.8 + (fast - slow) * 0.2
             want.append((fast - slow, dea))
-        got = market.macd_all(spark, at).where(f"symbol = '{symbol}'").orderBy("date").collect()
+        got = market.macd(spark, at).where(f"symbol = '{symbol}'").orderBy("date").collect()
         assert len(got) == 300
         assert all(abs(r.dif - f) < 1e-3 and abs(r.dea - d) < 1e-3 for r, (f, d) in zip(got, want, strict=True))
 
 
 def test_events_have_bars_before_them(spark, orders):
     at, _ = orders
-    got = {r.event_id: r for r in market.event_windows_all(spark, at).collect()}
+    got = {r.event_id: r for r in market.event_windows(spark, at).collect()}
     assert got[0].n_bars == 21 and got[0].before_pct is not None
