@@ -57,22 +57,63 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
-def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) that pages state themselves: ``<link rel=canonical>`` and meta refresh.
+#: Entities of HTML that a URL may hold, the ampersand last.
+_ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _without_dots(target: Column) -> Column:
+    """A path, with what follows it, without its ``.`` and ``..`` parts."""
+    path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    parts = F.split(path, "/", -1)
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == ".", done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    return F.concat(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"), rest)
+
 
-    Only absolute targets count. Pages with a null URL or null html state none.
+def resolved(base: Column, target: Column) -> Column:
+    """The URL that ``target`` means on the page ``base``: absolute, without scheme, without host or relative to the folder.
+
+    Null where either is null, where the base has no ``://``, for an empty
+    target or a mere fragment, and for schemes without ``://``.
     """
-    tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-    moved = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    canonical = F.regexp_extract(F.regexp_extract(html, tag, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, moved, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return (
-        pages.select(F.col(url_col).alias("a"), F.explode(F.array(canonical, refresh)).alias("b"))
-        .where("a is not null and instr(b, '://') > 0")
-        .select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b"))
-        .where("a <> b")
+    scheme, rest = F.substring_index(base, "://", 1), _after_scheme(base)
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^.*/", 0)
+    root = F.concat(scheme, F.lit("://"), host)
+    found = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(F.instr(target, "://") > 0, target))
+        .when(F.instr(base, "://") == 0, None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(target)))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when((target == "") | target.startswith("#"), None)
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), target))))
     )
+    return F.when(base.isNotNull(), found)
+
+
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Edges (a, b) that pages state themselves: every ``<link rel=canonical>`` and meta refresh.
+
+    Targets are decoded and resolved against the page's URL. Pages with a null
+    URL or null html state none. The html is searched once, for tags.
+    """
+    tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    rows = pages.select(F.col(url_col).alias("a"), F.explode(tags).alias("tag")).where("a is not null")
+    tag = F.col("tag")
+    href = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    canonical = tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
+    refresh = tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
+    to = F.when(canonical, F.concat(*(F.regexp_extract(tag, href, i) for i in (1, 2, 3)))).when(refresh, F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    for name, sign in _ENTITIES:
+        to = F.replace(to, F.lit(name), F.lit(sign))
+    rows = rows.where(canonical | refresh).select("a", F.trim(to).alias("to")).select("a", resolved(F.col("a"), F.col("to")).alias("b"))
+    return rows.where("b is not null").select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")).where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

@@ -16,6 +16,8 @@ any store that pyarrow knows; it must be one that all executors share.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -199,13 +201,30 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
 
 
+def _declared(value: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a labelled digest, which is in hex or base32; null if it is of neither form."""
+    name, _, text = value.partition(":")
+    if name.lower() not in ("sha256", "sha1", "md5", "sha512"):
+        return None
+    size = hashlib.new(name.lower()).digest_size
+    for decode in (bytes.fromhex, lambda x: base64.b32decode(x.upper() + "=" * (-len(x) % 8))):
+        try:
+            if len(found := decode(text)) == size:
+                return name.lower(), found
+        except (ValueError, binascii.Error):
+            continue
+    return None
+
+
 def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
     """The records of one archive, in order.
 
-    Each has headers, type, payload_bytes, payload_digest, digest_ok, and with
-    ``with_payload`` the payload. The length of a revisit's payload comes from
-    the HTTP header that it keeps; its digest is the declared one. Wrong framing
-    raises ValueError; a wrong digest is reported in digest_ok.
+    Each has headers, type, payload_bytes, payload_digest (hex SHA-256),
+    digest_ok, and with ``with_payload`` the payload. Declared digests may be
+    SHA-256, SHA-1, SHA-512 or MD5, in hex or base32; others are not verified, and
+    digest_ok is null if nothing could be. The length of a revisit's payload comes
+    from the HTTP header that it keeps; its digest is the declared one, in hex.
+    Wrong framing raises ValueError; a wrong digest is reported in digest_ok.
     """
     member = _Member(stream)
     while member.open():
@@ -214,11 +233,14 @@ def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
             raise ValueError("a gzip member is not a WARC record")
         fields = _fields(head)
         kind, length = fields.get("warc-type", ""), int(fields["content-length"])
-        whole, payload = hashlib.sha256(), hashlib.sha256()
+        declared, of_block = (_declared(fields.get(f"warc-{x}-digest", "")) for x in ("payload", "block"))
+        payload = hashlib.sha256()
+        same, whole = (hashlib.new(x[0]) if x else None for x in (declared, of_block))
         http: dict[str, str] | None = None if "application/http" in fields.get("content-type", "") else {}
         start, size, kept = b"", 0, []
         for part in member.take(length):
-            whole.update(part)
+            if whole:
+                whole.update(part)
             if http is None:
                 start += part
                 at = start.find(_END)
@@ -226,31 +248,35 @@ def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
                     continue
                 http, part = _fields(start[: at + len(_END)]), start[at + len(_END) :]
             payload.update(part)
+            if same:
+                same.update(part)
             size += len(part)
             if with_payload:
                 kept.append(part)
         member.close()
-        declared = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        block = fields.get("warc-block-digest", "").removeprefix("sha256:")
-        good = not block or block == whole.hexdigest()
+        checks = [whole.digest() == of_block[1]] if whole else []
         if kind == "revisit":
-            size, digest = int((http or {}).get("content-length", 0)), declared
+            size, digest = int((http or {}).get("content-length", 0)), declared[1].hex() if declared else None
         else:
             digest = payload.hexdigest()
-            good = good and (not declared or declared == digest)
+            checks += [same.digest() == declared[1]] if same else []
+        good = all(checks) if checks else None
         yield {"headers": fields, "type": kind, "payload_bytes": size, "payload_digest": digest, "digest_ok": good, "payload": b"".join(kept) if with_payload else None}
 
 
-def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False, with_ids: bool = False) -> DataFrame:
     """The records of the archives that ``manifest`` names in column path.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url,
-    digest_ok, and with ``with_payload`` the payload. An archive is the unit of
+    digest_ok, with ``with_ids`` also record_id and refers_to_id as they stand in
+    the archive (page_id and refers_to are null for records that this writer has
+    not made), and with ``with_payload`` the payload. An archive is the unit of
     work: it can only be read in sequence, and its size is bounded.
     """
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("digest_ok", pa.bool_())]
+    fields += [("record_id", pa.string()), ("refers_to_id", pa.string())] if with_ids else []
     kinds = pa.schema(fields + ([("payload", pa.binary())] if with_payload else []))
-    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, digest_ok boolean" + ", payload binary" * with_payload
+    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, digest_ok boolean" + ", record_id string, refers_to_id string" * with_ids + ", payload binary" * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
@@ -263,6 +289,7 @@ def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False) -> D
                             continue
                         h = r["headers"]
                         row = [_from_urn(h.get("warc-record-id")), r["payload_bytes"], r["payload_digest"], r["type"], _from_urn(h.get("warc-refers-to")), h.get("warc-target-uri"), r["digest_ok"]]
+                        row += [h.get("warc-record-id"), h.get("warc-refers-to")] if with_ids else []
                         rows.append(row + ([r["payload"]] if with_payload else []))
                         held += len(r["payload"] or b"") + 200
                         if held > 8 << 20:
