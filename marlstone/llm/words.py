@@ -15,7 +15,7 @@ import xxhash
 #: Bytes of text that are turned into arrays at once; a longer text is its own chunk.
 CHUNK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
-_VOCABULARY = 1 << 19
+_VOCABULARY = 1 << 18
 
 
 class WordHashes(dict):
