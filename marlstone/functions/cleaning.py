@@ -17,13 +17,14 @@ from ..session import share_package
 
 # The patterns of each step.
 TAG = r"<[^>]+>"
-URL = r"https?://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
+URL_SIGNS = r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
+URL = rf"https?://{URL_SIGNS}|www\.{URL_SIGNS}"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 REPEATED = r"([^\d])\1{4,}"
-BOILERPLATE = ("免责声明", "版权所有", "转载请注明", "all rights reserved", "disclaimer", "copyright")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+BOILERPLATE = ("版权", "copyright", "关注", "微信", "公众号", "扫码", "二维码", "点击阅读原文", "免责声明", "转载", "来源", "编辑", "责编", "版权与免责声明", "all rights reserved", "disclaimer")
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def strip_tags(text: Column) -> Column:
@@ -42,7 +43,7 @@ def strip_emails(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def normalize_nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, for which Spark has no expression."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
 def strip_control(text: Column) -> Column:
@@ -68,14 +69,16 @@ def drop_boilerplate(text: Column, words: tuple[str, ...] = BOILERPLATE, around:
 def collapse_whitespace(text: Column) -> Column:
     out = F.regexp_replace(text, r"\n{3,}", "\n\n")
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    return F.regexp_replace(out, r"([。！？；，、])[ \t]+", "$1")
+    return F.regexp_replace(out, r"([，。！？；：])[ \t]+", "$1")
 
 
 def dedup_paragraphs(text: Column, separator: str = "\n\n") -> Column:
-    """The first of equal paragraphs stays; blank ones all stay."""
-    parts = F.split(text, separator, -1)
-    bare = F.transform(parts, strip)
-    return F.array_join(F.filter(parts, lambda x, i: (strip(x) == "") | (F.array_position(bare, strip(x)) == i + 1)), separator)
+    """The first of equal paragraphs stays; blank ones all stay. In time n log n: equals are neighbours once sorted."""
+    rows = F.array_sort(F.transform(F.split(text, separator, -1), lambda x, i: F.struct(strip(x).alias("bare"), i.alias("at"), x.alias("whole"))))
+    before = lambda s: F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["bare"]))
+    # The sorted array is a lambda's argument, so that it is made once.
+    kept = F.transform(F.array(rows), lambda s: F.zip_with(s, F.slice(before(s), F.lit(1), F.size(s)), lambda x, last: F.when((x["bare"] == "") | last.isNull() | (last != x["bare"]), F.struct(x["at"].alias("at"), x["whole"].alias("whole")))))[0]
+    return F.when(text.isNotNull(), F.array_join(F.transform(F.array_sort(F.filter(kept, lambda x: x.isNotNull())), lambda x: x["whole"]), separator))
 
 
 def strip(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -66,6 +67,29 @@ def relevance_gate(text: Column, words: list[str], script: str = CJK, min_chars:
     return F.struct(reason.isNull().alias("passed"), reason.alias("reason"), F.coalesce(hits, F.lit(0)).alias("hits"))
 
 
+def document_detector(text: Column, rules: list[tuple[str, list[str] | str, int]], other: str = "other", least_chars: int = 100, long: str | None = None) -> Column:
+    """The first label whose rule holds, in order.
+
+    A rule (label, words, least) asks for so many distinct words, a rule
+    (label, pattern, 1) for a match. Words are found without overlap, the longest
+    first, so a word within a longer one is not counted. Without any, a text of
+    more than ``least_chars`` characters is ``long``, if that is given.
+    """
+    words = sorted({w for _, rule, _ in rules if not isinstance(rule, str) for w in rule}, key=lambda w: (-len(w), w))
+    pattern = "|".join(re.escape(w) for w in words)
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)) if words else F.array().cast("array<string>")
+
+    def label(hits: Column) -> Column:
+        out = F.when(F.length(text) > least_chars, long).otherwise(other) if long else F.lit(other)
+        for name, rule, least in reversed(rules):
+            holds = text.rlike(rule) if isinstance(rule, str) else F.size(F.array_intersect(hits, F.array(*(F.lit(w) for w in rule)))) >= least
+            out = F.when(holds, F.lit(name)).otherwise(out)
+        return out
+
+    # The hits are a lambda's argument, so that the text is searched for words once.
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", other).otherwise(F.transform(F.array(found), label)[0])
+
+
 def keyword_class(text: Column, words: Mapping[str, list[str]], other: str = "other") -> Column:
     """struct(label, confidence): the class with most distinct keywords; the first declared of equals.
 
@@ -90,6 +114,10 @@ def intent_class(text: Column, intents: Mapping[str, tuple[list[str], list[str]]
     return F.struct(F.when(best["score"] > 0, best["intent"]).otherwise(F.lit(default)).alias("intent"), F.when(best["score"] > 0, best["score"]).otherwise(F.lit(0.5)).alias("score"))
 
 
+#: Lower limits of A to D for answer checks.
+GUARD_BANDS = (0.9, 0.8, 0.65, 0.5)
+
+
 def grade(score: Column, bands: tuple[float, ...] = (0.9, 0.75, 0.6, 0.4), names: str = "ABCDF") -> Column:
     """The letter of the highest band that ``score`` reaches."""
     out = F.lit(names[-1])

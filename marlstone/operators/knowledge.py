@@ -22,6 +22,25 @@ def first_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("row_of_key", F.row_number().over(one)).where("row_of_key = 1").drop("row_of_key")
 
 
+def titled(rows: DataFrame, title: str, order: list[Column], untitled: str = "drop") -> DataFrame:
+    """One row per title, the first in order; rows without a title all go (``drop``) or all stay (``keep``).
+
+    Several sources are united first; they need not have the same columns.
+    """
+    has = F.trim(F.coalesce(F.col(title), F.lit(""))) != ""
+    one = first_of(rows.where(has), [title], order)
+    return one if untitled == "drop" else one.unionByName(rows.where(~has))
+
+
+def united(sources: dict[str, DataFrame], column: str = "source") -> DataFrame:
+    """Rows of several sources in one table, with the name of each; missing columns are null."""
+    out = None
+    for name, rows in sources.items():
+        part = rows.withColumn(column, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def new_documents(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Incoming rows whose key is not there yet; of equal keys the first."""
     return first_of(incoming.join(existing.select(key), key, "left_anti"), [key], order)
@@ -52,13 +71,14 @@ def keyword_match(keyword: str, text: str = "text", source: str = "source") -> C
 def upsert(docs: DataFrame, rows: DataFrame, prefix: Column, key: str) -> DataFrame:
     """Rows replace the documents whose key starts with the prefix of one of them.
 
-    The rows are an edit of a knowledge base and few: their prefixes are counted
-    before they are broadcast, and over a thousand are an error.
+    Prefixes are compared by equality, one join for each length that they have,
+    so that any number of them is a hash join and not a test of all pairs.
     """
-    heads = rows.select(prefix.alias("head")).distinct()
-    if heads.limit(1001).count() > 1000:
-        raise ValueError("upsert takes at most 1000 prefixes at once")
-    kept = docs.join(F.broadcast(heads), F.col(key).startswith(F.col("head")), "left_anti")
+    heads = rows.select(prefix.alias("head")).where("head is not null").distinct()
+    kept = docs
+    for (n,) in heads.select(F.length("head")).distinct().orderBy(F.length("head")).collect():  # few lengths
+        some = heads.where(F.length("head") == n)
+        kept = kept.join(some, F.substring(F.col(key), 1, n) == F.col("head"), "left_anti")
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
@@ -74,25 +94,54 @@ def field_coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
     return counts.selectExpr("n", f"stack({len(fields)}, {pairs}) AS (field, present)").select("field", "present", F.round(F.col("present") / F.col("n"), 4).alias("share"))
 
 
-def save_snapshot(docs: DataFrame, path: str, version: int, key: str = "key") -> DataFrame:
-    """Write a version and its manifest row (version, n_docs, checksum); the checksum does not depend on order."""
+def save_snapshot(docs: DataFrame, path: str, version: int) -> DataFrame:
+    """Write a version and then its manifest row (version, n_docs, checksum), which is what makes it count.
+
+    A version that is there is not written again: its folder is replaced only
+    after its manifest is gone, so a write that fails leaves a version without a
+    manifest, which ``current_version`` does not see, and never a mixed one.
+    """
+    spark = docs.sparkSession
+    _delete(spark, f"{path}/manifest/v={version}")
     docs.write.mode("overwrite").parquet(f"{path}/v={version}")
-    written = docs.sparkSession.read.parquet(f"{path}/v={version}")
-    manifest = written.agg(F.lit(version).alias("version"), F.count("*").alias("n_docs"), checksum(F.col(key)).alias("checksum"))
+    written = spark.read.parquet(f"{path}/v={version}")
+    manifest = written.agg(F.lit(version).alias("version"), F.count("*").alias("n_docs"), checksum(written).alias("checksum"))
     manifest.write.mode("overwrite").parquet(f"{path}/manifest/v={version}")
-    return docs.sparkSession.read.parquet(f"{path}/manifest/v={version}")
+    return spark.read.parquet(f"{path}/manifest/v={version}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def checksum(rows: DataFrame) -> Column:
+    """Sum of the hashes of whole rows, each modulo two to the power of 31; it does not depend on their order."""
+    return F.sum(F.pmod(F.xxhash64(*sorted(rows.columns)), F.lit(1 << 31)))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions with a manifest, ascending; one folder name each."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(root) if fs.exists(root) else []
+    return sorted(int(x.getPath().getName().removeprefix("v=")) for x in found if x.getPath().getName().startswith("v="))
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    known = versions(spark, path)
+    return known[-1] if known else None
 
 
-def checksum(key: Column) -> Column:
-    """Sum of row hashes, modulo two to the power of 62."""
-    return F.sum(F.pmod(F.xxhash64(key), F.lit(1 << 31)))
+def next_version(spark: SparkSession, path: str) -> int:
+    return (current_version(spark, path) or 0) + 1
 
 
-def load_snapshot(spark: SparkSession, path: str, version: int, key: str = "key") -> DataFrame:
+def load_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
     """A version, after its checksum was compared; a mismatch is an error."""
     docs = spark.read.parquet(f"{path}/v={version}")
     want = spark.read.parquet(f"{path}/manifest/v={version}").first()
-    have = docs.agg(F.count("*").alias("n"), checksum(F.col(key)).alias("c")).first()
+    have = docs.agg(F.count("*").alias("n"), checksum(docs).alias("c")).first()
     if (have["n"], have["c"]) != (want["n_docs"], want["checksum"]):
         raise ValueError(f"snapshot {version} does not match its manifest")
     return docs

@@ -76,13 +76,13 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id) AS k FROM (
-SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)) WHERE k = 1"""
+    """WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)
+SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id) AS k FROM t WHERE title <> '') WHERE k = 1"""
 )
 def title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News items deduplicated by title, the first wins."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return knowledge.first_of(rows, ["title"], [F.col("page_id")]).select("page_id", "url")
+    """News items deduplicated by title, the first wins; items without a title are none."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    return knowledge.titled(rows, "title", [F.col("page_id")]).select("page_id", "url")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

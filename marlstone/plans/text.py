@@ -17,16 +17,25 @@ INTENTS = {"legal": (["license", "rights"], [r"(?i)version \d"]), "tabular": (["
 NAMES = {"MIT License": "MIT", "Apache License, Version 2.0": "Apache", "GNU General Public License": "GPL", "CC BY-NC 4.0": "CC"}
 
 
+_URL = r"[A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]+"
+#: The steps html, urls, emails, control and whitespace; RE2 has no back references, so repeated characters are left out.
+_CLEANED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', '', 'g'), "
+    f"'https?://{_URL}|www\\.{_URL}', '', 'g'), "
+    r"'[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), "
+    r"'\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '([，。！？；：])[ \t]+', '\1', 'g')"
+)
+
+
 @query(
     r"""
 SELECT page_id, length(html) AS before_chars, length(c) AS after_chars, md5(c) AS cleaned_md5,
        round(CASE WHEN length(html) > 0 THEN length(c) / length(html) ELSE 1.0 END, 4) AS retention,
        length(c) > 0 AND length(html) > 0 AND length(c) / length(html) < 0.3 AS over_cleaned,
        length(html) > 0 AND length(c) = 0 AS emptied
-FROM (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  html, '<[^>]+>', '', 'g'), 'https?://[A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]+', '', 'g'),
-  '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '', 'g'),
-  '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g') AS c FROM pages)
+FROM (SELECT page_id, html, """
+    + _CLEANED.format("html")
+    + r""" AS c FROM pages)
 """
 )
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +162,12 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id,
   CASE WHEN contains(text, 'Apache License, Version 2.0') THEN 'Apache' WHEN contains(text, 'GNU General Public License') THEN 'GPL'
        WHEN contains(text, 'CC BY-NC 4.0') THEN 'CC' WHEN contains(text, 'MIT License') THEN 'MIT' END AS company,
-  CASE WHEN regexp_matches(text, '(\d{4})-(\d{1,2})-(\d{1,2})') THEN regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 1) || '-' ||
-       lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 3), 2, '0')
-       WHEN regexp_matches(text, '(\d{4})/(\d{1,2})/(\d{1,2})') THEN regexp_extract(text, '(\d{4})/(\d{1,2})/(\d{1,2})', 1) || '-' ||
-       lpad(regexp_extract(text, '(\d{4})/(\d{1,2})/(\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})/(\d{1,2})/(\d{1,2})', 3), 2, '0') END AS publish_date,
+  CASE WHEN regexp_matches(text, '\d{4}\s*[QH]\d') THEN regexp_extract(text, '(\d{4})\s*([QH]\d)', 1) || '-' || CASE regexp_extract(text, '(\d{4})\s*([QH]\d)', 2)
+         WHEN 'Q1' THEN '03' WHEN 'Q2' THEN '06' WHEN 'H1' THEN '06' WHEN 'Q3' THEN '09' ELSE '12' END
+       WHEN regexp_matches(text, '\d{4}[-/]\d{1,2}[-/]\d{1,2}') THEN regexp_extract(text, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 1) || '-' ||
+         lpad(regexp_extract(text, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 3), 2, '0')
+       WHEN regexp_matches(text, '\d{4}[-/]\d{1,2}') THEN regexp_extract(text, '(\d{4})[-/](\d{1,2})', 1) || '-' || lpad(regexp_extract(text, '(\d{4})[-/](\d{1,2})', 2), 2, '0')
+       WHEN regexp_matches(text, '\d{8}') THEN substr(regexp_extract(text, '\d{8}'), 1, 4) || '-' || substr(regexp_extract(text, '\d{8}'), 5, 2) || '-' || substr(regexp_extract(text, '\d{8}'), 7, 2) END AS publish_date,
   CASE WHEN e > 0 AND e >= d AND e >= f THEN 'english' WHEN d > 0 AND d >= f THEN 'german' WHEN f > 0 THEN 'french' END AS sector,
   round((1 + 1 + (CASE WHEN lang <> '' THEN 1 ELSE 0 END)) / 3, 4) AS completeness
 FROM (SELECT *, contains(text, 'the')::INT + contains(text, 'and')::INT AS e, contains(text, 'der')::INT + contains(text, 'und')::INT AS d,
