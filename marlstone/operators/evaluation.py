@@ -55,9 +55,53 @@ def compare_to_baseline(now: DataFrame, base: DataFrame, keys: list[str], tolera
     return rows.withColumn("verdict", F.when(gain > tolerance, "better").when(gain < -tolerance, "worse").otherwise("same"))
 
 
-# Weights of the four layers and the limits of risk.
+def gate_evaluation(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row (n_cases, accuracy, false_block_rate, false_pass_rate, diagnostics_complete, n_known_limits).
+
+    cases (case_id, expected ``pass`` or ``block``, expected_stage or null,
+    known_limit), outcomes (case_id, blocked, stage). A blocked case is right
+    only at the stage that is expected, if one is. A block without a stage is an
+    incomplete diagnosis. Cases of a known limit are counted, not judged. Rates
+    without cases are 0.
+    """
+    rows = cases.join(outcomes, "case_id")
+    want = F.col("expected") == "block"
+    right = (F.col("blocked") == want) & (~F.col("blocked") | F.col("expected_stage").isNull() | F.col("stage").eqNullSafe(F.col("expected_stage")))
+    told = ~F.col("blocked") | F.col("stage").isNotNull()
+    judged = ~F.coalesce("known_limit", F.lit(False))
+    count = lambda c: F.sum(F.when(judged & c, 1).otherwise(0))
+    rate = lambda part, whole: F.round(F.coalesce(count(part) / F.nullif(count(whole), F.lit(0)), F.lit(0.0)), 6)
+    every = F.lit(True)
+    return rows.agg(
+        F.coalesce(count(every), F.lit(0)).cast("long").alias("n_cases"),
+        rate(right, every).alias("accuracy"),
+        rate(~want & F.col("blocked"), ~want).alias("false_block_rate"),
+        rate(want & ~F.col("blocked"), want).alias("false_pass_rate"),
+        rate(told, every).alias("diagnostics_complete"),
+        F.coalesce(F.sum(F.when(judged, 0).otherwise(1)), F.lit(0)).cast("long").alias("n_known_limits"),
+    )
+
+
+def worst_queries(metrics: DataFrame, n: int = 5, by: str = "recall") -> DataFrame:
+    """The ``n`` queries of the least value, in order; equal ones by id."""
+    return metrics.orderBy(by, "query_id").limit(n)
+
+
+# Weights of the four layers, limits, units after numbers, and words that refer to a source.
 LAYERS = {"grounding": 0.417, "numbers": 0.25, "citations": 0.167, "structure": 0.167}
 GROUNDED_SHARE = 0.3
+NUMBER = r"\d+(?:\.\d+)?\s*[%％万亿元美刀港币人民块个台套条家次份月年日季]?"
+REFERENCES = ["来源", "引用", "参考", "根据", "数据显示", "据报", "资料", "报告"]
+LOOSE_REFERENCES = [*REFERENCES, "新闻", "报道", "分析", "评估", "显示", "表明", "认为"]
+SECTIONS = {
+    "rag": [r"(?i)(?:^|\n)#+\s*(?:摘要|概述|总结|Summary|Overview)", r"(?i)(?:^|\n)#+\s*(?:要点|关键|发现|Key|Finding)", r"(?i)(?:^|\n)#+\s*(?:分析|Analysis|详情)", r"(?i)(?:^|\n)#+\s*(?:风险|注意|提示|Risk|Warning|Caution)"],
+    "analysis": [
+        r"(?i)关键信号|核心信号|主要信号|重要信号|Key\s*Signal|signal",
+        r"(?i)影响分析|多维影响|行业影响|市场影响|Impact|冲击|波及|利好|利空|受益|受损",
+        r"(?i)风险提示|风险因素|不确定因素|注意事项|Risk|Warning|潜在风险|下行风险|风险点",
+        r"(?i)后续关注|持续关注|投资建议|投资启示|趋势|展望|Watch|建议关注|下一步|值得关注",
+    ],
+}
 
 
 def content_words(text: Column, stop: list[str]) -> Column:
@@ -66,45 +110,33 @@ def content_words(text: Column, stop: list[str]) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*(F.lit(w) for w in stop)))
 
 
-def sentences(text: Column, min_chars: int = 8) -> Column:
+def sentences(text: Column, min_chars: int = 8, ends: str = r"[。！？.!?\n]") -> Column:
     """Parts between sentence ends with more than ``min_chars`` characters."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[。！？.!?\n]", -1)
+    parts = F.split(F.coalesce(text, F.lit("")), ends, -1)
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > min_chars)
 
 
-def grounding(answer: Column, source: Column, stop: list[str], share: float = GROUNDED_SHARE) -> Column:
-    """The share of sentences whose words occur in the source to at least ``share``; fewer than two words count as anchored."""
-    known = content_words(source, stop)
-    each = F.transform(sentences(answer), lambda s: content_words(s, stop))
-    anchored = F.filter(each, lambda w: (F.size(w) < 2) | (F.size(F.array_intersect(w, known)) / F.size(w) >= share))
-    return F.when(F.size(each) == 0, F.lit(0.0)).otherwise(F.round(F.size(anchored) / F.size(each), 4))
-
-
 def numbers(text: Column) -> Column:
-    """Numbers with their unit sign, without citation marks; whole numbers without decimals."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\d+\]", "")
-    found = F.regexp_extract_all(plain, F.lit(r"\d+(?:\.\d+)?[%亿万元]?"), 0)
-    return F.transform(found, lambda x: F.regexp_replace(x, r"\.0+(?=\D|$)", ""))
-
-
-def number_fidelity(answer: Column, source: Column) -> Column:
-    """The share of the answer's numbers that the source has; 1 without numbers."""
-    asked, known = numbers(answer), numbers(source)
-    return F.when(F.size(asked) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.filter(asked, lambda x: F.array_contains(known, x))) / F.size(asked), 4))
+    """Numbers with their unit, without citation marks; whole numbers without decimals."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\d+\]", " ")
+    found = F.regexp_extract_all(plain, F.lit(NUMBER), 0)
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), r"\.0+(?=\D|$)", ""))
 
 
-def citation_integrity(answer: Column, n_sources: Column) -> Column:
-    """0.9 times the share of valid marks, and 0.1 for two different ones; without marks 0.6 if there are sources, else 0.2."""
-    marks = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))
+def citation_integrity(answer: Column, n_sources: Column, mode: str = "rag") -> Column:
+    """0.9 times the share of valid marks, and 0.1 for two or more; without marks by whether words refer to a source."""
+    marks = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[(\d+)\]"), 1), lambda x: x.try_cast("long"))
     valid = F.filter(marks, lambda m: m.between(1, n_sources))
-    score = 0.9 * F.size(valid) / F.size(marks) + F.when(F.size(F.array_distinct(valid)) >= 2, 0.1).otherwise(0.0)
-    return F.when(F.size(marks) > 0, F.round(score, 4)).when(n_sources > 0, 0.6).otherwise(0.2)
+    score = F.least(F.lit(1.0), 0.9 * F.size(valid) / F.size(marks) + F.when(F.size(marks) >= 2, 0.1).otherwise(0.0))
+    words, high, low = (LOOSE_REFERENCES, 0.8, 0.6) if mode == "analysis" else (REFERENCES, 0.6, 0.2)
+    refers = F.coalesce(answer, F.lit("")).rlike("|".join(words))
+    return F.when(F.size(marks) > 0, F.round(score, 4)).when(refers, high).otherwise(low)
 
 
 def structure(answer: Column, patterns: list[str]) -> Column:
-    """A share of 0.8 for the patterns found, and 0.2 for two or more of them."""
+    """The share of the patterns found, and 0.2 for two or more of them, at most 1."""
     found = sum((F.coalesce(answer, F.lit("")).rlike(p).cast("int") for p in patterns), F.lit(0))
-    return F.round(F.least(F.lit(1.0), 0.8 * found / len(patterns) + F.when(found >= 2, 0.2).otherwise(0.0)), 4)
+    return F.round(F.least(F.lit(1.0), found / len(patterns) + F.when(found >= 2, 0.2).otherwise(0.0)), 4)
 
 
 def overall(layers: dict[str, Column]) -> Column:
@@ -113,5 +145,7 @@ def overall(layers: dict[str, Column]) -> Column:
     return F.round(sum((LAYERS[k] * c for k, c in layers.items()), F.lit(0.0)) / total, 4)
 
 
-def risk(score: Column) -> Column:
-    return F.when(score >= 0.8, "low").when(score >= 0.6, "medium").otherwise("high")
+def risk(score: Column, unanchored: Column | None = None) -> Column:
+    """low from 0.8 with every sentence anchored, medium from 0.6 with two at most that are not, else high."""
+    loose = F.lit(0) if unanchored is None else unanchored
+    return F.when((score >= 0.8) & (loose == 0), "low").when((score >= 0.6) & (loose <= 2), "medium").otherwise("high")

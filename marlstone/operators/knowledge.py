@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def doc_key(source: Column, text: Column) -> Column:
     """Identity of a document: 16 digits of the SHA-256 of its source and first 200 characters."""
@@ -145,3 +147,44 @@ def load_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
     if (have["n"], have["c"]) != (want["n_docs"], want["checksum"]):
         raise ValueError(f"snapshot {version} does not match its manifest")
     return docs
+
+
+def dictionary_use(docs: DataFrame, terms: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
+    """(term, documents, occurrences, hit_rate) of every term of a dictionary (term) of fixed size; missing ones have zero."""
+    n_docs = docs.agg(F.count("*").alias("n_docs"))
+    found = docs.select(key, F.explode(words).alias("term")).join(F.broadcast(terms), "term").groupBy("term", key).agg(F.count("*").alias("n"))
+    found = found.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    rows = terms.join(found, "term", "left").crossJoin(n_docs)  # one row
+    return rows.select("term", zero(F.col("documents")).alias("documents"), zero(F.col("occurrences")).alias("occurrences"), F.round(zero(F.col("documents")) / F.greatest("n_docs", F.lit(1)), 4).alias("hit_rate"))
+
+
+def merged_dictionary(parts: list[DataFrame], order: str = "part") -> DataFrame:
+    """Dictionaries (term, value, kind) in one; a later part wins over an earlier one."""
+    out = None
+    for i, part in enumerate(parts):
+        rows = part.select("term", "value", "kind", F.lit(i).alias(order))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("term", "kind").agg(F.max_by("value", F.struct(order, "value")).alias("value"))
+
+
+def synonym_groups(pairs: DataFrame) -> DataFrame:
+    """(group_id, members) of a dictionary (term, group_id), members in order: what an export writes."""
+    return pairs.groupBy("group_id").agg(F.sort_array(F.collect_set("term")).alias("members"))
+
+
+def lineage(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
+    """(id, ancestor, depth): everything upstream of the start ids over edges (id, parent), each once, at its least depth.
+
+    One join for each level; messages that name each other end at ``most``.
+    """
+    level = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    out = level
+    step = edges.select(F.col("id").alias("ancestor"), "parent")
+    for depth in range(1, most + 1):
+        level = level.join(step, "ancestor").where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
+        level = staged(level.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "lineage")
+        if not level.limit(1).count():
+            break
+        out = out.unionByName(level)
+    return out.where("depth > 0")

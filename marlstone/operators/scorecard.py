@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,65 @@ def update_postings(postings: DataFrame, removed: DataFrame, added: DataFrame) -
     """Postings without the removed keys and with those of added documents, which replace equal keys."""
     gone = removed.select("key").unionByName(added.select("key")).distinct()
     return postings.join(gone, "key", "left_anti").unionByName(added)
+
+
+def worst_stages(stages: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` lowest stages of each run (run, stage, group, score), with their place."""
+    place = F.row_number().over(Window.partitionBy("run").orderBy("score", "stage"))
+    return stages.withColumn("place", place).where(F.col("place") <= n)
+
+
+def stage_group(stage: Column, groups: dict[str, list[str]], prefixes: dict[str, str]) -> Column:
+    """The group of a stage by its name, else by the begin of its name; null if neither is known."""
+    out = F.lit(None).cast("string")
+    for prefix, name in prefixes.items():
+        out = F.when(stage.startswith(prefix), name).otherwise(out)
+    for name, known in groups.items():
+        out = F.when(stage.isin(known), name).otherwise(out)
+    return out
+
+
+def term_search_score(query_terms: Column, matched: Column, top: Column) -> Column:
+    """0.4 of the share of query terms found, 0.6 of twice the best score, at most 1."""
+    return 0.4 * matched / F.greatest(query_terms, F.lit(1)) + 0.6 * F.least(F.lit(1.0), F.greatest(top * 2, F.lit(0.0)))
+
+
+def vector_search_score(n_hits: Column, top: Column) -> Column:
+    """0.3 of the hits, five of which are enough, 0.7 of one and a half times the best similarity, at most 1."""
+    return 0.3 * F.least(F.lit(1.0), n_hits / 5) + 0.7 * F.least(F.lit(1.0), F.greatest(top * 1.5, F.lit(0.0)))
+
+
+def fusion_score(fused: Column, first: Column, second: Column, consensus: Column) -> Column:
+    """0.5 of the share that both channels found, 0.3 of how even they are, 0.2 of the hits, five of which are enough."""
+    even = 1 - F.abs(first - second) / F.greatest(first + second, F.lit(1))
+    return 0.5 * consensus / F.greatest(fused, F.lit(1)) + 0.3 * even + 0.2 * F.least(F.lit(1.0), fused / 5)
+
+
+def rerank_score(n_hits: Column, top: Column, high: Column) -> Column:
+    """Half of 1.2 times the best score, at most 1, half of the share of high ones."""
+    return 0.5 * F.least(F.lit(1.0), F.greatest(top * 1.2, F.lit(0.0))) + 0.5 * high / F.greatest(n_hits, F.lit(1))
+
+
+def index_health(docs: DataFrame, text: str, words: Column, engines: int, engines_up: int) -> DataFrame:
+    """One row (n_docs, n_empty, vocabulary, score): 0.35 of words per document, a hundred of which are enough, 0.35 of documents with text, 0.3 of the engines that are up."""
+    sizes = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum((F.trim(F.coalesce(text, F.lit(""))) == "").cast("long")), F.lit(0).cast("long")).alias("n_empty"))
+    # Words are made distinct by their own shuffle before they are counted.
+    vocabulary = docs.select(F.explode(words).alias("word")).distinct().agg(F.count("*").alias("vocabulary"))
+    n = F.greatest("n_docs", F.lit(1))
+    score = 0.35 * F.least(F.lit(1.0), F.col("vocabulary") / n / 100) + 0.35 * (F.col("n_docs") - F.col("n_empty")) / n + 0.3 * engines_up / engines
+    return sizes.crossJoin(vocabulary).select("n_docs", "n_empty", "vocabulary", F.round(score, 4).alias("score"))  # one row each
+
+
+def pipeline_status(entries: DataFrame, cleaned: DataFrame, new: DataFrame, key: str = "file") -> DataFrame:
+    """Per file: entries read, left after cleaning, new ones, and a status (imported, known, rejected, empty)."""
+    count = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
+    rows = count(entries, "n_read").join(count(cleaned, "n_clean"), key, "left").join(count(new, "n_new"), key, "left").na.fill(0, ["n_clean", "n_new"])
+    status = F.when(F.col("n_new") > 0, "imported").when(F.col("n_clean") > 0, "known").when(F.col("n_read") > 0, "rejected").otherwise("empty")
+    return rows.withColumn("status", status)
+
+
+def score_lines(stages: DataFrame) -> DataFrame:
+    """(run, text): a run's stages, worst first, a line each."""
+    line = F.format_string("- %s: %.2f", F.col("stage"), F.col("score"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("score", "stage", line.alias("line")))), lambda x: x["line"])
+    return stages.groupBy("run").agg(F.array_join(lines, "\n").alias("text"))

@@ -116,17 +116,3 @@ def compare_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     out = long.join(names, "c_nationkey").join(first, "metric")
     return out.select("n_name", "metric", F.round("value", 2).alias("value"), F.round("other", 2).alias("other"), F.round(F.col("value") - F.col("other"), 2).alias("difference"))
-
-
-@query(
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), t AS (SELECT unnest(['license', 'the', 'und', 'zebra']) AS term)
-SELECT term, count(DISTINCT doc_id) AS documents, count(doc_id) AS occurrences FROM t LEFT JOIN w USING (term) GROUP BY term"""
-)
-def dictionary_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the terms of a dictionary occur; missing ones have zero."""
-    terms = spark.createDataFrame([("license",), ("the",), ("und",), ("zebra",)], "term string")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term"))
-    per_doc = words.join(F.broadcast(terms), "term").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    found = per_doc.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
-    zero = F.lit(0).cast("long")
-    return terms.join(found, "term", "left").select("term", F.coalesce("documents", zero).alias("documents"), F.coalesce("occurrences", zero).alias("occurrences"))

@@ -137,7 +137,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_BARS}, b AS (SELECT symbol, date, close, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS before FROM bars)
-SELECT symbol, date, CASE WHEN before <> 0 THEN round((close - before) / abs(before) * 100, 2) END AS growth_pct,
+SELECT symbol, date, CASE WHEN before <> 0 THEN round((close - before) / abs(before) * 100, 2) + 0.0::DOUBLE END AS growth_pct,
        CASE WHEN before <> 0 THEN round(close / before, 2) END AS ratio FROM b"""
 )
 def growth_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,4 +151,4 @@ def _growth(daily: DataFrame) -> DataFrame:
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
     rows = daily.select("symbol", "date", "close", before.alias("before"))
     valid = F.col("before") != 0
-    return rows.select("symbol", "date", F.when(valid, F.round((F.col("close") - F.col("before")) / F.abs("before") * 100, 2)).alias("growth_pct"), F.when(valid, F.round(F.col("close") / F.col("before"), 2)).alias("ratio"))
+    return rows.select("symbol", "date", F.when(valid, F.round((F.col("close") - F.col("before")) / F.abs("before") * 100, 2) + 0.0).alias("growth_pct"), F.when(valid, F.round(F.col("close") / F.col("before"), 2)).alias("ratio"))
