@@ -47,7 +47,7 @@ def summaries(pairs: DataFrame, existing: DataFrame | None = None, chars: int =
     left out by their place before anything is collected, so a very long
     conversation gives a bounded list.
     """
-    lines = F.filter(F.transform(F.split("answer", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("answer", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.when(F.size(lines) > 0, F.substring(F.element_at(lines, 1), 1, 150)).otherwise("(no answer)")
     rows = pairs.select("conv_id", "turn", F.concat(F.lit("- Q: "), F.substring("question", 1, 80), F.lit(" -> "), first).alias("line"))
     if existing is not None:

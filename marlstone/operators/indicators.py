@@ -127,3 +127,34 @@ def event_windows(events: DataFrame, bars: DataFrame, width: int = 10) -> DataFr
     mean = lambda side: F.round(F.avg(F.when(side, F.col("pct"))), 4)
     out = rows.groupBy("event_id", "symbol").agg(mean(F.col("n") < F.col("at")).alias("before_pct"), mean(F.col("n") > F.col("at")).alias("after_pct"), F.count("*").alias("n_bars"))
     return out.withColumn("delta_pct", F.round(F.col("after_pct") - F.col("before_pct"), 4))
+
+
+def signals(rsi_rows: DataFrame, high: float = 70.0, low: float = 30.0) -> DataFrame:
+    """``rsi`` rows with a label: overbought over ``high``, oversold under ``low``, flat, neutral; null before the first value."""
+    value = F.col("rsi")
+    label = F.when(value.isNull(), None).when(F.col("is_flat"), "flat").when(value > high, "overbought").when(value < low, "oversold").otherwise("neutral")
+    return rsi_rows.withColumn("signal", label)
+
+
+def is_fund(code: Column, prefixes: tuple[str, ...] = ("51", "159")) -> Column:
+    """Whether a code is that of an exchange-traded fund, by how it begins."""
+    out = F.lit(False)
+    for prefix in prefixes:
+        out = out | code.startswith(prefix)
+    return F.coalesce(out, F.lit(False))
+
+
+def find_instruments(instruments: DataFrame, keyword: str, limit: int = 10, name: str = "name", code: str = "code") -> DataFrame:
+    """The first instruments by code whose name has the keyword."""
+    return instruments.where(F.contains(F.col(name), F.lit(keyword))).orderBy(code).limit(limit)
+
+
+def bar_report(bars: DataFrame, last: int = 10) -> DataFrame:
+    """(symbol, text): statistics and the last bars with their averages, a line each."""
+    stats = bar_statistics(bars)
+    rows = tail(bars.select("symbol", "date", "open", "close", moving_average(5).alias("ma5")), last)
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    line = F.concat_ws(" | ", F.col("date").cast("string"), number("open"), number("close"), F.when(F.col("ma5").isNull(), "-").otherwise(number("ma5")))
+    lines = rows.groupBy("symbol").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("date", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    head = F.concat(F.lit("# "), F.col("symbol"), F.format_string("\nlatest %.2f, high %.2f, low %.2f, change %.2f%%, up %d, down %d\n", "latest", "highest", "lowest", "change_pct", "up_days", "down_days"))
+    return stats.join(lines, "symbol").select("symbol", F.concat(head, F.col("lines")).alias("text"))

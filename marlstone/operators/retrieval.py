@@ -247,3 +247,30 @@ def cross_pool(hits: DataFrame, primary: str, k: int, secondary_k: int = 3) -> D
     order = Window.partitionBy("query_id", "pool").orderBy("rank", "key")
     rest = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= secondary_k).drop("r")
     return first.unionByName(rest).select("query_id", "pool", "key", "rank", "score")
+
+
+def pool_of(doc_type: Column, pools: Mapping[str, str], default: str = "general") -> Column:
+    """The pool of a document type."""
+    out = F.lit(default)
+    for name, to in pools.items():
+        out = F.when(doc_type == name, to).otherwise(out)
+    return out
+
+
+def pool_statistics(docs: DataFrame, pool: str = "pool", text: str = "text") -> DataFrame:
+    """Per pool: documents, those without text, mean characters."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    return docs.groupBy(pool).agg(F.count("*").alias("n_docs"), F.sum((n == 0).cast("long")).alias("n_empty"), F.round(F.avg(n), 4).alias("mean_chars"))
+
+
+def index_statistics(index: DataFrame) -> DataFrame:
+    """One row (n_docs, n_terms, n_tokens) of postings (key, dl, term, tf); what an index holds is counted, not remembered."""
+    docs = index.select("key").distinct().agg(F.count("*").alias("n_docs"))
+    terms = index.groupBy("term").agg(F.sum("tf").alias("cf")).agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("cf"), F.lit(0)).cast("long").alias("n_tokens"))
+    return docs.crossJoin(terms)  # one row each
+
+
+def last_of_batch(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Of rows with one key the last in order: what a batch that names a document twice means."""
+    newest = Window.partitionBy(key).orderBy(*(o.desc() for o in order))
+    return rows.withColumn("row_of_key", F.row_number().over(newest)).where("row_of_key = 1").drop("row_of_key")

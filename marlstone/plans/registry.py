@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_search"
-_MODULES = ("text", "search", "evaluation", "market", "conversations", "knowledge", "understanding", "ingest", "upkeep")
+_MODULES = ("text", "search", "evaluation", "market", "conversations", "knowledge", "understanding", "ingest", "upkeep", "news")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

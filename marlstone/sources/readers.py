@@ -75,11 +75,49 @@ def ingest_directory(spark: SparkSession, path: str, parse: Callable[[bytes], st
 
 
 def list_directory(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
-    """(file, bytes, n_documents, imported): the files below ``path`` beside what was read of them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
-    counts = documents.groupBy("file").agg(F.count("*").alias("n"))
-    rows = files.join(counts, "file", "left")
-    return rows.select("file", "bytes", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), F.col("n").isNotNull().alias("imported"))
+    """(path, file, bytes, n_documents, imported): the files below ``path`` beside what was read of them.
+
+    ``documents`` have the column path, or only file; names that several folders
+    have are told apart by path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    by = "path" if "path" in documents.columns else "file"
+    rows = files.join(documents.groupBy(by).agg(F.count("*").alias("n")), by, "left")
+    return rows.select("path", "file", "bytes", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), F.col("n").isNotNull().alias("imported"))
+
+
+def outcome_counts(rows: DataFrame) -> DataFrame:
+    """(outcome, n) of read rows: read, or the reason why there is no text."""
+    return rows.groupBy(F.coalesce("error", F.lit("read")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def joined_pages(pages: DataFrame, key: str = "file", page: str = "page", text: str = "text") -> DataFrame:
+    """(key, text, n_pages) of files that come page by page; blank pages are left out."""
+    rows = pages.where(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, text))).alias("pages"))
+    return rows.select(key, F.array_join(F.transform("pages", lambda x: x[text]), "\n\n").alias("text"), F.size("pages").alias("n_pages"))
+
+
+def preview(spark: SparkSession, root: str, file: str, lines: int = 20, most: int = 50) -> DataFrame:
+    """(line_no, line): the first lines of a text file below ``root``, from 1 to ``most`` of them.
+
+    A name that leads out of ``root`` is an error.
+    """
+    parts = file.replace("\\", "/").split("/")
+    if file.startswith("/") or ".." in parts or "://" in file:
+        raise ValueError("the file must lie below the root")
+    n = min(max(1, lines), most)
+    # The first lines are those of the first partition's begin.
+    head = spark.read.text(f"{root}/{file}").limit(n)
+    return head.withColumn("line_no", F.monotonically_increasing_id() + 1).select("line_no", F.col("value").alias("line"))
+
+
+def store_counts(stores: dict[str, DataFrame]) -> DataFrame:
+    """(store, n_rows) of several tables."""
+    out = None
+    for name, rows in stores.items():
+        row = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("store"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def write_report(rows: DataFrame, path: str, title: str, order: list[str], template: str = "%s") -> None:
