@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import CJK, distinct_hits
@@ -90,13 +90,24 @@ def document_detector(text: Column, rules: list[tuple[str, list[str] | str, int]
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", other).otherwise(F.transform(F.array(found), label)[0])
 
 
-def keyword_class(text: Column, words: Mapping[str, list[str]], other: str = "other") -> Column:
+def filter_report(rows: DataFrame, filters: Mapping[str, Any], soft: frozenset[str] = frozenset()) -> DataFrame:
+    """(condition, n_rows, n_passed): each key of a filter tree on its own, and all of them as ``all``; one pass."""
+    tests = {key: metadata_filter({key: wanted}, soft) for key, wanted in filters.items()} | {"all": metadata_filter(filters, soft)}
+    names = list(tests)
+    counts = rows.agg(F.count("*").alias("n_rows"), *(F.coalesce(F.sum(tests[name].cast("long")), F.lit(0)).alias(f"c{i}") for i, name in enumerate(names)))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("condition"), F.col(f"c{i}").cast("long").alias("n_passed")) for i, name in enumerate(names))))
+    return counts.select("n_rows", each.alias("x")).select("x.condition", "n_rows", "x.n_passed")
+
+
+def keyword_class(text: Column, words: Mapping[str, list[str]], other: str = "other", patterns: Mapping[str, str] | None = None) -> Column:
     """struct(label, confidence): the class with most distinct keywords; the first declared of equals.
 
+    A class's pattern, if it has one and it matches, counts as one more.
     Confidence is a third per keyword, at most one.
     """
     order = list(words)
-    counts = F.array(*(F.struct(distinct_hits(text, words[k]).alias("n"), F.lit(-i).alias("place"), F.lit(k).alias("label")) for i, k in enumerate(order)))
+    matched = lambda k: F.coalesce(text.rlike(patterns[k]).cast("int"), F.lit(0)) if patterns and k in patterns else F.lit(0)
+    counts = F.array(*(F.struct((distinct_hits(text, words[k]) + matched(k)).alias("n"), F.lit(-i).alias("place"), F.lit(k).alias("label")) for i, k in enumerate(order)))
     best = F.array_max(counts)
     found = best["n"] > 0
     return F.struct(F.when(found, best["label"]).otherwise(F.lit(other)).alias("label"), F.when(found, F.round(F.least(F.lit(1.0), best["n"] / 3), 4)).otherwise(F.lit(0.0)).alias("confidence"))

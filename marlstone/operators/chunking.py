@@ -119,3 +119,17 @@ def build_context(items: DataFrame, budget: int = 2000, max_items: int = 10, min
     each = rows.select("query_id", F.explode(F.aggregate("items", start, step)["done"]).alias("x")).select("query_id", "x.*")
     status = F.when(F.col("used_chars") == 0, "dropped").when(F.col("used_chars") < F.col("n_chars"), "cut").otherwise("kept")
     return each.select("query_id", "key", "rank", "n_chars", "used_chars", status.alias("status"))
+
+
+def context_report(built: DataFrame, budget: int = 2000) -> DataFrame:
+    """Per query of ``build_context``: items by status, used characters, their share of the budget and of the texts, and a warning.
+
+    The warning is ``nothing_fits`` if all items were dropped, ``mostly_cut`` if
+    under half of the characters are used, else null.
+    """
+    of = lambda status: F.sum((F.col("status") == status).cast("long"))
+    rows = built.groupBy("query_id").agg(F.count("*").alias("n_items"), of("kept").alias("n_kept"), of("cut").alias("n_cut"), of("dropped").alias("n_dropped"), F.sum("used_chars").alias("used_chars"), F.sum("n_chars").alias("n_chars"))
+    fidelity = F.round(F.when(F.col("n_chars") > 0, F.col("used_chars") / F.col("n_chars")).otherwise(1.0), 4)
+    rows = rows.withColumn("utilisation", F.round(F.col("used_chars") / budget, 4)).withColumn("fidelity", fidelity)
+    warning = F.when(F.col("n_dropped") == F.col("n_items"), "nothing_fits").when(F.col("fidelity") < 0.5, "mostly_cut")
+    return rows.withColumn("warning", warning).drop("n_chars")

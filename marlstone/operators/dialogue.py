@@ -89,3 +89,21 @@ def candidates(turns: DataFrame, scores: DataFrame | None = None, seen: DataFram
 
 def worst_first(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("class", F.coalesce(F.when(F.col("class") == 0, F.col("score")), F.lit(0.0)), "conv_id", "turn").limit(n)
+
+
+def sessions(turns: DataFrame, title_chars: int = 40) -> DataFrame:
+    """(conv_id, n_turns, last_turn, title) of every conversation; its first question names it."""
+    rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("first"))
+    return rows.select("conv_id", "n_turns", "last_turn", F.substring(F.coalesce("first", F.lit("")), 1, title_chars).alias("title"))
+
+
+def appended(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """Turns with new ones (conv_id, role, text, at) behind them, numbered on in the order of ``at``."""
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
+    more = new.withColumn("place", place).join(last, "conv_id", "left")
+    return turns.unionByName(more.select("conv_id", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast(dict(turns.dtypes)["turn"]).alias("turn"), "role", "text"), allowMissingColumns=True)
+
+
+def without_sessions(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    return turns.join(ids.select("conv_id").distinct(), "conv_id", "left_anti")

@@ -42,9 +42,12 @@ def ranking_metrics(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 METRICS = ("recall", "precision", "mrr", "ndcg", "map")
 
 
-def macro(metrics: DataFrame, by: str) -> DataFrame:
-    """Means over queries, per value of ``by``, with their number."""
-    return metrics.groupBy(by).agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 5).alias(m) for m in METRICS))
+def macro(metrics: DataFrame, *by: str) -> DataFrame:
+    """Means over queries, per values of ``by`` (channel, tag and so on), with their number; an array counts for each of its values."""
+    for name in by:
+        if dict(metrics.dtypes)[name].startswith("array"):
+            metrics = metrics.withColumn(name, F.explode(name))
+    return metrics.groupBy(*by).agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 5).alias(m) for m in METRICS))
 
 
 def compare_to_baseline(now: DataFrame, base: DataFrame, keys: list[str], tolerance: float = 0.02, lower_is_better: tuple[str, ...] = ()) -> DataFrame:

@@ -77,3 +77,16 @@ def provenance(hits: DataFrame) -> DataFrame:
     first = hits.groupBy("query_id", "source").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"])
     return first.groupBy("query_id").agg(F.sum("n").alias("n_hits"), ordered.alias("documents"))
+
+
+def full_text(sections: dict[str, Column]) -> Column:
+    """The filled sections of a structured answer as one text, in the order given; lists as bullets. What a check reads."""
+
+    def written(name: str, value: Column) -> Column:
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"【{name}】\n"), value))
+
+    return F.concat_ws("\n\n", *(written(name, value) for name, value in sections.items()))
+
+
+def bullets(values: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(F.lit("- "), x)), "\n")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import metadata_filter
@@ -274,3 +274,26 @@ def last_of_batch(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Of rows with one key the last in order: what a batch that names a document twice means."""
     newest = Window.partitionBy(key).orderBy(*(o.desc() for o in order))
     return rows.withColumn("row_of_key", F.row_number().over(newest)).where("row_of_key = 1").drop("row_of_key")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
+    """Postings by bucket of their term, and the sizes of documents, as tables below ``path``.
+
+    A search reads only the buckets of its terms. Rows that name a document twice
+    must have been settled before (``last_of_batch``).
+    """
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    sizes = docs.select(F.col(key).alias("key"), F.size(index_terms(F.col(text))).alias("dl"), F.size(F.array_distinct(index_terms(F.col(text)))).alias("n"))
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "query_id", query_text: str = "query", buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """What ``search_index`` gives, from a written index."""
+    asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
+    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), F.explode("tokens").alias("term"))
+    terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
+    wanted = if_few(staged(terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "asked-terms"))
+    sizes = spark.read.parquet(f"{path}/sizes")
+    found = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"], "left_semi").join(sizes.select("key", "n"), "key").select("key", "dl", "n", "term", "tf")
+    return found.unionByName(sizes.select("key", "dl", "n", F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"))), terms

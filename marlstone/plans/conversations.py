@@ -95,3 +95,10 @@ def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = evaluation._checked(spark, sf_dir).select("conv_id", "turn", F.col("overall").alias("score"), "risk")
     rows = dialogue.worst_first(dialogue.candidates(_turns(spark, sf_dir), scores), 20)
     return rows.select("conv_id", "turn", F.md5("query").alias("query_md5"), F.md5("answer").alias("answer_md5"), "score", "class")
+
+
+@query(
+    """SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, substr(coalesce(min_by(text, turn) FILTER (role = 'user'), ''), 1, 40) AS title FROM conversations GROUP BY conv_id"""
+)
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.sessions(_turns(spark, sf_dir))

@@ -183,3 +183,9 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which hits fill a context of 2000 characters; a fold, tested against a loop."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     return chunking.build_context(jaccard_search(spark, sf_dir).join(docs, "key"), 2000, 10)
+
+
+@query()
+def context_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full each context is and what it leaves out; of ``context_build``, tested with it."""
+    return chunking.context_report(context_build(spark, sf_dir), 2000)

@@ -275,3 +275,13 @@ def token_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cover = docs.agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.lower("text").rlike("[a-z]"), F.lit(False)).cast("long")).alias("covered"))
     both = vocabulary.crossJoin(cover)  # one row each
     return both.select("n_tokens", "vocabulary", "junk", "covered", F.round(F.col("vocabulary") / F.col("n_tokens"), 6).alias("ttr"), F.round(F.col("covered") / F.col("n_docs"), 6).alias("coverage"))
+
+
+@query(
+    """WITH t AS (SELECT lang IN ('en', 'de') AS a, coalesce(n_chars >= 200 AND n_chars < 5000, false) AS b, coalesce(source <> 'src0', false) AS c FROM documents)
+SELECT unnest(['lang', 'n_chars', 'source', 'all']) AS condition, count(*) AS n_rows, unnest([sum(a::BIGINT)::BIGINT, sum(b::BIGINT)::BIGINT, sum(c::BIGINT)::BIGINT, sum((a AND b AND c)::BIGINT)::BIGINT]) AS n_passed FROM t"""
+)
+def filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each condition of a filter lets through, and all of them."""
+    tree = {"lang": ["en", "de"], "n_chars": {"$gte": 200, "lt": 5000}, "source": {"$ne": "src0"}}
+    return predicates.filter_report(table(spark, sf_dir, "documents"), tree)

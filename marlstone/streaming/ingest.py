@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import predicates
+from ..operators import ingest as chain
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -36,3 +37,14 @@ def windowed_counts(rows: DataFrame, time: str, by: str, width: str = "10 minute
     marked = zoned(rows, time).withWatermark(time, late) if late else rows
     counted = marked.groupBy(F.window(time, width).alias("w"), F.col(by)).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
+
+
+def ingested(rows: DataFrame, rules: chain.Rules, key: str | None = None, time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """The ingest chain on a stream: accepted rows, described and routed; with a key and a time each key once within the watermark."""
+    good = chain.accepted(chain.ingest(rows, rules))
+    return deduplicated(good, key, time, late) if key and time else good
+
+
+def rejections(rows: DataFrame, rules: chain.Rules) -> DataFrame:
+    """Running counts of outcomes, for a stream in complete or update mode."""
+    return chain.outcome_counts(chain.ingest(rows, rules), [])

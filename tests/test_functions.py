@@ -269,3 +269,9 @@ def test_titles_versions_and_upserts(spark, tmp_path):
     docs = spark.createDataFrame([("ab1",), ("abc",), ("b",), (None,)], "key string")
     new = spark.createDataFrame([("ab2",)], "key string")
     assert sorted(r.key or "" for r in knowledge.upsert(docs, new, F.lit("ab"), "key").collect()) == ["", "ab2", "b"]
+
+
+def test_class_patterns_count_once(spark):
+    kinds = {"a": ["x"], "b": ["y"]}
+    label = lambda t: one(spark, t, lambda c: predicates.keyword_class(c, kinds, patterns={"b": r"\d"}))
+    assert label("x y 5").label == "b" and label("x y").label == "a" and label("7").label == "b" and label("-").label == "other"

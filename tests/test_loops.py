@@ -91,3 +91,9 @@ def test_context_build(spark, sf):
             want[q, r.key] = (r.rank, len(text), used, "dropped" if not used else "cut" if used < len(text) else "kept")
     got = registry.queries()["context_build"](spark, sf).collect()
     assert {(r.query_id, r.key): (r.rank, r.n_chars, r.used_chars, r.status) for r in got} == want
+    report = {r.query_id: r for r in registry.queries()["context_report"](spark, sf).collect()}
+    for q in hits:
+        mine = [v for (x, _), v in want.items() if x == q]
+        used, whole = sum(v[2] for v in mine), sum(v[1] for v in mine)
+        assert (report[q].n_items, report[q].used_chars, report[q].n_cut) == (len(mine), used, sum(v[3] == "cut" for v in mine))
+        assert abs(report[q].utilisation - used / 2000) < 1e-4 and abs(report[q].fidelity - used / whole) < 1e-4

@@ -170,3 +170,32 @@ def test_dictionaries_and_lineage(spark):
     edges = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (4, 2), (1, 4), (9, None)], "id int, parent int")
     got = knowledge.lineage(edges, spark.createDataFrame([(4,), (9,)], "id int")).collect()
     assert sorted(map(tuple, got)) == [(4, 1, 2), (4, 2, 1), (4, 3, 1)]
+
+
+def test_sessions_and_sections(spark):
+    turns = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "user", "first question"), (2, 0, "user", "q")], "conv_id int, turn int, role string, text string")
+    assert {r.conv_id: (r.n_turns, r.title) for r in dialogue.sessions(turns, 5).collect()} == {1: (2, "first"), 2: (1, "q")}
+    new = spark.createDataFrame([(1, "user", "b", 2), (1, "user", "a", 1), (3, "user", "c", 1)], "conv_id int, role string, text string, at int")
+    more = dialogue.appended(turns, new)
+    assert sorted((r.conv_id, r.turn, r.text) for r in more.join(new.select("conv_id", "text"), ["conv_id", "text"]).collect()) == [(1, 2, "a"), (1, 3, "b"), (3, 0, "c")]
+    assert dialogue.without_sessions(more, turns.where("conv_id = 1")).count() == 2
+    text = evidence.full_text({"A": F.lit("x"), "B": F.lit(""), "C": evidence.bullets(F.array(F.lit("p"), F.lit(None), F.lit("q")))})
+    assert values(spark, text)[0] == "【A】\nx\n\n【C】\n- p\n- q"
+
+
+def test_written_index_searches_like_the_texts(spark, tmp_path):
+    from marlstone.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a a d"), (3, ""), (4, None), (5, "净利润增长 5%")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a d"), (2, "zz"), (3, "净利润 5%")], "query_id int, query string")
+    retrieval.write_index(docs, str(tmp_path / "index"), buckets=4)
+    index = retrieval.read_index(spark, str(tmp_path / "index"), asked, buckets=4)
+    for search in (retrieval.bm25_search, retrieval.jaccard_search):
+        assert sorted(map(tuple, search(docs, asked, index=index).collect())) == sorted(map(tuple, search(docs, asked).collect()))
+
+
+def test_macro_by_channel_and_tag(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"], 1.0), ("a", ["x"], 0.0), ("b", ["y"], 0.5)], "channel string, tags array<string>, v double")
+    metrics = rows.select("channel", "tags", *(F.col("v").alias(m) for m in evaluation.METRICS))
+    got = {(r.channel, r.tags): (r.n_queries, r.recall) for r in evaluation.macro(metrics, "channel", "tags").collect()}
+    assert got == {("a", "x"): (2, 0.5), ("a", "y"): (1, 1.0), ("b", "y"): (1, 0.5)}
