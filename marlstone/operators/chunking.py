@@ -133,3 +133,12 @@ def context_report(built: DataFrame, budget: int = 2000) -> DataFrame:
     rows = rows.withColumn("utilisation", F.round(F.col("used_chars") / budget, 4)).withColumn("fidelity", fidelity)
     warning = F.when(F.col("n_dropped") == F.col("n_items"), "nothing_fits").when(F.col("fidelity") < 0.5, "mostly_cut")
     return rows.withColumn("warning", warning).drop("n_chars")
+
+
+def chunk_report(chunks: DataFrame, words: list[str], short: int = 50) -> DataFrame:
+    """Per document of chunk rows (doc_id, chunk_id, text): chunks, their least, mean and greatest size, short ones, and dictionary words that occur in some."""
+    n = F.length("text")
+    found = F.array(*(F.when(F.contains(F.col("text"), F.lit(w)), F.lit(w)) for w in words))
+    rows = chunks.withColumn("found", F.filter(found, lambda x: x.isNotNull()))
+    sizes = [F.count("*").alias("n_chunks"), F.min(n).alias("least"), F.round(F.avg(n), 2).alias("mean"), F.max(n).alias("most"), F.sum((n < short).cast("long")).alias("n_short")]
+    return rows.groupBy("doc_id").agg(*sizes, F.sort_array(F.array_distinct(F.flatten(F.collect_set("found")))).alias("words"))

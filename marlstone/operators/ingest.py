@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, extraction, predicates
 from ..functions.tokens import CJK
+from . import knowledge
 
 
 @dataclass(frozen=True)
@@ -99,3 +100,24 @@ def accepted(rows: DataFrame) -> DataFrame:
 def write_pools(rows: DataFrame, path: str) -> None:
     """Accepted rows as one folder per pool; pools that get no rows stay as they are."""
     accepted(rows).write.partitionBy("pool").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def news_metadata(items: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(title, keyword, publish_time, source, url) to append: titled items, each title once, without those that are known."""
+    order = [F.coalesce("publish_time", F.lit("")), F.coalesce("url", F.lit(""))]
+    rows = knowledge.titled(items, "title", order).select(F.trim("title").alias("title"), "keyword", "publish_time", "source", "url")
+    return rows if known is None else rows.join(known.select("title").distinct(), "title", "left_anti")
+
+
+def ingest_news(items: DataFrame, existing: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """News items through the chain: (new documents, all rows with their reasons).
+
+    The text is title, blank line, content. The day of the time stamp is the
+    date, whatever the text names. New are accepted documents whose key
+    (source and begin of the text) ``existing`` (key) does not have, each once.
+    """
+    text = F.concat_ws("\n\n", F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce("content", F.lit(""))), F.lit("")))
+    rows = items.withColumn("text", text).withColumn("publish_date", extraction.normalised_date(F.lit(None).cast("string"), F.col("publish_time")))
+    judged = ingest(rows, rules)
+    keyed = accepted(judged).withColumn("key", knowledge.doc_key(F.col("source"), F.col("text")))
+    return knowledge.new_documents(existing, keyed, "key", [F.coalesce("publish_time", F.lit("")), F.coalesce("url", F.lit(""))]), judged

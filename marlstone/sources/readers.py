@@ -120,6 +120,18 @@ def store_counts(stores: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(store, n_files, bytes, modified) of folders; a folder without files has zero and no time."""
+    found = None
+    for name, path in paths.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        row = files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("modificationTime").alias("modified")).select(F.lit(name).alias("store"), "*")
+        found = row if found is None else found.unionByName(row)
+    if found is None:
+        raise ValueError("no paths")
+    return found
+
+
 def write_report(rows: DataFrame, path: str, title: str, order: list[str], template: str = "%s") -> None:
     """A Markdown report: a heading and one bullet per row, in order, as text files."""
     lines = rows.orderBy(*order).select(F.format_string("- " + template, *(F.col(c) for c in rows.columns)).alias("value"))

@@ -61,3 +61,31 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.joined_pages(pages).collect()] == [("f", "one\n\ntwo", 2)]
     read = spark.createDataFrame([(None,), ("bad line",), (None,)], "error string")
     assert {r.outcome: r.n for r in readers.outcome_counts(read).collect()} == {"read": 2, "bad line": 1}
+
+
+def test_ingest_news(spark):
+    from marlstone.operators import chunking, ingest, knowledge
+
+    rules = ingest.Rules(["profit"], {"report": ["profit"]}, script=r"\p{L}", min_chars=20, steps=("html", "whitespace"))
+    rows = [("Profit up", "<b>The profit of 2020-01-01 rose a lot</b>", "s", "2024-03-05 10:00", "u1", "k"), ("Profit up", "again the profit", "s", "2024-03-06", "u2", "k"), ("", "no title but profit here, long enough", "s", None, "u3", "k"), ("Short", "profit", "s", "x", "u4", "k"), (None, None, None, None, None, None)]
+    items = spark.createDataFrame(rows, "title string, content string, source string, publish_time string, url string, keyword string")
+    none = spark.createDataFrame([], "key string")
+    new, judged = ingest.ingest_news(items, none, rules)
+    got = {r.url: r for r in new.collect()}
+    assert set(got) == {"u1", "u2", "u3"} and got["u1"].publish_date == "2024-03-05" and got["u1"].text.startswith("Profit up\n\nThe profit")
+    assert {r.outcome: r.n for r in ingest.outcome_counts(judged, []).collect()} == {"accepted": 3, "short": 1, "empty": 1}
+    again, _ = ingest.ingest_news(items, new.select("key"), rules)
+    assert again.count() == 0
+    assert [r.url for r in ingest.news_metadata(items).orderBy("url").collect()] == ["u1", "u4"]
+    assert ingest.news_metadata(items, items.where("title = 'Short'")).count() == 1
+    chunks = spark.createDataFrame([(1, 0, "a profit"), (1, 1, "x" * 60), (2, 0, "none")], "doc_id int, chunk_id int, text string")
+    report = {r.doc_id: r for r in chunking.chunk_report(chunks, ["profit", "loss"]).collect()}
+    assert (report[1].n_chunks, report[1].least, report[1].most, report[1].n_short, report[1].words) == (2, 8, 60, 1, ["profit"]) and report[2].words == []
+
+
+def test_inventory(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("12345")
+    (tmp_path / "empty").mkdir()
+    got = {r.store: (r.n_files, r.bytes, r.modified is not None) for r in readers.inventory(spark, {"a": str(tmp_path / "a"), "e": str(tmp_path / "empty")}).collect()}
+    assert got == {"a": (1, 5, True), "e": (0, 0, False)}
