@@ -7,7 +7,9 @@ table reaches the shuffle once per task; the folded strings are then dealt by
 (byte length, content hash) to the tries that own those partitions. A trie that
 outgrows its budget moves its largest subtree to a local spill file, sends later
 strings with that prefix there, and rebuilds it on its own at the end, so memory
-is bounded by the budget plus one string.
+is bounded by the budget plus one string. Spill files live within one task: a task
+that runs again makes its own, and they hold no more than the distinct strings
+that this task was dealt.
 """
 
 from __future__ import annotations

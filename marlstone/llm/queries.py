@@ -134,12 +134,12 @@ WITH d AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), l AS (
-  SELECT *, depth, h >> (60 - depth) AS prefix FROM d, range(0, 25) AS r(depth)
+  SELECT *, depth, h >> (60 - depth) AS prefix FROM d, range(0, 61) AS r(depth)
 ), s AS (
   SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY ALL
 ), m AS (
   SELECT doc_id, h, n_bytes, min(depth) AS depth FROM l JOIN s USING (depth, prefix)
-  WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL
+  WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60 GROUP BY ALL
 )
 SELECT doc_id, n_bytes::BIGINT AS n_bytes,
        's' || CASE WHEN m.depth = 0 THEN '' ELSE lpad(bin(h >> (60 - m.depth)), m.depth::INTEGER, '0') END AS shard,

@@ -202,7 +202,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _declared(value: str) -> tuple[str, bytes] | None:
-    """Algorithm and bytes of a labelled digest, which is in hex or base32; null if it is of neither form."""
+    """Algorithm and bytes of a labelled digest, which is in hex or base32; no bytes if it is of neither form, null for an unknown algorithm."""
     name, _, text = value.partition(":")
     if name.lower() not in ("sha256", "sha1", "md5", "sha512"):
         return None
@@ -213,7 +213,7 @@ def _declared(value: str) -> tuple[str, bytes] | None:
                 return name.lower(), found
         except (ValueError, binascii.Error):
             continue
-    return None
+    return name.lower(), b""
 
 
 def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
@@ -221,8 +221,9 @@ def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
 
     Each has headers, type, payload_bytes, payload_digest (hex SHA-256),
     digest_ok, and with ``with_payload`` the payload. Declared digests may be
-    SHA-256, SHA-1, SHA-512 or MD5, in hex or base32; others are not verified, and
-    digest_ok is null if nothing could be. The length of a revisit's payload comes
+    SHA-256, SHA-1, SHA-512 or MD5, in hex or base32, and anything else under these
+    names is wrong; other algorithms are not verified, and digest_ok is null if
+    nothing could be. The length of a revisit's payload comes
     from the HTTP header that it keeps; its digest is the declared one, in hex.
     Wrong framing raises ValueError; a wrong digest is reported in digest_ok.
     """
@@ -256,7 +257,7 @@ def iterate_records(stream, with_payload: bool = False) -> Iterator[dict]:
         member.close()
         checks = [whole.digest() == of_block[1]] if whole else []
         if kind == "revisit":
-            size, digest = int((http or {}).get("content-length", 0)), declared[1].hex() if declared else None
+            size, digest = int((http or {}).get("content-length", 0)), (declared[1].hex() or None) if declared else None
         else:
             digest = payload.hexdigest()
             checks += [same.digest() == declared[1]] if same else []
