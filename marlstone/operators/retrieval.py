@@ -37,7 +37,7 @@ def top_k(scored: DataFrame, k: int, score: str = "score", decimals: int = 6) ->
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, dl, term, tf): the inverted index; dl is the number of tokens of the document."""
     rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
-    terms = rows.select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
+    terms = rows.select("key", F.size("tokens").alias("dl"), "tokens").select("key", "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
     return terms.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -50,11 +50,13 @@ def search_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     Terms are (query_id, term, qtf, m), m being the query's distinct tokens.
     """
     asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
-    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), F.explode("tokens").alias("term"))
+    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), "tokens").select("query_id", "m", F.explode("tokens").alias("term"))
     terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
     wanted = if_few(staged(terms.select("term").distinct().withColumn("asked", F.lit(True)), "asked-terms"))
     rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
-    rows = rows.select("key", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    # Sizes come before the explode, else they are made again for every token.
+    rows = rows.select("key", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"))
+    rows = rows.select("key", "dl", "n", F.explode("terms").alias("term"))
     found = rows.join(wanted, "term", "left").where("asked or term is null")
     return staged(found.groupBy("key", "dl", "n", "term").agg(F.count("*").alias("tf")), "postings"), terms
 
@@ -291,7 +293,7 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 def read_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "query_id", query_text: str = "query", buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """What ``search_index`` gives, from a written index."""
     asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
-    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), F.explode("tokens").alias("term"))
+    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), "tokens").select("query_id", "m", F.explode("tokens").alias("term"))
     terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
     wanted = if_few(staged(terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "asked-terms"))
     sizes = spark.read.parquet(f"{path}/sizes")
