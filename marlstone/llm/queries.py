@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, line_dedup, quality, sharding, simhash, substring_dedup, url_filter, warc
+from . import bpe, decontamination, exact_dedup, line_dedup, phrase_queries, quality, sharding, simhash, substring_dedup, url_filter, warc
 
 #: (verdict, host, path prefix)
 URL_RULES = [
@@ -212,7 +212,7 @@ FROM h LEFT JOIN (SELECT * FROM m WHERE k = 1) AS m ON h.page_id = m.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (op1_warc, op2_quality, op3_line_dedup, op4_exact_dedup, op5_sharding, op6_substring_dedup, op7_simhash, op8_bpe, op9_url_filter, op10_decontamination)
-    return {f.__name__: f for f in each}
+    return {f.__name__: f for f in each} | phrase_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -224,4 +224,4 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": _OP6,
         "op9_url_filter": _OP9,
         "op10_decontamination": _OP10,
-    }
+    } | phrase_queries.oracle_sql()

@@ -6,6 +6,7 @@ argument splits UTF-8 at exactly those characters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,3 +73,23 @@ class Rolling:
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of words[start:end] for each pair."""
         return mixed((self._sums[ends] - self._sums[starts]) * Rolling._down[starts])
+
+
+def cut_words(text: bytes, size: int, carry: int) -> Iterator[tuple[bytes, bytes]]:
+    """Cut a text whose words stand between spaces into parts of about ``size`` bytes: (own, carried).
+
+    A part ends before a space, so no word is cut; a word longer than ``size``
+    makes a longer part. ``carried`` are the ``carry`` words that follow a part.
+    Runs of words are owned by the part in which they start, so each run of up
+    to ``carry + 1`` words is found in exactly one part.
+    """
+    begin = 0
+    while begin < len(text):
+        end = text.find(b" ", begin + size)
+        end = len(text) if end < 0 else end
+        after = (m.group() for m in _WORD.finditer(text, end))
+        yield text[begin:end], b" ".join(word for _, word in zip(range(carry), after))
+        begin = end
+
+
+_WORD = re.compile(rb"[^ ]+")
