@@ -76,7 +76,7 @@ class _Block:
         if lang not in self.langs:
             self.langs[lang] = len(self.langs)
         ids = self.ids
-        for word in set(tokens) - ids.keys():
+        for word in set(tokens).difference(ids):
             self._number(word)
         found = np.zeros(len(tokens) + self.max_n, np.int32)
         found[: len(tokens)] = np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens))
