@@ -89,12 +89,20 @@ class _Block:
             self.columns[k + 1].append(np.where(alive, step, 0).astype(np.int32))
         self.held += len(at)
 
+    def _descending(self) -> np.ndarray:
+        """The place of each id among the words in descending byte order; the end of a piece comes last."""
+        places = np.empty(len(self.names), np.int32)
+        places[sorted(range(1, len(self.names)), key=self.names.__getitem__, reverse=True)] = np.arange(len(self.names) - 1)
+        places[0] = len(self.names) - 1
+        return places
+
     def combined(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """The distinct rows (language, words) and how often each occurs."""
+        """The distinct rows (language, words), with the words descending, and how often each occurs."""
         columns = [np.concatenate(c) if c else np.zeros(0, np.int32) for c in self.columns]
         if not len(columns[0]):
             return columns, np.zeros(0, np.int64)
-        order = np.lexsort(columns[::-1])
+        places = self._descending()
+        order = np.lexsort([*(places[c] for c in columns[:0:-1]), columns[0]])
         columns = [c[order] for c in columns]
         new = np.zeros(len(order), bool)
         new[0] = True
@@ -159,7 +167,8 @@ def _suffixes(docs: DataFrame, max_n: int, text_col: str, lang_col: str, spread:
 
     ``key`` is the language and the words, each ended by a line break, which
     neither has inside: so keys with the same first words stand together in
-    byte order.
+    byte order. A block's keys come in the order in which they are counted, so
+    the sort behind the shuffle only merges.
     """
     kinds = pa.schema([("part", pa.int32()), ("key", pa.string()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(spread)  # FREQUENT words at most
@@ -171,11 +180,13 @@ def _suffixes(docs: DataFrame, max_n: int, text_col: str, lang_col: str, spread:
             hashes = np.fromiter(map(crc32, block.names), np.int64, len(block.names))
             part = (hashes[words[0]] * 31 + np.fromiter(map(crc32, names), np.int64, len(names))[langs]) % 0x7FFFFFFF
             over = np.ones(len(counts), np.int64)
-            for (lang, word), tasks in shared.value.items():
-                if lang in block.langs and word in block.ids:
-                    low, high = np.searchsorted(langs, [block.langs[lang], block.langs[lang] + 1])
-                    first, last = np.searchsorted(words[0][low:high], [block.ids[word], block.ids[word] + 1])
-                    over[low + first : low + last] = tasks
+            wide = len(block.names)
+            here = sorted((block.langs[lang] * wide + block.ids[word], tasks) for (lang, word), tasks in shared.value.items() if lang in block.langs and word in block.ids)
+            if here:
+                codes, tasks = np.array(here, np.int64).T
+                code = langs.astype(np.int64) * wide + words[0]
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                over = np.where(codes[at] == code, tasks[at], 1)
             rest = np.zeros(len(counts), np.int64)
             for column in words[1:]:
                 rest = (rest * 1_000_003 + hashes[column]) % 0x7FFFFFFF
