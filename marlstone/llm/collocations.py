@@ -33,6 +33,8 @@ from .words import cut_words
 #: Positions of texts that a task combines at once, and bytes of text that it splits at once.
 BLOCK = 1 << 21
 PART_BYTES = 1 << 20
+#: Combined rows that a task writes out as strings at once.
+_SLICE = 1 << 17
 #: First words that are spread over tasks are more than one in so many words, or than a task's share if that is more.
 FREQUENT = 20_000
 #: Parts of a language in which phrases are ranked before the parts are merged.
@@ -192,9 +194,12 @@ def _suffixes(docs: DataFrame, max_n: int, text_col: str, lang_col: str, spread:
                 rest = (rest * 1_000_003 + hashes[column]) % 0x7FFFFFFF
             spread_to = (part + rest % over * 7919) % 0x7FFFFFFF
             ended = pa.array([b""] + [x + b"\n" for x in block.names[1:]], pa.binary())
-            texts = [pa.array([x + b"\n" for x in names], pa.binary()).take(pa.array(langs)), *(ended.take(pa.array(c)) for c in words)]
-            key = pc.binary_join_element_wise(*texts, b"").cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(over > 1, -1 - spread_to, part).astype(np.int32)), key, pa.array(counts)], schema=kinds)
+            heads = pa.array([x + b"\n" for x in names], pa.binary())
+            place = np.where(over > 1, -1 - spread_to, part).astype(np.int32)
+            for begin in range(0, len(counts), _SLICE):
+                cut = slice(begin, begin + _SLICE)
+                key = pc.binary_join_element_wise(heads.take(pa.array(langs[cut])), *(ended.take(pa.array(c[cut])) for c in words), b"")
+                yield pa.RecordBatch.from_arrays([pa.array(place[cut]), key.cast(pa.string()), pa.array(counts[cut])], schema=kinds)
 
     return map_arrow(_rows(docs, text_col, lang_col), run, "part int, key string, n long")
 
