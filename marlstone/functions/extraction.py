@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import matching
 from .tokens import distinct_hits
 
 # Date patterns in order of precedence, with what they give.
@@ -23,13 +24,13 @@ DATES = (
 # The month in which a quarter or a half-year ends.
 PERIOD_ENDS = {"一": "03", "二": "06", "三": "09", "四": "12", "Q1": "03", "Q2": "06", "Q3": "09", "Q4": "12", "H1": "06", "H2": "12"}
 # Sentiment words of titles.
-POSITIVE = ["涨", "增长", "上升", "突破", "利好", "创新高", "盈利", "回暖"]
-NEGATIVE = ["跌", "下降", "下滑", "亏损", "利空", "暴跌", "违约", "风险"]
-# Metric patterns; the value is the first group, a factor word the second and the unit the third.
+POSITIVE = ["增长", "上升", "利好", "突破", "创新高", "盈利", "分红", "回购", "超预期", "上涨"]
+NEGATIVE = ["下跌", "亏损", "暴雷", "处罚", "违规", "退市", "减持", "下滑", "预警", "暴跌"]
+# Metric patterns; the value stands directly behind the name and is the first group, a factor word the second and the unit the third.
 METRICS = {
-    "revenue": r"(?:营业(?:总)?收入|营收)[约达为]?[^\d，。]{0,10}?([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
-    "net_profit": r"净利润[约达为]?[^\d，。]{0,10}?([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
-    "rd_expense": r"研发(?:费用|投入|支出)?[约达为]?[^\d，。]{0,10}?([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
+    "revenue": r"(?:营业(?:总)?收入|营收)[约达为]?\s*([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
+    "net_profit": r"净利润[约达为]?\s*([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
+    "rd_expense": r"研发(?:费用|投入|支出)[约达为]?\s*([\d,.]*\d)\s*(亿|万|千|百)?(元|美元|港元)?",
     "gpu_count": r"(?:GPU|芯片|训练集群)[^，。]{0,10}?([\d,.]*\d)\s*(万)?(卡)",
     "api_calls": r"(?:API|接口)[^，。]{0,10}?(?:调用量|日均|月均)[^，。]{0,5}?([\d,.]*\d)\s*(万|亿)?(次)",
 }
@@ -64,8 +65,14 @@ def publish_date(text: Column) -> Column:
     return out
 
 
+#: Words up to which a mapping becomes an expression; more are looked for by one automaton.
+FEW_WORDS = 24
+
+
 def longest_keyword(text: Column, names: Mapping[str, str]) -> Column:
     """The name of the longest keyword that occurs; of equally long ones, the first in order of code points."""
+    if len(names) > FEW_WORDS:
+        return matching.longest(matching.mapping_matcher(SparkSession.active(), names)(text))
     out = F.lit(None).cast("string")
     for word in sorted(names, key=lambda w: (-len(w), w), reverse=True):
         out = F.when(F.contains(text, F.lit(word)), F.lit(names[word])).otherwise(out)
@@ -235,6 +242,8 @@ def stock_code(text: Column, names: Mapping[str, str] | None = None) -> Column:
     """The code of a known name, else isolated six digits with their exchange; null if none."""
     digits = F.regexp_extract(text, r"(?<!\d)(\d{6})(?!\d)", 1)
     code = F.when(digits == "", None).when(digits.startswith("6"), F.concat(digits, F.lit(".SH"))).when(digits.rlike("^[03]"), F.concat(digits, F.lit(".SZ"))).otherwise(digits)
+    if len(names or {}) > FEW_WORDS:
+        return F.coalesce(matching.first_declared(matching.mapping_matcher(SparkSession.active(), names)(text)), code)
     for name, known in reversed(list((names or {}).items())):
         code = F.when(F.contains(text, F.lit(name)), F.lit(known)).otherwise(code)
     return code

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..staging import if_few
 from .tokens import query_tokens
 
 # Patterns of query types in order, and relative dates in days.
@@ -106,60 +110,44 @@ def expand(queries: DataFrame, synonyms: DataFrame, limit: int = EXPANSIONS, wei
 
     queries (query_id, term) and, for concepts, specific (whether the query has
     an intent of its own); synonyms (term, group_id) and concepts (term, related)
-    are dictionaries of fixed size. Related terms come only to queries without
+    are dictionaries; they are counted, and broadcast if they are small. Related terms come only to queries without
     such an intent, which they would water down. At most ``limit`` terms per
     query, synonyms first, then in order of terms, none that the query has itself.
     """
-    groups = queries.join(F.broadcast(synonyms), "term").select("query_id", "group_id").distinct()
-    found = groups.join(F.broadcast(synonyms), "group_id").select("query_id", "term", F.lit(weight).alias("weight"))
+    synonyms = if_few(synonyms)
+    groups = queries.join(synonyms, "term").select("query_id", "group_id").distinct()
+    found = groups.join(synonyms, "group_id").select("query_id", "term", F.lit(weight).alias("weight"))
     if concepts is not None:
-        broad = queries.where("not specific").join(F.broadcast(concepts), "term")
+        broad = queries.where("not specific").join(if_few(concepts), "term")
         found = found.unionByName(broad.select("query_id", F.col("related").alias("term"), F.lit(concept_weight).alias("weight")))
     found = found.groupBy("query_id", "term").agg(F.max("weight").alias("weight")).join(queries.select("query_id", "term"), ["query_id", "term"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("query_id", "term", "weight")
 
 
-def _first_balanced(text: str) -> str | None:
-    """The balanced object or list that begins first; one pass.
+_BRACKET = re.compile(r"[{\[]")
+_JSON = json.JSONDecoder(strict=False)
 
-    Every opening bracket outside a string of its own is a possible begin; when
-    depth returns to that of a begin, it is closed. Quotes count only within
-    brackets, and a bracket that is never closed does not hide a later one.
-    """
-    opened: list[int] = []
-    best: tuple[int, int] | None = None
-    quoted = escaped = False
-    for i, c in enumerate(text):
-        if quoted:
-            quoted = escaped or c != '"'
-            escaped = c == "\\" and not escaped
-        elif c == '"' and opened:
-            quoted = True
-        elif c in "{[":
-            opened.append(i)
-        elif c in "}]" and opened:
-            start = opened.pop()
-            if not opened:
-                return text[start : i + 1]
-            if best is None or start < best[0]:
-                best = start, i + 1
-    if quoted and opened:
-        # A quote that is never closed: what stands behind it is looked at on its own.
-        inner = _first_balanced(text[text.rindex('"', 0) + 1 :])
-        return text[best[0] : best[1]] if best else inner
-    return text[best[0] : best[1]] if best else None
+
+def _first_valid(text: str) -> str | None:
+    """The valid object or list that begins first. Each bracket is a possible begin, also within quotes."""
+    for bracket in _BRACKET.finditer(text):
+        try:
+            return text[bracket.start() : _JSON.raw_decode(text, bracket.start())[1]]
+        except (ValueError, RecursionError):
+            continue
+    return None
 
 
 def first_json(text: str | None) -> str | None:
-    """The first balanced JSON object or list in ``text``; a fenced block goes first; null if none."""
+    """The first JSON object or list in ``text``; a fenced block goes first; null if none is valid."""
     for part in (text or "").split("```")[1::2] + [text or ""]:
-        if (found := _first_balanced(part)) is not None:
+        if (found := _first_valid(part)) is not None:
             return found
     return None
 
 
 @F.pandas_udf(StringType())
 def extract_json(text: pd.Series) -> pd.Series:
-    """Balanced braces are no regular language, so this one is Python."""
+    """JSON is no regular language, so this one is Python."""
     return text.map(first_json)

@@ -108,9 +108,14 @@ SECTIONS = {
 
 
 def content_words(text: Column, stop: list[str]) -> Column:
-    """Distinct words of two letters or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}]{2,}"), 0)
-    return F.array_except(F.array_distinct(found), F.array(*(F.lit(w) for w in stop)))
+    """Distinct words of two letters or more, and pairs of neighbouring Chinese characters, without stop words.
+
+    Where a dictionary is at hand, a ``segmenter`` gives better words.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract_all(low, F.lit(r"[\p{L}&&[^\x{4E00}-\x{9FFF}]]{2,}|[\x{4E00}-\x{9FFF}]{2,}"), 0)
+    pairs = F.transform(found, lambda w: F.when(w.rlike(r"^[\x{4E00}-\x{9FFF}]"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w)))
+    return F.array_except(F.array_distinct(F.flatten(pairs)), F.array(*(F.lit(w) for w in stop)))
 
 
 def sentences(text: Column, min_chars: int = 8, ends: str = r"[。！？.!?\n]") -> Column:

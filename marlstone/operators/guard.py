@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,18 @@ from ..functions.predicates import GUARD_BANDS, grade
 from . import evaluation as rules
 
 
-def _anchored(answers: DataFrame, sources: DataFrame, keys: list[str], stop: list[str], share: float) -> DataFrame:
+Words = Callable[[Column], Column]
+
+
+def _anchored(answers: DataFrame, sources: DataFrame, keys: list[str], words: Words, share: float) -> DataFrame:
     """(keys, n_sentences, n_anchored, loose): a sentence is anchored if one source has enough of its words, or it has fewer than two.
 
     Sentences meet the sources of their own answer only, and a maximum over
     them is what is kept.
     """
     each = answers.select(*keys, F.posexplode(rules.sentences(F.col("answer"))).alias("at", "sentence"))
-    each = each.withColumn("words", rules.content_words(F.col("sentence"), stop))
-    known = sources.select(*keys, rules.content_words(F.col("text"), stop).alias("known"))
+    each = each.withColumn("words", F.array_distinct(words(F.col("sentence"))))
+    known = sources.select(*keys, words(F.col("text")).alias("known"))
     met = each.where(F.size("words") >= 2).join(known, keys)
     best = met.groupBy(*keys, "at").agg(F.max(F.size(F.array_intersect("words", "known")) / F.size("words")).alias("best"))
     rows = each.join(best, [*keys, "at"], "left")
@@ -35,19 +40,21 @@ def _verified(answers: DataFrame, sources: DataFrame, keys: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(F.count("*").alias("n_numbers"), F.count("known").alias("n_verified"), F.slice(missing, 1, 5).alias("unmatched"))
 
 
-def check(answers: DataFrame, sources: DataFrame, keys: list[str], stop: list[str], mode: str = "rag", share: float = rules.GROUNDED_SHARE, patterns: list[str] | None = None, threshold: float = 0.6) -> DataFrame:
+def check(answers: DataFrame, sources: DataFrame, keys: list[str], stop: list[str], mode: str = "rag", share: float = rules.GROUNDED_SHARE, patterns: list[str] | None = None, threshold: float = 0.6, words: Words | None = None) -> DataFrame:
     """One row per answer (keys, answer), against its sources (keys, text).
 
     Columns: keys, skipped, skip_reason (empty_answer or no_sources), grounding,
     numbers, citations, structure, overall, passed, risk, grade, n_unanchored,
     unanchored, unmatched, and the counts behind the scores. Sources without text
     are none. A skipped answer has no scores and the risk ``unknown``: not checked
-    is not zero. ``mode`` is ``rag`` or ``analysis``; keys are unique.
+    is not zero. ``mode`` is ``rag`` or ``analysis``; keys are unique. ``words``
+    gives the words of answers and sources alike, for Chinese a ``segmenter`` with
+    words of two characters or more; without it they are ``content_words``.
     """
     sources = sources.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     counts = sources.groupBy(*keys).agg(F.count("*").alias("n_sources"))
     rows = answers.select(*keys, "answer").join(counts, keys, "left")
-    rows = rows.join(_anchored(answers, sources, keys, stop, share), keys, "left").join(_verified(answers, sources, keys), keys, "left")
+    rows = rows.join(_anchored(answers, sources, keys, words or (lambda c: rules.content_words(c, stop)), share), keys, "left").join(_verified(answers, sources, keys), keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     part = lambda a, b: F.coalesce(F.round(F.col(a) / F.col(b), 4), F.lit(1.0))
     blank = F.trim(F.coalesce("answer", F.lit(""))) == ""

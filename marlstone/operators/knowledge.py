@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import if_few, staged
 
 
 def doc_key(source: Column, text: Column) -> Column:
@@ -150,9 +150,10 @@ def load_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
 
 
 def dictionary_use(docs: DataFrame, terms: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
-    """(term, documents, occurrences, hit_rate) of every term of a dictionary (term) of fixed size; missing ones have zero."""
+    """(term, documents, occurrences, hit_rate) of every term of a dictionary (term); missing ones have zero."""
+    terms = if_few(staged(terms.select("term").distinct(), "dictionary-terms"))
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    found = docs.select(key, F.explode(words).alias("term")).join(F.broadcast(terms), "term").groupBy("term", key).agg(F.count("*").alias("n"))
+    found = docs.select(key, F.explode(words).alias("term")).join(terms, "term").groupBy("term", key).agg(F.count("*").alias("n"))
     found = found.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     rows = terms.join(found, "term", "left").crossJoin(n_docs)  # one row

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import matcher
 from .knowledge import titled
 
 
@@ -29,13 +30,12 @@ def named_items(queries: DataFrame, items: DataFrame, most: int = 10, least_char
     """(query_id, item_id, place): the items one of whose keywords stands in the query, the first by id.
 
     queries (query_id, query), items (item_id, keyword); a keyword field names
-    several, with 、 between. Distinct keywords are few and known beforehand, so
-    they are matched against queries once each, and items are then joined by
-    equality: no pairs of queries and items are tested.
+    several, with 、 between. All distinct keywords are looked for in a query at
+    once, and items are then joined by equality: no pairs are tested.
     """
     words = items.select("item_id", F.explode(F.split(F.lower("keyword"), "、")).alias("word")).where(F.length("word") >= least_chars)
-    distinct = words.select("word").distinct()
-    hits = queries.select("query_id", F.lower("query").alias("query")).join(F.broadcast(distinct), F.contains(F.col("query"), F.col("word"))).select("query_id", "word")
+    find = matcher(words.select("word", F.lit(None).cast("string").alias("value"), F.lit(0).alias("place")))
+    hits = queries.select("query_id", F.explode(find(F.lower("query"))).alias("hit")).select("query_id", F.col("hit")["word"].alias("word"))
     found = hits.join(words, "word").select("query_id", "item_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))
     return found.withColumn("place", place).where(F.col("place") <= most)

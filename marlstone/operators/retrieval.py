@@ -7,7 +7,7 @@ doubles depend on their order, and given to fewer; ties are broken by key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import numpy as np
@@ -34,26 +34,35 @@ def top_k(scored: DataFrame, k: int, score: str = "score", decimals: int = 6) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn(score, F.round(score, decimals))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+#: From a text column to an array of tokens; index and queries are given the same.
+Tokens = Callable[[Column], Column]
+
+
+def postings(docs: DataFrame, key: str, text: str, tokens: Tokens = index_terms) -> DataFrame:
     """(key, dl, term, tf): the inverted index; dl is the number of tokens of the document."""
-    rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
+    rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("tokens"))
     terms = rows.select("key", F.size("tokens").alias("dl"), "tokens").select("key", "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
     return terms.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def search_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> tuple[DataFrame, DataFrame]:
+def query_terms(queries: DataFrame, query_key: str = "query_id", query_text: str = "query", tokens: Tokens = index_terms) -> DataFrame:
+    """(query_id, term, qtf, m) of the queries' terms, m being the query's distinct tokens; written."""
+    asked = queries.select(F.col(query_key).alias("query_id"), tokens(F.col(query_text)).alias("tokens"))
+    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), "tokens").select("query_id", "m", F.explode("tokens").alias("term"))
+    return staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
+
+
+def search_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", tokens: Tokens = index_terms) -> tuple[DataFrame, DataFrame]:
     """What both text searches read: the postings of the queries' terms, and the queries' terms.
 
     Each text is tokenised once. Only postings of terms that some query asks for
     are shuffled: (key, dl, n, term, tf), n being the document's distinct tokens.
     A row with a null term stands for each document, so that sizes are of all.
-    Terms are (query_id, term, qtf, m), m being the query's distinct tokens.
+    Terms are those of ``query_terms``, by the same ``tokens``.
     """
-    asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
-    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), "tokens").select("query_id", "m", F.explode("tokens").alias("term"))
-    terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
+    terms = query_terms(queries, query_key, query_text, tokens)
     wanted = if_few(staged(terms.select("term").distinct().withColumn("asked", F.lit(True)), "asked-terms"))
-    rows = docs.select(F.col(key).alias("key"), index_terms(F.col(text)).alias("tokens"))
+    rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("tokens"))
     # Sizes come before the explode, else they are made again for every token.
     rows = rows.select("key", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"))
     rows = rows.select("key", "dl", "n", F.explode("terms").alias("term"))
@@ -233,22 +242,52 @@ def quality_gate(hits: DataFrame, queries: DataFrame, threshold: float) -> DataF
     return rows.select("query_id", stage.alias("stage"), F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), "best")
 
 
-def pool_search(hits: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
-    """Hits of pools (query_id, key, score, pool) with weighted scores, merged and cut."""
+def in_pools(docs: DataFrame, pools: list[str], search: Callable[[DataFrame], DataFrame], pool: str = "pool") -> DataFrame:
+    """Hits of each pool's own search, with the pool and its place: ranks and cuts are the pool's.
+
+    ``search`` is given the documents of one pool; pools are a short stated list.
+    """
+    out = None
+    for place, name in enumerate(pools):
+        part = search(docs.where(F.col(pool) == name)).select("query_id", "key", "rank", "score", F.lit(name).alias("pool"), F.lit(place).alias("pool_place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _one_per_text(hits: DataFrame, docs: DataFrame, key: str, text: str, order: list[Column]) -> DataFrame:
+    """Of hits with the same text the first in order; a hit without a document stays."""
+    texts = docs.select(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    rows = texts.join(if_few(staged(hits, "pool-hits")), "key", "right").withColumn("digest", F.coalesce("digest", F.col("key").cast("string")))
+    first = Window.partitionBy("query_id", "digest").orderBy(*order)
+    return rows.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy", "digest")
+
+
+def pool_search(hits: DataFrame, docs: DataFrame, weights: dict[str, float], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Hits of ``in_pools`` with weighted scores, one hit a text, merged and cut: (query_id, pool, key, rank, score).
+
+    A pool without a weight has 1. Of hits with one text that of the best
+    weighted score stays, then of the pool declared first, then of the smallest key.
+    """
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("pool") == name, w).otherwise(weight)
-    best = hits.groupBy("query_id", "key").agg(F.max(F.col("score") * weight).alias("score"))
-    return top_k(best, k).select("query_id", "key", "rank", "score")
+    weighted = hits.withColumn("score", F.round(F.col("score") * weight, PRECISION))
+    best = _one_per_text(weighted, docs, key, text, [F.desc("score"), F.asc("pool_place"), F.asc("key")])
+    return top_k(best.drop("rank"), k).select("query_id", "pool", "key", "rank", "score")
 
 
-def cross_pool(hits: DataFrame, primary: str, k: int, secondary_k: int = 3) -> DataFrame:
-    """The primary pool's first ``k`` hits, then up to ``secondary_k`` new ones from each other pool."""
-    first = hits.where(F.col("pool") == primary).where(F.col("rank") <= k)
-    rest = hits.where(F.col("pool") != primary).join(first.select("query_id", "key"), ["query_id", "key"], "left_anti")
+def cross_pool(hits: DataFrame, docs: DataFrame, primary: str, k: int, secondary_k: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The primary pool's first ``k`` hits, then from each other pool up to ``secondary_k`` with new texts.
+
+    Hits are those of ``in_pools``. A text that several pools have is found by
+    the first of them: the primary one, then in declared order.
+    """
+    place = F.when(F.col("pool") == primary, -1).otherwise(F.col("pool_place"))
+    some = hits.where((F.col("pool") != primary) | (F.col("rank") <= k)).withColumn("pool_place", place)
+    new = _one_per_text(some, docs, key, text, [F.asc("pool_place"), F.asc("rank"), F.asc("key")])
     order = Window.partitionBy("query_id", "pool").orderBy("rank", "key")
-    rest = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= secondary_k).drop("r")
-    return first.unionByName(rest).select("query_id", "pool", "key", "rank", "score")
+    new = new.withColumn("r", F.row_number().over(order)).where((F.col("pool") == primary) | (F.col("r") <= secondary_k))
+    return new.select("query_id", "pool", "key", "rank", "score")
 
 
 def pool_of(doc_type: Column, pools: Mapping[str, str], default: str = "general") -> Column:
@@ -276,26 +315,3 @@ def last_of_batch(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Of rows with one key the last in order: what a batch that names a document twice means."""
     newest = Window.partitionBy(key).orderBy(*(o.desc() for o in order))
     return rows.withColumn("row_of_key", F.row_number().over(newest)).where("row_of_key = 1").drop("row_of_key")
-
-
-def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
-    """Postings by bucket of their term, and the sizes of documents, as tables below ``path``.
-
-    A search reads only the buckets of its terms. Rows that name a document twice
-    must have been settled before (``last_of_batch``).
-    """
-    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    sizes = docs.select(F.col(key).alias("key"), F.size(index_terms(F.col(text))).alias("dl"), F.size(F.array_distinct(index_terms(F.col(text)))).alias("n"))
-    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-
-
-def read_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "query_id", query_text: str = "query", buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """What ``search_index`` gives, from a written index."""
-    asked = queries.select(F.col(query_key).alias("query_id"), index_terms(F.col(query_text)).alias("tokens"))
-    asked = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("m"), "tokens").select("query_id", "m", F.explode("tokens").alias("term"))
-    terms = staged(asked.groupBy("query_id", "m", "term").agg(F.count("*").alias("qtf")), "query-terms")
-    wanted = if_few(staged(terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "asked-terms"))
-    sizes = spark.read.parquet(f"{path}/sizes")
-    found = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"], "left_semi").join(sizes.select("key", "n"), "key").select("key", "dl", "n", "term", "tf")
-    return found.unionByName(sizes.select("key", "dl", "n", F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"))), terms

@@ -104,13 +104,14 @@ def parsed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.expand(terms, synonyms, concepts=concepts)
 
 
-@query(
-    r"""WITH d AS (SELECT doc_id, coalesce(
-  try_cast(regexp_extract(text, '(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})[日号]?', 1) || '-' || lpad(regexp_extract(text, '(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})[日号]?', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})[日号]?', 3), 2, '0') AS DATE),
-  try_cast(regexp_extract(text, '(\d{4})(\d{2})(\d{2})', 1) || '-' || regexp_extract(text, '(\d{4})(\d{2})(\d{2})', 2) || '-' || regexp_extract(text, '(\d{4})(\d{2})(\d{2})', 3) AS DATE)) AS day FROM documents)
-SELECT doc_id, day AS gte, day AS lte FROM d WHERE day IS NOT NULL"""
-)
+#: How orders write their date; the last is none that is known.
+DATE_FORMS = ("yyyy-MM-dd", "yyyy年M月d日", "yyyyMMdd", "MMM yyyy")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS gte, o_orderdate::DATE AS lte FROM orders WHERE o_orderkey % 4 < 3")
 def query_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates that texts name, as a range to search in."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", understanding.date_range(F.col("text"), F.lit("2024-01-01").cast("date")).alias("r"))
-    return rows.select("doc_id", "r.gte", "r.lte").where("gte is not null")
+    """Dates that texts name, as a range to search in; the texts are orders with their dates in several forms."""
+    day = F.element_at(F.array(*(F.date_format("o_orderdate", f) for f in DATE_FORMS)), (F.col("o_orderkey") % len(DATE_FORMS) + 1).cast("int"))
+    text = F.concat(F.lit("order of "), day, F.lit(" by "), F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", understanding.date_range(text, F.lit("2024-01-01").cast("date")).alias("r"))
+    return rows.select("o_orderkey", "r.gte", "r.lte").where("gte is not null")

@@ -87,12 +87,11 @@ def rsi_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT symbol, string_agg(date::VARCHAR || ' | ' || printf('%.2f', open) || ' | ' || printf('%.2f', close) || ' | ' || CASE WHEN c < 5 THEN '-' ELSE printf('%.2f', ma) END, chr(10) ORDER BY date) AS lines FROM m WHERE back <= 10 GROUP BY symbol),
 s AS (SELECT symbol, max_by(close, date) AS latest, max(high) AS hi, min(low) AS lo, round((max_by(close, date) / min_by(close, date) - 1) * 100, 2) AS ch, sum((close > open)::BIGINT)::BIGINT AS up, sum((close <= open)::BIGINT)::BIGINT AS down
   FROM bars GROUP BY symbol HAVING count(*) >= 2)
-SELECT symbol, length(t) AS n_chars, length(t) - length(replace(t, chr(10), '')) AS n_breaks FROM (SELECT symbol, '# ' || symbol || chr(10) || 'latest ' || printf('%.2f', latest) || ', high ' || printf('%.2f', hi) || ', low ' || printf('%.2f', lo) || ', change ' || printf('%.2f', ch) || '%, up ' || up || ', down ' || down || chr(10) || lines AS t FROM s JOIN l USING (symbol))"""
+SELECT symbol, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT symbol, '# ' || symbol || chr(10) || 'latest ' || printf('%.2f', latest) || ', high ' || printf('%.2f', hi) || ', low ' || printf('%.2f', lo) || ', change ' || printf('%.2f', ch) || '%, up ' || up || ', down ' || down || chr(10) || lines AS t FROM s JOIN l USING (symbol))"""
 )
 def bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = indicators.bar_report(market.bars(spark, sf_dir))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return rows.select("symbol", F.length("text").alias("n_chars"), breaks.alias("n_breaks"))
+    return rows.select("symbol", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 @query(

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, retrieval
+from ..functions import matching
+from ..operators import chunking, retrieval, text_index, vector_index
+from ..staging import new_path
 from .registry import query, table
 
 TOP = 10
@@ -75,6 +77,33 @@ def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.cosine_search(vectors, vectors.where(F.col("vec_id") % EVERY == 0), TOP)
 
 
+@query()
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector against all others through a stored index; recall is measured in a test."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex.build(vectors, new_path(spark, "vector-index"))
+    return index.search(vectors.where(F.col("vec_id") % EVERY == 0), TOP)
+
+
+# Of ids by their rest modulo 7: 3 is removed, 5 gets the vector of its label's smallest id.
+@query(
+    f"""WITH e AS (SELECT vec_id AS key, label, embedding::DOUBLE[] AS v FROM embeddings),
+first AS (SELECT label, arg_min(v, key) AS v FROM e GROUP BY label),
+d AS (SELECT key, CASE WHEN key % 7 = 5 THEN first.v ELSE e.v END AS v FROM e JOIN first USING (label) WHERE key % 7 <> 3),
+s AS (SELECT q.key AS query_id, d.key, round(list_cosine_similarity(q.v, d.v), 10) AS score FROM e AS q, d WHERE q.key % {EVERY} = 0)
+SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, greatest(round(score, 6), 0) AS score FROM s QUALIFY rank <= {TOP}"""
+)
+def vector_index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal, replacement and compaction of a stored index, read over all its cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex.build(vectors, new_path(spark, "vector-index"))
+    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    index.remove(vectors.where("vec_id % 7 = 3"))
+    index.add(vectors.where("vec_id % 7 = 5").select("vec_id", "label").join(first, "label"))
+    index.compact()
+    return index.search(vectors.where(F.col("vec_id") % EVERY == 0), TOP, probes=vector_index.MAX_CELLS)
+
+
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
     index = retrieval.search_index(docs, asked)
@@ -144,28 +173,70 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.quality_gate(jaccard_search(spark, sf_dir), _asked(spark, sf_dir), 0.35)
 
 
+#: Languages are the pools.
+POOLS = ["en", "de", "fr", "es"]
+POOL_WEIGHTS = {"en": 0.5, "de": 2.0}
+_POOLED = f"""{_JACCARD},
+po_d AS (SELECT doc_id AS key, lang AS pool, list_position({POOLS}, lang) AS place, coalesce(text, '') AS body FROM documents),
+po AS (SELECT query_id, key, pool, place, body, row_number() OVER (PARTITION BY query_id, pool ORDER BY score DESC, key) AS rank, round(score, 6) AS score
+  FROM ja_s JOIN po_d USING (key) WHERE place IS NOT NULL QUALIFY rank <= {TOP})"""
+
+
 def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with the language of their document as the pool."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("pool"))
-    return jaccard_search(spark, sf_dir).join(docs, "key")
+    """Hits of each pool's own search."""
+    asked = _asked(spark, sf_dir)
+    return retrieval.in_pools(table(spark, sf_dir, "documents"), POOLS, lambda docs: retrieval.jaccard_search(docs, asked, TOP), "lang")
 
 
 @query(
-    f"""WITH {_JACCARD}, s AS (SELECT query_id, key, round(score * CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 2.0 ELSE 1.0 END, 6) AS score FROM ja JOIN documents ON key = doc_id)
-SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, score FROM s) WHERE rank <= 5"""
+    f"""WITH {_POOLED}, w AS (SELECT query_id, pool, place, key, body, round(score * CASE pool {" ".join(f"WHEN '{p}' THEN {x}::DOUBLE" for p, x in POOL_WEIGHTS.items())} ELSE 1.0 END, 10) AS score FROM po),
+o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY score DESC, place, key) = 1)
+SELECT query_id, pool, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, round(score, 6) AS score FROM o QUALIFY rank <= 5"""
 )
 def pool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.pool_search(_pooled(spark, sf_dir), {"en": 0.5, "de": 2.0}, 5)
+    return retrieval.pool_search(_pooled(spark, sf_dir), table(spark, sf_dir, "documents"), POOL_WEIGHTS, 5)
 
 
 @query(
-    f"""WITH {_JACCARD}, p AS (SELECT query_id, lang AS pool, key, rank, score FROM ja JOIN documents ON key = doc_id),
-f AS (SELECT * FROM p WHERE pool = 'en' AND rank <= 5),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, pool ORDER BY rank, key) AS n FROM p ANTI JOIN f USING (query_id, key) WHERE pool <> 'en')
-SELECT * FROM f UNION ALL SELECT query_id, pool, key, rank, score FROM r WHERE n <= 3"""
+    f"""WITH {_POOLED}, s AS (SELECT * FROM po WHERE pool <> 'en' OR rank <= 5),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY pool <> 'en', place, rank, key) = 1)
+SELECT query_id, pool, key, rank, score FROM o QUALIFY pool = 'en' OR row_number() OVER (PARTITION BY query_id, pool ORDER BY rank, key) <= 3"""
 )
 def cross_pool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.cross_pool(_pooled(spark, sf_dir), "en", 5)
+    return retrieval.cross_pool(_pooled(spark, sf_dir), table(spark, sf_dir, "documents"), "en", 5)
+
+
+#: Of documents by their rest modulo 7: 3 is removed, 5 is replaced by its text twice over with a word before it.
+_KEPT = "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN 'replaced ' || text || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query(f"WITH {_BM25.replace('FROM documents', _KEPT)} SELECT * FROM bm")
+def text_index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of a stored index after documents were added, replaced and removed, and segments compacted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = text_index.TextIndex(spark, new_path(spark, "text-index"))
+    index.add(docs.where("doc_id % 2 = 0"))
+    index.add(docs.where("doc_id % 2 = 1"))
+    index.remove(docs.where("doc_id % 7 = 3"))
+    index.compact()
+    index.add(docs.where("doc_id % 7 = 5").withColumn("text", F.concat(F.lit("replaced "), "text", F.lit(" "), "text")))
+    return index.search(_asked(spark, sf_dir), TOP)
+
+
+# Words of the benchmark that are long enough to be names, with the number of their first item as their place.
+@query(
+    r"""WITH w AS (SELECT word, min(item_id) AS place FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS word FROM benchmark) GROUP BY word),
+m AS (SELECT doc_id, word, place FROM documents JOIN w ON contains(text, word)),
+g AS (SELECT doc_id, count(*) AS n_words, min(place) AS first_place, arg_min(word, (-length(word), word)) AS longest FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::INT AS n_words, first_place::VARCHAR AS first_place, longest FROM documents LEFT JOIN g USING (doc_id)"""
+)
+def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of a large dictionary stand in each document: how many, the first declared and the longest."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0)).alias("word"))
+    words = words.groupBy("word").agg(F.min("item_id").alias("place"))
+    by_place, by_word = matching.matcher(words.withColumn("value", F.col("place"))), matching.matcher(words.withColumn("value", F.col("word")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", by_place(F.col("text")).alias("places"), by_word(F.col("text")).alias("words"))
+    return rows.select("doc_id", F.size("words").alias("n_words"), matching.first_declared(F.col("places")).alias("first_place"), matching.longest(F.col("words")).alias("longest"))
 
 
 @query(

@@ -31,10 +31,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{uri}/marlstone/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, **options) -> DataFrame:
+def staged(df: DataFrame, label: str, partitionBy: list[str] | None = None, **options) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     path = new_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=partitionBy)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

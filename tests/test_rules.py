@@ -183,17 +183,6 @@ def test_sessions_and_sections(spark):
     assert values(spark, text)[0] == "【A】\nx\n\n【C】\n- p\n- q"
 
 
-def test_written_index_searches_like_the_texts(spark, tmp_path):
-    from marlstone.operators import retrieval
-
-    docs = spark.createDataFrame([(1, "a b c"), (2, "a a d"), (3, ""), (4, None), (5, "净利润增长 5%")], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "a d"), (2, "zz"), (3, "净利润 5%")], "query_id int, query string")
-    retrieval.write_index(docs, str(tmp_path / "index"), buckets=4)
-    index = retrieval.read_index(spark, str(tmp_path / "index"), asked, buckets=4)
-    for search in (retrieval.bm25_search, retrieval.jaccard_search):
-        assert sorted(map(tuple, search(docs, asked, index=index).collect())) == sorted(map(tuple, search(docs, asked).collect()))
-
-
 def test_macro_by_channel_and_tag(spark):
     rows = spark.createDataFrame([("a", ["x", "y"], 1.0), ("a", ["x"], 0.0), ("b", ["y"], 0.5)], "channel string, tags array<string>, v double")
     metrics = rows.select("channel", "tags", *(F.col("v").alias(m) for m in evaluation.METRICS))
