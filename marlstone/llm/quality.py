@@ -4,15 +4,18 @@ Two generative models of hashed word n-grams (unigrams and bigrams in a fixed
 number of buckets) are estimated: one from target text, the documents labelled
 good, one from all raw text. The importance weight of a document is the ratio of
 the two models' probabilities of its text, a product over its n-grams; its log is
-the sum of log(target probability / raw probability). N-grams of one text are far
-from independent, so the ratio of a text of more than REFERENCE n-grams is
-tempered to what REFERENCE of them would give on average: weight ** (REFERENCE /
-n). Otherwise length would decide first, and log weights would spread so far that
-the draw below were none. Documents are drawn without replacement by Gumbel top-k: to each log weight a
+the sum of log(target probability / raw probability). Documents are drawn without
+replacement by Gumbel top-k: to each log weight a
 Gumbel variate is added, and the k largest sums stay (Xie et al., "Data selection
 for language models via importance resampling", 2023). The variate comes from a
 hash of the id, so a document has the same one at every run and on every machine.
 
+N-grams of one text are far from independent, so log weights of plain products
+spread by hundreds and the draw decides little. ``reference`` tempers them: the
+weight of a text of n n-grams is raised to the power of reference / n where n is
+larger, that is to what so many of its n-grams would give on average. Without it
+the weight is the plain ratio.
+
 Counting emits one dense vector per task; the driver sees two vectors of the
 fixed bucket number. The k-th largest sum is found by narrowing histograms of a
 fixed number of bins, exactly, without a global sort.
@@ -38,8 +41,6 @@ BUCKETS = 1 << 16
 TARGET_DOCUMENTS = 50_000
 #: Part of the raw model that is mixed into the target model.
 SMOOTHING = 0.1
-#: N-grams of a text that count as independent evidence.
-REFERENCE = 20
 _BINS = 1024
 
 
@@ -104,14 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int =
     return np.log(model / share)
 
 
-def _weights(texts: list[bytes], vocabulary: WordHashes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(texts: list[bytes], vocabulary: WordHashes, table: np.ndarray, reference: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Number of n-grams and log weight of each text."""
     found, owner = _features(texts, vocabulary, len(table))
     n = np.bincount(owner, minlength=len(texts))
-    return n, np.bincount(owner, weights=table[found], minlength=len(texts)) / np.maximum(1, n / REFERENCE)
+    ratio = np.bincount(owner, weights=table[found], minlength=len(texts)).astype(np.float64)
+    return n, ratio if reference is None else ratio / np.maximum(1, n / reference)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_grams, log_weight) of every row; a null text has no n-grams and weight 0."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
@@ -121,7 +123,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         for batch in batches:
             ids = batch.column(0)
             for start, texts in chunks(batch, 1):
-                n, values = _weights(texts, vocabulary, table)
+                n, values = _weights(texts, vocabulary, table, reference)
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(values)], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
@@ -172,20 +174,22 @@ def _threshold(scored: DataFrame, labels: DataFrame, share: float | None, margin
     return kth_largest(scored, "gumbel_key", k) if k else math.inf
 
 
-def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
     """Resample a share of the documents: (doc_id, n_grams, log_weight, gumbel_key, kept).
 
+    The weight is the plain ratio of the models, or with ``reference`` the
+    tempered one.
     ``share`` is the part of the rows that stays; without it, it is the part of
     the labelled documents that is good, plus ``margin``. Of n rows k = ceil(n *
     share) stay. Rows with the same gumbel_key as the k-th stay too: that takes
     the same text and the same id. Null texts have weight 0; null ids share one
     variate. An empty table gives an empty result.
     """
-    scored = staged(score(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **model), id_col, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "scores")
+    scored = staged(score(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **model), reference, id_col, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "scores")
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(_threshold(scored, labels, share, margin)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all columns.
 
     The model is fitted and the threshold found as there; then each row is
@@ -193,7 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, ma
     size. Rows that share an id are judged by their own texts.
     """
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, **model)
-    scored = staged(score(docs, weights, id_col, text_col).select((F.col("log_weight") + gumbel(F.col("doc_id"), seed)).alias("gumbel_key")), "scores")
+    scored = staged(score(docs, weights, reference, id_col, text_col).select((F.col("log_weight") + gumbel(F.col("doc_id"), seed)).alias("gumbel_key")), "scores")
     least = _threshold(scored, labels, share, margin)
     weight = "log_weight"
     while weight in docs.columns:
@@ -207,7 +211,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, ma
             texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.binary())], ["text"])
             for start, some in chunks(texts, 0):
                 part = batch.slice(start, len(some))
-                _, values = _weights(some, vocabulary, table)
+                _, values = _weights(some, vocabulary, table, reference)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*part.schema.names, weight])
 
     share_package(docs.sparkSession)

@@ -22,7 +22,9 @@ SIMHASH_BITS = 4
 SIMHASH_SHINGLE = 4
 #: Added to the labelled share of good documents, so that sampling noise costs few of them.
 QUALITY_MARGIN = 0.005
-SHARD_BYTES = 8 << 20
+#: The ratio of the models is tempered to so many n-grams; None would give the plain ratio.
+QUALITY_REFERENCE = 20
+SHARD_BYTES = 64 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), margin=QUALITY_MARGIN)
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), margin=QUALITY_MARGIN, reference=QUALITY_REFERENCE)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def page_redirects(pages: DataFrame) -> DataFrame:
+    """A stated table of redirects (a, b): of each twenty pages the first leads to the eleventh, and some of these go on."""
+    urls = pages.select("page_id", "url")
+    hops = urls.where("page_id % 20 = 0 or page_id % 60 = 10").select(F.col("url").alias("a"), (F.col("page_id") + 10).alias("to"))
+    return hops.join(urls.select(F.col("page_id").alias("to"), F.col("url").alias("b")), "to").select("a", "b")
+
+
+def url_alias_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts that spread over redirects, for which the tables' pages have no links of their own."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, URL_RULES, page_redirects(pages))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -190,8 +205,8 @@ SELECT documents.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids
 FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id
 """
 
-_OP9 = """
-WITH u AS (
+_HOSTS = """
+u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
   SELECT page_id, url,
@@ -203,15 +218,35 @@ m AS (
   SELECT page_id, name || prefix AS rule, verdict,
          row_number() OVER (PARTITION BY page_id ORDER BY length(name || prefix) DESC) AS k
   FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix)
+), j AS (
+  SELECT h.page_id, url, host, path, rule, verdict FROM h LEFT JOIN (SELECT * FROM m WHERE k = 1) AS m ON h.page_id = m.page_id
 )
--- No page of the tables states a canonical link or a refresh, so no page has an alias.
-SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, false AS alias_blocked
-FROM h LEFT JOIN (SELECT * FROM m WHERE k = 1) AS m ON h.page_id = m.page_id
 """ % ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+# No page of the tables states a canonical link or a refresh, so no page has an alias.
+_OP9 = f"WITH {_HOSTS} SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, false AS alias_blocked FROM j"
+
+# Every page that the links of a page reach; a blocked one among them blocks it.
+_ALIASES = f"""
+WITH RECURSIVE {_HOSTS}, n AS (
+  SELECT *, regexp_replace(regexp_extract(url, '^[^#]*'), '^([^:]*)://[^/?#]*', lower(regexp_extract(url, '^[^:]*')) || '://' || host) AS key FROM j
+), s AS (
+  SELECT x.key AS a, y.key AS b FROM n AS x JOIN n AS y ON y.page_id = x.page_id + 10
+  WHERE (x.page_id % 20 = 0 OR x.page_id % 60 = 10) AND x.key <> y.key
+), e AS (
+  SELECT a, b FROM s UNION SELECT b, a FROM s
+), c(a, b) AS (
+  SELECT a, a FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a
+), x AS (
+  SELECT DISTINCT c.a AS key FROM c JOIN n ON n.key = c.b WHERE verdict = 'block'
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN x.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, x.key IS NOT NULL AS alias_blocked
+FROM n LEFT JOIN x ON x.key = n.key
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_warc, op2_quality, op3_line_dedup, op4_exact_dedup, op5_sharding, op6_substring_dedup, op7_simhash, op8_bpe, op9_url_filter, op10_decontamination)
+    each = (op1_warc, op2_quality, op3_line_dedup, op4_exact_dedup, op5_sharding, op6_substring_dedup, op7_simhash, op8_bpe, op9_url_filter, op10_decontamination, url_alias_blocks)
     return {f.__name__: f for f in each} | phrase_queries.queries()
 
 
@@ -223,5 +258,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": _OP5,
         "op6_substring_dedup": _OP6,
         "op9_url_filter": _OP9,
+        "url_alias_blocks": _ALIASES,
         "op10_decontamination": _OP10,
     } | phrase_queries.oracle_sql()

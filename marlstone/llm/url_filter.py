@@ -10,6 +10,8 @@ for the member itself, which always comes first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ from .scratch import staged
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
@@ -57,8 +64,50 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
-#: Entities of HTML that a URL may hold, the ampersand last.
-_ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: Named entities that a URL may hold.
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+#: What a browser does not read as tags: comments, also one that is never closed, and elements of raw text.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?</\1\s*>"
+#: A tag up to its end; quotes may hold the sign that ends it.
+_TAG = r"(?i)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: A name with its value, in double, single or no quotes.
+_ATTRIBUTE = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+_VALUE = r"^[^\s=]+\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))$"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + code.bitwiseAND(0x3FF)
+    units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(good, F.decode(F.unhex(units), "UTF-16BE")).otherwise(F.lit("\ufffd"))
+
+
+def decoded(value: Column) -> Column:
+    """``value`` with its named and numeric entities decoded, each once."""
+    parts = F.regexp_extract_all(value, F.lit(r"&#[xX][0-9A-Fa-f]{1,6};?|&#[0-9]{1,7};?|&(?:%s);|[^&]+|&" % "|".join(_NAMED)), 0)
+    named = F.create_map(*(F.lit(x) for name, sign in _NAMED.items() for x in (f"&{name};", sign)))
+
+    def one(part: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(part, r"^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("long")
+        plain = F.regexp_extract(part, r"^&#([0-9]+)", 1).try_cast("long")
+        numeric = F.when(part.rlike("^&#[xX]"), _character(hexed)).otherwise(_character(plain))
+        return F.when(part.startswith("&#"), numeric).otherwise(F.coalesce(F.try_element_at(named, part), part))
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def _groups(value: Column, pattern: str) -> Column:
+    """What the one of three groups matched that took part."""
+    return F.concat(*(F.regexp_extract(value, pattern, i) for i in (1, 2, 3)))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's first attribute of that name; null if it has none."""
+    body = F.regexp_replace(tag, r"^<[A-Za-z]+", " ")
+    all_ = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), 0)
+    mine = F.filter(all_, lambda x: F.lower(F.regexp_extract(x, r"^[^\s=]+", 0)) == name)
+    return _bound(F.try_element_at(mine, F.lit(1)), lambda x: decoded(_groups(x, _VALUE)))
 
 
 def _without_dots(target: Column) -> Column:
@@ -80,6 +129,10 @@ def resolved(base: Column, target: Column) -> Column:
     Null where either is null, where the base has no ``://``, for an empty
     target or a mere fragment, and for schemes without ``://``.
     """
+    return _bound(F.struct(base.alias("base"), target.alias("target")), lambda x: _resolved(x["base"], x["target"]))
+
+
+def _resolved(base: Column, target: Column) -> Column:
     scheme, rest = F.substring_index(base, "://", 1), _after_scheme(base)
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -100,20 +153,32 @@ def resolved(base: Column, target: Column) -> Column:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) that pages state themselves: every ``<link rel=canonical>`` and meta refresh.
 
-    Targets are decoded and resolved against the page's URL. Pages with a null
-    URL or null html state none. The html is searched once, for tags.
+    Comments and raw text such as scripts are cut first. Tags are taken apart by
+    attribute, with their quotes, so neither a quoted ``>`` nor an attribute like
+    ``data-href`` misleads. Targets are decoded and resolved against the page's
+    first ``<base href>``, itself resolved, else against its URL. Pages with a
+    null URL or null html state none.
     """
-    tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
-    rows = pages.select(F.col(url_col).alias("a"), F.explode(tags).alias("tag")).where("a is not null")
-    tag = F.col("tag")
-    href = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    canonical = tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
-    refresh = tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
-    to = F.when(canonical, F.concat(*(F.regexp_extract(tag, href, i) for i in (1, 2, 3)))).when(refresh, F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    for name, sign in _ENTITIES:
-        to = F.replace(to, F.lit(name), F.lit(sign))
-    rows = rows.where(canonical | refresh).select("a", F.trim(to).alias("to")).select("a", resolved(F.col("a"), F.col("to")).alias("b"))
-    return rows.where("b is not null").select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")).where("a <> b")
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), _UNREAD, " "), F.lit(_TAG), 0)
+    rows = pages.select(F.col(url_col).alias("a"), tags.alias("tags")).where("a is not null and size(tags) > 0")
+    is_base = lambda t: t.rlike("(?i)^<base")
+    based = F.filter(F.transform(F.filter("tags", is_base), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    base = _bound(F.struct("a", F.trim(F.try_element_at(based, F.lit(1))).alias("stated")), lambda x: F.coalesce(resolved(x["a"], x["stated"]), x["a"]))
+    # One row for each link; what the tag says is worked out once, in the lambda.
+    targets = F.transform(F.filter("tags", lambda t: ~is_base(t)), _target)
+    rows = rows.select("a", base.alias("base"), F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("to"))
+    rows = rows.select("a", resolved(F.col("base"), F.col("to")).alias("b")).where("b is not null")
+    return rows.select(_bound(F.col("a"), url_key).alias("a"), _bound(F.col("b"), url_key).alias("b")).where("a <> b")
+
+
+def _target(tag: Column) -> Column:
+    """Where a canonical link or a refresh leads, as it is written; null for other tags."""
+    words = F.split(F.lower(attribute(tag, "rel")), r"\s+")
+    canonical = F.coalesce(F.array_contains(words, "canonical"), F.lit(False))
+    refresh = F.coalesce(F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh", F.lit(False))
+    later = r"(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|([^\s\"']\S*))"
+    link = F.when(tag.rlike("(?i)^<link") & canonical, F.trim(attribute(tag, "href")))
+    return F.when(tag.rlike("(?i)^<meta") & refresh, _bound(attribute(tag, "content"), lambda c: F.trim(_groups(c, later)))).otherwise(link)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

@@ -42,6 +42,45 @@ def test_links_in_many_forms(spark):
     assert got == {(BASE, x) for x in ("http://site.net/de/1?a=1&b=2", "http://other.net/x", "http://site.net/a/b/next", "http://site.net/second")}
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<link title="a>b" rel="canonical" href="/de/1">', ["http://s.com/de/1"]),
+        ('<link rel=canonical data-href="/wrong" href="/right">', ["http://s.com/right"]),
+        ('<link rel="canonical" data-href="/wrong">', []),
+        ('<link rel="canonical" href="&#x2F;de&#47;1&amp;lt;&#x1F600;&#0;">', ["http://s.com/de/1&lt;\U0001f600\ufffd"]),
+        ('<base href="/deep/er/"><link rel="canonical" href="x">', ["http://s.com/deep/er/x"]),
+        ('<link rel="canonical" href="x"><base target="_top"><base href="//t.net/y/"><base href="/no/">', ["http://t.net/y/x"]),
+        ('<!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="/yes">', ["http://s.com/yes"]),
+        ('<link rel="canonical" href="/yes"><!-- never closed <link rel="canonical" href="/no">', ["http://s.com/yes"]),
+        ('<script>var x = \'<link rel="canonical" href="/no">\';</script>', []),
+        ('<link rel="alternate" title="rel=canonical" href="/no">', []),
+        ('<link rel="not-canonical" href="/no"><link rel="x  CANONICAL" href="/yes">', ["http://s.com/yes"]),
+        ("<link href = '/yes' rel = 'canonical' href='/no'>", ["http://s.com/yes"]),
+        ('<link rel="canonical" title="open href=/no>', []),
+        ("<meta http-equiv=refresh content='0;url=\"/a b\"'>", ["http://s.com/a b"]),
+        ('<meta http-equiv="refresh" content="3; /plain"><meta name="refresh" content="0;url=/no">', ["http://s.com/plain"]),
+        ('<meta http-equiv="refresh" content="30">', []),
+        ("<LINK REL=canonical HREF=/up/>", ["http://s.com/up/"]),
+        ("<linked rel=canonical href=/no><link" + " x" * 20000 + " rel=canonical href=/far>", ["http://s.com/far"]),
+    ],
+)
+def test_attributes_as_a_browser_reads_them(spark, html, want):
+    pages = spark.createDataFrame([(1, "http://s.com/a/p", html)], "page_id long, url string, html string")
+    assert sorted(r.b for r in url_filter.page_links(pages).collect()) == want
+
+
+def test_very_long_pages(spark):
+    html = "<p title='" + "x>" * 500_000 + "'>" + "<!-- " + "y" * 1_000_000 + " -->" + "<link rel=canonical href=/de/1>" + '<link title="' + "z" * 500_000
+    pages = spark.createDataFrame([(1, "http://s.com/a", html)], "page_id long, url string, html string")
+    assert [r.b for r in url_filter.page_links(pages).collect()] == ["http://s.com/de/1"]
+
+
+def test_redirects_block_aliases(spark, sf):
+    got = queries.url_alias_blocks(spark, sf)
+    assert got.where("alias_blocked and rule is null and verdict = 'block'").count() > 0
+
+
 def test_relative_canonical_links_spread_blocks(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [(1, "http://www.shop.com/old", link("/de/1"), "c"), (2, "http://mirror.net/x", link("//www.shop.com/old"), "c"), (3, "http://mirror.net/y", link("z"), "c"), (None, "http://mirror.net/x", None, "c"), (1, "http://www.shop.com/old", link("/de/1"), "c")]

@@ -128,7 +128,7 @@ def test_quality_weights_match_brute_force(spark, awkward):
     hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in text]
     pairs = [int(quality.mixed(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:])]
     assert by_id[0].n_grams == len(text) * 2 - 1
-    assert abs(by_id[0].log_weight - quality.REFERENCE * np.mean([weights[h % 64] for h in hashes + pairs])) < 1e-6
+    assert abs(by_id[0].log_weight - 20 * np.mean([weights[h % 64] for h in hashes + pairs])) < 1e-6
     assert by_id[20].log_weight == 0 and by_id[21].n_grams == 0
     assert len(got) == len(awkward)
 
@@ -197,9 +197,25 @@ def test_line_dedup_of_very_many_lines(spark):
     assert got[1].text.split("\n")[0] == "the line that repeats" and got[1].text.count("\n") == 199_999 - got[1].n_removed
 
 
-def test_line_dedup_is_native(spark, sf):
-    plan = line_dedup.line_dedup(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op5_sharding", "op10_decontamination"])
+def test_marked_operators_are_native(spark, sf, name, monkeypatch):
+    """Neither the returned plan nor any table written on the way has a Python node."""
+    plans = []
+    for module in (line_dedup, sharding, decontamination):
+        real = module.staged
+
+        def seen(df, label, real=real):
+            plans.append(df._jdf.queryExecution().toString())
+            return real(df, label)
+
+        monkeypatch.setattr(module, "staged", seen)
+    plans.append(queries.queries()[name](spark, sf)._jdf.queryExecution().toString())
+    assert len(plans) > 2 and not any(word in plan for plan in plans for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_sharding_query_splits(spark, sf):
+    depths = {r.depth for r in queries.op5_sharding(spark, sf).select("depth").distinct().collect()}
+    assert len(depths) > 1
 
 
 # 4. Exact

@@ -28,15 +28,16 @@ def test_kept_set_matches_a_loop(spark):
     table = quality.fit(docs, labels)
     noise = {r.i: r.g for r in spark.createDataFrame([(i,) for i, _ in rows], "i long").select("i", quality.gumbel(F.col("i"), 7).alias("g")).collect()}
     keys = {}
-    for i, text in rows:
-        found, _ = quality._features([(text or "").encode()], quality.WordHashes(), quality.BUCKETS)
-        log_ratio = math.fsum(table[b] for b in found)
-        keys[i] = log_ratio / max(1, len(found) / quality.REFERENCE) + noise[i]
-    for share in (0.3, 0.75):
-        k = math.ceil(len(rows) * share)
-        want = set(sorted(keys, key=keys.get, reverse=True)[:k])
-        assert {r.doc_id for r in quality.classify(docs, labels, share=share).where("kept").collect()} == want
-        assert {r.doc_id for r in quality.keep_good(docs, labels, share=share).collect()} == want
+    for reference in (None, 20, 3):
+        for i, text in rows:
+            found, _ = quality._features([(text or "").encode()], quality.WordHashes(), quality.BUCKETS)
+            log_ratio = math.fsum(table[b] for b in found)
+            keys[i] = log_ratio / (1 if reference is None else max(1, len(found) / reference)) + noise[i]
+        for share in (0.3, 0.75):
+            k = math.ceil(len(rows) * share)
+            want = set(sorted(keys, key=keys.get, reverse=True)[:k])
+            assert {r.doc_id for r in quality.classify(docs, labels, share=share, reference=reference).where("kept").collect()} == want
+            assert {r.doc_id for r in quality.keep_good(docs, labels, share=share, reference=reference).collect()} == want
 
 
 def test_draw_follows_the_weights(spark):
@@ -58,10 +59,10 @@ def test_noise_matters_and_good_documents_stay(spark):
     root = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
     weights = quality.fit(docs, labels)
-    scored = quality.score(docs, weights).join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").toPandas()
+    scored = quality.score(docs, weights, 20).join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").toPandas()
     n = len(scored)
     k = math.ceil(n * (labels.where("quality = 1").count() / labels.count() + 0.005))
-    kept = [set(r.doc_id for r in quality.classify(docs, labels, margin=0.005, seed=seed).where("kept").collect()) for seed in (1, 2)]
+    kept = [set(r.doc_id for r in quality.classify(docs, labels, margin=0.005, seed=seed, reference=20).where("kept").collect()) for seed in (1, 2)]
     assert len(kept[0]) == len(kept[1]) == k
     plain = set(scored.nlargest(k, "log_weight").doc_id)
     assert len(kept[0] ^ plain) >= 6 and len(kept[0] ^ kept[1]) >= 6
