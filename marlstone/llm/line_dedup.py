@@ -81,8 +81,9 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
     Occurrences are ordered by (id, text hash, line number), null ids first.
     Lines of white space only are never judged. An earlier line removes a later
     one whether or not it is removed itself. A line of n characters costs in the
-    order of n to the power ``max_edits + 1`` if others share a piece with it
-    (1.5 for one edit).
+    order of n to the power ``max_edits + 1`` if others share a piece with it;
+    with one edit a variant costs the root of n, and only blocks of such a length
+    in which the line may differ from another emit any.
     """
     if max_edits < 0:
         raise ValueError("max_edits is 0 or more")
@@ -101,33 +102,75 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
     return rows.where(again).select("doc_id", "th", "line_no")
 
 
-def _block(base: Column, j: Column) -> tuple[Column, Column]:
-    """Begin and end of block ``j`` of a line of ``base`` characters; there are about sqrt(base)."""
-    width = F.greatest(F.ceil(F.sqrt(base)).cast("int"), F.lit(1))
-    return j * width, F.least(base, (j + 1) * width)
+def _width(base: Column) -> Column:
+    """Characters of a block of a line of ``base`` characters: there are about sqrt(base) blocks of about as many."""
+    return F.greatest(F.ceil(F.sqrt(base)).cast("int"), F.lit(1))
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """Deletion variants (h1, h2, first, at, k1, k2) that can meet a variant of another line.
+def _cut(line: Column, width: Column) -> Column:
+    """The line's blocks from the left, in one pass over it."""
+    return F.regexp_extract_all(line, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), 0)
+
+
+def _chain(parts: Column, seed: int) -> Column:
+    """Hashes of the first 0, 1, 2, ... parts, each from the one before."""
+    return F.aggregate(parts, F.array(F.xxhash64(F.lit(seed))), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(h1, h2, base, j, key, key2): for each block of a line the hashes of what stands before and after it.
+
+    A line takes part with its own length as the shorter or equal partner, and
+    with one less as the longer one. A pair within one edit agrees before and
+    after the block of the shorter line that holds the edit. The hashes are
+    chained over blocks, so all of them together read a line a few times.
+    """
+    rows = texts.select("h1", "h2", "line", "n", F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("base")).withColumn("w", _width(F.col("base")))
+    left = _cut(F.col("line"), F.col("w"))
+    right = F.reverse(_cut(F.substring(F.col("line"), F.col("n") - F.col("base") + 1, F.col("n")), F.col("w")))
+    parts = F.struct("base", F.greatest(F.ceil(F.col("base") / F.col("w")).cast("int"), F.lit(1)).alias("count"), left.alias("left"), right.alias("right"))
 
-    ``at`` is the deleted character, 0 for the line as it is. A pair within one
-    edit agrees before and after the block of the shorter line that holds the
-    edit, so a block whose outside occurs once emits nothing; the cost of a line
-    then grows with its length to the power 1.5, not with the square.
+    def chains(x: Column) -> Column:
+        return F.struct(x["base"].alias("base"), x["count"].alias("count"), *(_chain(x[side], seed).alias(f"{side}{seed}") for side in ("left", "right") for seed in (1, 2)))
+
+    def keys(x: Column) -> Column:
+        outside = lambda j, seed: F.xxhash64(F.lit(seed), x["base"], j, F.get(x[f"left{seed}"], j), F.get(x[f"right{seed}"], x["count"] - 1 - j))
+        return F.transform(F.sequence(F.lit(0), x["count"] - 1), lambda j: F.struct(j.alias("j"), outside(j, 1).alias("key"), outside(j, 2).alias("key2")))
+
+    # Fields of a lambda's argument are made once, and not for every block.
+    found = F.transform(F.transform(F.array(parts), chains), keys)[0]
+    return rows.select("h1", "h2", "base", F.explode(found).alias("b")).select("h1", "h2", "base", "b.*")
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """Variants (h1, h2, first, kind, at, k1, k2) that can meet one of another line.
+
+    Kind ``s`` is a line without one character, to meet lines of its length
+    without the one at the same place; ``w`` is a line as it is, and ``d`` one
+    without a character, to meet a whole one; ``at`` is the place of that character
+    in the line, 0 for none. The key is made of the hashes of
+    what stands outside the block and of the rest of the block alone, so a variant
+    costs the root of the length. Blocks whose outside occurs once emit nothing.
     """
-    line, n = F.col("line"), F.col("n")
-    blocks = texts.select("h1", "h2", "line", "n", F.explode(F.array(n, n - 1)).alias("base"))
-    count = F.greatest(F.ceil(F.col("base") / F.greatest(F.ceil(F.sqrt("base")), F.lit(1))).cast("int"), F.lit(1))
-    blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
-    begin, end = _block(F.col("base"), F.col("j"))
-    outside = F.xxhash64("base", "j", F.substring(line, F.lit(1), begin), F.substring(line, n - F.col("base") + end + 1, n))
-    blocks = staged(blocks.select("h1", "h2", "n", "base", "j", outside.alias("key")), "blocks")
-    met = _shared_keys(blocks, ["key"]).select("h1", "h2", (begin + 1).alias("lo"), (end + n - F.col("base")).alias("hi"))
-    at = F.explode(F.sequence("lo", "hi")).alias("at")
-    cut = texts.join(met.distinct(), ["h1", "h2"]).select("h1", "h2", "first", "line", "n", at)
-    v = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + 1, n))
-    cut = cut.select("h1", "h2", "first", "at", F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(17), v).alias("k2"))
-    return cut.unionByName(texts.select("h1", "h2", "first", F.lit(0).alias("at"), F.col("h1").alias("k1"), F.col("h2").alias("k2")))
+    blocks = staged(_blocks(texts), "blocks")
+    met = _shared_keys(blocks, ["key"]).groupBy("h1", "h2").agg(F.collect_set(F.struct("base", "j", "key", "key2")).alias("met"))
+    rows = texts.join(met, ["h1", "h2"])
+    both = F.struct("n", "met", _cut(F.col("line"), _width(F.col("n"))).alias("even"), _cut(F.col("line"), _width(F.col("n") - 1)).alias("odd"))
+
+    def region(x: Column, m: Column) -> Column:
+        """The block; for the longer partner with the character that follows."""
+        more = F.concat(F.get(x["odd"], m["j"]), F.coalesce(F.substring(F.get(x["odd"], m["j"] + 1), 1, 1), F.lit("")))
+        return F.struct(m["base"].alias("base"), (m["j"] * _width(m["base"])).alias("before"), m["key"].alias("key"), m["key2"].alias("key2"), F.when(m["base"] == x["n"], F.get(x["even"], m["j"])).otherwise(more).alias("part"))
+
+    found = F.transform(F.array(both), lambda x: F.transform(x["met"], lambda m: region(x, m)))[0]
+    parts = rows.select("h1", "h2", "first", "n", F.explode(found).alias("m")).select("h1", "h2", "first", "n", "m.*")
+    equal = F.col("base") == F.col("n")
+    rest = F.concat(F.substring(F.col("part"), F.lit(1), F.col("p") - 1), F.substring(F.col("part"), F.col("p") + 1, F.length("part")))
+    cut = parts.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("part")))).withColumn("rest", rest)
+    place = F.when(equal, F.col("p")).otherwise(F.lit(0))
+    cut = cut.select("h1", "h2", "first", F.when(equal, "s").otherwise("d").alias("kind"), (F.col("before") + F.col("p")).alias("at"), *(F.xxhash64(F.col(key), place, F.col("rest")).alias(k) for key, k in (("key", "k1"), ("key2", "k2"))))
+    whole = parts.where(equal).select("h1", "h2", "first", F.lit("w").alias("kind"), F.lit(0).alias("at"), *(F.xxhash64(F.col(key), F.lit(0), F.col("part")).alias(k) for key, k in (("key", "k1"), ("key2", "k2"))))
+    return cut.unionByName(whole)
 
 
 def _edited(texts: DataFrame, edits: int) -> DataFrame:
@@ -148,18 +191,20 @@ def _edited(texts: DataFrame, edits: int) -> DataFrame:
 
 
 def _met_one(texts: DataFrame) -> DataFrame:
-    """(h1, h2, best): lines and the earliest line within one edit of each that they meet, if it is earlier."""
+    """(h1, h2, best, late_at, early_at): lines, an earlier line within one edit of each, and what to delete in the two."""
     met = staged(_shared_keys(staged(_variants(texts), "variants"), ["k1", "k2"]), "met-variants")
-    # The same place deleted on both sides: one substitution.
-    place = met.where("at > 0").groupBy("k1", "k2", "at").agg(F.min("first").alias("best"))
-    swapped = met.join(place, ["k1", "k2", "at"])
-    # One side whole, the other without a character: one insertion or deletion.
-    whole = met.where("at = 0").select("k1", "k2", F.col("first").alias("best"))
-    longer = met.where("at > 0").join(whole, ["k1", "k2"])
-    some = met.where("at > 0").groupBy("k1", "k2").agg(F.min("first").alias("best"))
-    shorter = met.where("at = 0").join(some, ["k1", "k2"])
-    pairs = [x.where("best < first").select("h1", "h2", "best") for x in (swapped, longer, shorter)]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    of = lambda kind: met.where(F.col("kind") == kind)
+    least = lambda kind: of(kind).groupBy("k1", "k2").agg(F.min(F.struct("first", F.col("at").alias("early_at"))).alias("m")).select("k1", "k2", F.col("m.first").alias("best"), "m.early_at")
+    # The same place deleted on both sides is one substitution; one side whole and the other not, an insertion or deletion.
+    pairs = [of(late).join(least(early), ["k1", "k2"]) for late, early in (("s", "s"), ("d", "w"), ("w", "d"))]
+    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).where("best < first")
+    # In a run of one sign many places do; one is enough.
+    found = found.groupBy("h1", "h2", "best").agg(F.min(F.struct(F.col("at").alias("late_at"), "early_at")).alias("m"))
+    return found.select("h1", "h2", "best", "m.late_at", "m.early_at")
+
+
+def _without_one(line: Column, at: Column) -> Column:
+    return F.when(at == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + 1, F.length(line))))
 
 
 def _met_more(texts: DataFrame, edits: int) -> DataFrame:
@@ -178,10 +223,15 @@ def _near_lines(found: DataFrame, distinct: DataFrame, candidates: DataFrame, ed
     texts = found.join(lookup(first), on).select("h1", "h2", "first", "line", F.length("line").alias("n"))
     # A text that is repeated under one id names one place twice.
     texts = staged(texts.dropDuplicates(["h1", "h2"]), "candidate-lines")
-    pairs = staged((_met_one(texts) if edits == 1 else _met_more(texts, edits)).distinct(), "line-pairs")
+    pairs = staged(_met_one(texts) if edits == 1 else _met_more(texts, edits).distinct(), "line-pairs")
     mine = texts.select("h1", "h2", "line")
     other = texts.select(F.col("first").alias("best"), F.col("line").alias("earlier"))
-    checked = pairs.join(mine, ["h1", "h2"]).join(other, "best").where(F.levenshtein("line", "earlier", edits) >= 0)
+    # For one edit the two are equal without the deleted characters, which is seen in one pass over them.
+    if edits == 1:
+        near = _without_one(F.col("line"), F.col("late_at")) == _without_one(F.col("earlier"), F.col("early_at"))
+    else:
+        near = F.levenshtein("line", "earlier", edits) >= 0
+    checked = pairs.join(mine, ["h1", "h2"]).join(other, "best").where(near)
     return staged(checked.select("h1", "h2").distinct(), "near-lines")
 
 

@@ -13,7 +13,7 @@ hash of the id, so a document has the same one at every run and on every machine
 N-grams of one text are far from independent, so log weights of plain products
 spread by hundreds and the draw decides little. ``reference`` tempers them: the
 weight of a text of n n-grams is raised to the power of reference / n where n is
-larger, that is to what so many of its n-grams would give on average. Without it
+larger, that is to what so many of its n-grams would give on average. With None
 the weight is the plain ratio.
 
 Counting emits one dense vector per task; the driver sees two vectors of the
@@ -41,6 +41,8 @@ BUCKETS = 1 << 16
 TARGET_DOCUMENTS = 50_000
 #: Part of the raw model that is mixed into the target model.
 SMOOTHING = 0.1
+#: N-grams of a text that count as independent evidence; None for the plain ratio.
+REFERENCE = 20
 _BINS = 1024
 
 
@@ -113,7 +115,7 @@ def _weights(texts: list[bytes], vocabulary: WordHashes, table: np.ndarray, refe
     return n, ratio if reference is None else ratio / np.maximum(1, n / reference)
 
 
-def score(docs: DataFrame, weights: np.ndarray, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, reference: float | None = REFERENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_grams, log_weight) of every row; a null text has no n-grams and weight 0."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
@@ -174,11 +176,11 @@ def _threshold(scored: DataFrame, labels: DataFrame, share: float | None, margin
     return kth_largest(scored, "gumbel_key", k) if k else math.inf
 
 
-def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = REFERENCE, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
     """Resample a share of the documents: (doc_id, n_grams, log_weight, gumbel_key, kept).
 
-    The weight is the plain ratio of the models, or with ``reference`` the
-    tempered one.
+    The weight is the ratio of the models tempered to ``reference`` n-grams, or
+    with None the plain one.
     ``share`` is the part of the rows that stays; without it, it is the part of
     the labelled documents that is good, plus ``margin``. Of n rows k = ceil(n *
     share) stay. Rows with the same gumbel_key as the k-th stay too: that takes
@@ -189,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, share: float | None = None, mar
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(_threshold(scored, labels, share, margin)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = None, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.0, seed: int = 7, reference: float | None = REFERENCE, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all columns.
 
     The model is fitted and the threshold found as there; then each row is
