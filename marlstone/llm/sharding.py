@@ -13,6 +13,7 @@ The directory is a table with one row per bucket: its bits and their number
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .scratch import lookup, staged
 
-#: Bits that one pass may split.
+#: Bits that a pass may split; the first one may split more, by the table's size.
 STEP = 12
 #: Bits of the hash.
 BITS = 60
@@ -47,8 +48,10 @@ def build_directory(sizes: DataFrame, limit: int, step: int = STEP) -> DataFrame
     found.append(top.where(F.col("shard_bytes") <= limit))
     open_ = top.where(F.col("shard_bytes") > limit).select("prefix")
     rows, done = sizes, 0
+    # So many bits as even buckets would need, and two more: then few rows are left for another pass at any size.
+    first = math.ceil(math.log2(max(1, top.first()["shard_bytes"] / max(1, limit)))) + 2
     while done < BITS and open_.limit(1).count():
-        deep = min(BITS, done + step)
+        deep = min(BITS, done + (step if done else max(step, first)))
         if done:
             rows = rows.join(lookup(open_), _prefix(F.col("h"), done) == open_["prefix"], "left_semi")
         cells = rows.groupBy(_prefix(F.col("h"), deep).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r"))
