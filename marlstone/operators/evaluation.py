@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,12 @@ def ranking_metrics(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
         F.sum(F.when(inside, gain(F.col("grade"), F.col("rank")))).alias("dcg"),
         F.sum(F.when(inside, F.col("nth") / F.col("rank"))).alias("precisions"),
     )
+    return _metrics(totals.join(sums, "query_id", "left"), k)
+
+
+def _metrics(rows: DataFrame, k: int) -> DataFrame:
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return totals.join(sums, "query_id", "left").select(
+    return rows.select(
         "query_id",
         zero(F.col("n_found") / F.col("n_rel")).alias("recall"),
         zero(F.col("n_found") / k).alias("precision"),
@@ -39,6 +45,30 @@ def ranking_metrics(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     )
 
 
+def group_metrics(hits: DataFrame, members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``ranking_metrics`` where all other members of a query's group are relevant, with grade 1.
+
+    members (key, group), each key once; queries (query_id, group) of unique ids.
+    Groups are counted and hits looked up, so no pairs of query and member are
+    made. A query that is a member itself is not relevant to itself.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    own = members.select(F.col("key").alias("query_id"), "group").withColumn("own", F.lit(1))
+    totals = queries.join(sizes, "group").join(own, ["query_id", "group"], "left")
+    totals = totals.select("query_id", "group", (F.col("size") - F.coalesce("own", F.lit(0))).alias("n_rel")).where("n_rel > 0")
+    ideal = F.element_at(F.array(*(F.lit(sum(1 / math.log2(i + 1) for i in range(1, n + 1))) for n in range(1, k + 1))), F.least("n_rel", F.lit(k)).cast("int"))
+    asked = hits.select("query_id", "key", "rank").join(totals.select("query_id", "group"), "query_id").where("query_id <> key")
+    found = asked.join(members, ["key", "group"]).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    inside = F.col("rank") <= k
+    sums = found.groupBy("query_id").agg(
+        F.sum(inside.cast("long")).alias("n_found"),
+        F.min("rank").alias("first"),
+        F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1))).alias("dcg"),
+        F.sum(F.when(inside, F.col("nth") / F.col("rank"))).alias("precisions"),
+    )
+    return _metrics(totals.withColumn("idcg", ideal).join(sums, "query_id", "left"), k)
+
+
 METRICS = ("recall", "precision", "mrr", "ndcg", "map")
 
 

@@ -68,11 +68,32 @@ def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     return rows.select("symbol", "date", F.round("mid", 4).alias("mid"), F.round("upper", 4).alias("upper"), F.round("lower", 4).alias("lower"), place.alias("position"))
 
 
+#: Values that are averaged into one array before they are joined to the others.
+_EWM_BLOCK = 64
+
+
 def _ewm(values: Column, alpha: float) -> Column:
-    """Exponential averages of an array: each the last times 1 - alpha plus the value times alpha."""
-    start = F.array(F.element_at(values, 1))
-    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, start, lambda done, x: F.concat(done, F.array(F.element_at(done, -1) * (1 - alpha) + x * alpha)))
+    """Exponential averages of an array: each the last times 1 - alpha plus the value times alpha.
+
+    The array is folded in blocks that hand on their last average, so its parts
+    are copied once and not for every value.
+    """
+
+    def averaged(last: Column, some: Column) -> Column:
+        return F.aggregate(some, F.array(last), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) * (1 - alpha) + x * alpha)))
+
+    def step(state: Column, some: Column) -> Column:
+        first = averaged(F.element_at(some, 1), F.slice(some, 2, _EWM_BLOCK))
+        later = F.slice(averaged(state["last"], some), 2, _EWM_BLOCK)
+        made = F.array(F.when(state["last"].isNull(), first).otherwise(later))
+        return F.transform(made, lambda m: F.struct(F.concat(state["done"], F.array(m)).alias("done"), F.element_at(m, -1).alias("last")))[0]
+
+    def folded(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _EWM_BLOCK).cast("int")), lambda i: F.slice(v, i * _EWM_BLOCK + 1, F.lit(_EWM_BLOCK)))
+        nothing = F.struct(F.array().cast("array<array<double>>").alias("done"), F.lit(None).cast("double").alias("last"))
+        return F.flatten(F.aggregate(blocks, nothing, step, lambda s: s["done"]))
+
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, folded(v)).otherwise(v))[0]
 
 
 def _series(bars: DataFrame, *columns: str) -> DataFrame:

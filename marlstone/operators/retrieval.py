@@ -21,6 +21,7 @@ from ..functions.predicates import metadata_filter
 from ..functions.tokens import index_terms
 from ..session import map_arrow
 from ..staging import if_few, staged
+from .rerank import Scorer, reranked
 
 #: Values of queries that a task of a cosine search holds at once (8 bytes each).
 QUERY_VALUES = 4_000_000
@@ -113,9 +114,14 @@ def hybrid_search(
     threshold: float | None = None,
     key: str = "doc_id",
     text: str = "text",
+    scorer: Scorer | None = None,
 ) -> DataFrame:
     """Both text searches at 2k, fused, filtered by metadata, cut at k and gated.
 
+    With a ``scorer`` the hits are reranked before they are cut, and have
+    rerank_score and level too; the gate then looks at the best rerank score of a
+    query, and at the fused one where it has none.
+
     queries (query_id, query). One row per hit (query_id, stage, key, rank,
     score, n_channels and the documents' other columns), and one with a null key
     for a query without any. ``filters`` are those of ``metadata_filter``; with
@@ -131,9 +137,15 @@ def hybrid_search(
     fused = staged(fuse(both, weights or {"bm25": 0.5, "jaccard": 0.5}, 2 * k, method), "fused")
     meta = docs.where(allowed).drop(text, "query_id", "rank", "score", "n_channels", "stage").withColumnRenamed(key, "key")
     hits = meta.join(if_few(fused), "key").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    hits = staged(hits.where(F.col("place") <= k).withColumn("rank", F.col("place")).drop("place"), "hybrid-hits")
-    gate = quality_gate(hits, queries, float("-inf") if threshold is None else threshold).select("query_id", "stage")
-    columns = [c for c in meta.columns if c != "key"]
+    hits = hits.withColumn("rank", F.col("place")).drop("place")
+    if scorer is None:
+        hits = staged(hits.where(F.col("rank") <= k), "hybrid-hits")
+        judged = hits
+    else:
+        hits = staged(reranked(staged(hits, "hybrid-hits"), queries, docs, scorer, k, key, text).drop("fused_rank"), "reranked-hits")
+        judged = hits.withColumn("score", F.coalesce("rerank_score", "score"))
+    gate = quality_gate(judged, queries, float("-inf") if threshold is None else threshold).select("query_id", "stage")
+    columns = [c for c in meta.columns if c != "key"] + (["rerank_score", "level"] if scorer else [])
     return gate.join(hits, "query_id", "left").select("query_id", "stage", "key", "rank", "score", "n_channels", *columns)
 
 

@@ -24,9 +24,9 @@ met AS (SELECT query_id, round(coalesce(n_found / n_rel, 0), 6) AS recall, round
 @query(f"WITH {_METRICS} SELECT * FROM met")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where(F.col("vec_id") % search.EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
-    qrels = asked.join(vectors, "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("key"), F.lit(1).alias("grade"))
-    return evaluation.ranking_metrics(search.cosine_search(spark, sf_dir), qrels, 10)
+    members = vectors.select(F.col("vec_id").alias("key"), F.col("label").alias("group"))
+    asked = members.where(F.col("key") % search.EVERY == 0).withColumnRenamed("key", "query_id")
+    return evaluation.group_metrics(search.cosine_search(spark, sf_dir), members, asked, 10)
 
 
 @query(

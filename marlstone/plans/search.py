@@ -154,6 +154,30 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "stage", "key", "rank", "score", "n_channels", "lang", "source")
 
 
+def _by_length(query: str, texts: list[str]) -> list[float]:
+    """Stands in for a reranking model; it fails for some queries, as a service may."""
+    if len(query) % 7 == 0:
+        raise ConnectionError("no answer")
+    return [min(1.0, len(t) / 5000) for t in texts]
+
+
+@query(
+    f"""WITH {_TWICE}, cand AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, score, n_channels,
+  CASE WHEN length(q.text) % 7 <> 0 THEN least(1.0::DOUBLE, length(coalesce(d.text, '')) / 5000) END AS rerank_score
+  FROM fused JOIN documents AS d ON key = doc_id JOIN benchmark AS q ON query_id = item_id WHERE n_chars >= 200),
+cut AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, place) AS rank, score, n_channels, rerank_score FROM cand QUALIFY rank <= 10),
+best AS (SELECT query_id, max(coalesce(rerank_score, score)) AS best FROM cut GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN best IS NULL THEN 'retrieval' WHEN best < 0.5 THEN 'quality_gate' ELSE 'pass' END AS stage, key, rank, score, rerank_score,
+  CASE WHEN rerank_score >= 0.8 THEN 'high' WHEN rerank_score >= 0.5 THEN 'medium' WHEN rerank_score IS NOT NULL THEN 'low' END AS level
+FROM benchmark LEFT JOIN best ON best.query_id = item_id LEFT JOIN cut ON cut.query_id = item_id"""
+)
+def hybrid_search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search whose hits a given function ranks again before they are cut; the gate looks at its scores."""
+    docs = table(spark, sf_dir, "documents")
+    out = retrieval.hybrid_search(docs, _asked(spark, sf_dir), TOP, {"n_chars": {"$gte": 200}}, threshold=0.5, scorer=_by_length)
+    return out.select("query_id", "stage", "key", "rank", "score", "rerank_score", "level")
+
+
 _FIRST = ", ".join((_BM25_AT.replace("{0}", "20").replace("FROM documents", "FROM documents WHERE lang = 'en'"), _JACCARD_AT.replace("{0}", "20").replace("FROM documents", "FROM documents WHERE lang = 'en'"), _HITS, _fused("0.7 / (60 + rank) + 0.3 * scaled", 20)))
 
 
