@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, extraction, predicates
@@ -97,9 +97,43 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("reject_reason").isNull()).drop("reject_reason", "gate_reason")
 
 
+REASONS = ("empty", "short", "irrelevant")
+
+
+def observed(rows: DataFrame, seen: Observation | str, text: str = "text", before: str = "chars_before") -> DataFrame:
+    """``rows`` with counts taken as they pass: rows, accepted, each reason, retention, over_cleaned and emptied.
+
+    ``before`` holds the characters before cleaning. With an ``Observation`` the
+    counts are there after one batch action; with a name, which a stream takes,
+    its listeners get them for every batch.
+    """
+    after = F.length(F.coalesce(F.col(text), F.lit("")))
+    some = F.col(before) > 0
+    kept = after / F.when(some, F.col(before))
+    told = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    return rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        told(F.col("reject_reason").isNull()).alias("accepted"),
+        *(told(F.coalesce(F.col("reject_reason") == r, F.lit(False))).alias(r) for r in REASONS),
+        F.round(F.coalesce(F.avg(kept), F.lit(1.0)), 4).alias("retention"),
+        told(some & (kept > 0) & (kept < 0.3)).alias("over_cleaned"),
+        told(some & (after == 0)).alias("emptied"),
+    )
+
+
+def ingest_to_pools(docs: DataFrame, rules: Rules, path: str, text: str = "text", title: str | None = None) -> dict:
+    """Run the chain and write the pools in one pass, and give the counts of ``observed`` taken on the way."""
+    seen = Observation("ingest")
+    rows = ingest(docs.withColumn("chars_before", F.length(F.coalesce(F.col(text), F.lit("")))), rules, text, title)
+    write_pools(observed(rows, seen, text), path)
+    return seen.get
+
+
 def write_pools(rows: DataFrame, path: str) -> None:
     """Accepted rows as one folder per pool; pools that get no rows stay as they are."""
-    accepted(rows).write.partitionBy("pool").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    out = accepted(rows).drop("chars_before")
+    out.write.partitionBy("pool").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def news_metadata(items: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -174,18 +174,32 @@ def synonym_groups(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("group_id").agg(F.sort_array(F.collect_set("term")).alias("members"))
 
 
-def lineage(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
+def first_members(pairs: DataFrame) -> DataFrame:
+    """(term, first): the member that a dictionary (term, group_id, place) names first in a term's group; of several groups the smallest id's."""
+    first = pairs.groupBy("group_id").agg(F.min_by("term", F.struct("place", "term")).alias("first"))
+    own = pairs.groupBy("term").agg(F.min("group_id").alias("group_id"))
+    return own.join(first, "group_id").select("term", "first")
+
+
+def lineage(edges: DataFrame, start: DataFrame, downstream: bool = False) -> DataFrame:
     """(id, ancestor, depth): everything upstream of the start ids over edges (id, parent), each once, at its least depth.
 
-    One join for each level; messages that name each other end at ``most``.
+    With ``downstream`` the third column's name is descendant and edges are
+    followed the other way. Pairs are doubled: each round joins the pairs known so
+    far to themselves, so the rounds are logarithmic in the depth, and none is cut
+    off. Cycles end, as no pair comes nearer; an id is not its own ancestor. Edges
+    with a null end are left out. The edges should be those of the sessions that
+    are asked about, as all their pairs are made.
     """
-    level = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    step = edges.select(F.col("id").alias("ancestor"), "parent")
-    for depth in range(1, most + 1):
-        level = level.join(step, "ancestor").where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        level = staged(level.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "lineage")
-        if not level.limit(1).count():
+    ends = ("parent", "id") if downstream else ("id", "parent")
+    pairs = edges.select(F.col(ends[0]).alias("id"), F.col(ends[1]).alias("to")).where("id is not null and to is not null and id <> to").distinct()
+    pairs = staged(pairs.withColumn("depth", F.lit(1)), "lineage")
+    known = pairs.count()
+    while known:
+        onward = pairs.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        longer = pairs.join(onward, "to").where("id <> next").select("id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"))
+        pairs = staged(pairs.unionByName(longer).groupBy("id", "to").agg(F.min("depth").alias("depth")), "lineage")
+        before, known = known, pairs.count()
+        if known == before:
             break
-        out = out.unionByName(level)
-    return out.where("depth > 0")
+    return pairs.join(start.select("id").distinct(), "id", "left_semi").withColumnRenamed("to", "descendant" if downstream else "ancestor")
