@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import indicators, news, retrieval
-from ..sources import readers
+from ..sources import feeds, readers
 from . import market
 from .registry import query, table
 
@@ -127,3 +127,38 @@ def latest_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     rows = table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(newest)).where("k <= 4")
     return rows.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+
+
+_PLAIN = "trim(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288))"
+
+
+@query(
+    f"""WITH fi AS (SELECT page_id, (page_id // 50) % 4 AS kind, coalesce(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, coalesce(url, '') AS url, coalesce(html, '') AS html,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id::INT) AS ts FROM pages)
+SELECT CASE kind WHEN 0 THEN '同花顺' WHEN 1 THEN '新浪财经' WHEN 2 THEN '东方财富' ELSE 'pages' END AS source, CASE kind WHEN 2 THEN {_PLAIN.format("title")} ELSE title END AS title,
+  md5({_PLAIN.format("html")}) AS content_md5, strftime(CASE kind WHEN 1 THEN ts + INTERVAL 8 HOUR ELSE ts END, '%Y-%m-%d %H:%M:%S') AS publish_time,
+  CASE kind WHEN 0 THEN 'https://news.10jqka.com.cn/' || page_id || '.shtml' ELSE url END AS url FROM fi"""
+)
+def feed_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the items of feed responses of four formats, fifty in each, read back as news."""
+    key = F.col("page_id")
+    at = F.expr("to_timestamp_ntz('2024-01-01 00:00:00') + make_dt_interval(0, cast(page_id as int), 0, 0)").cast("string")
+    title = F.coalesce(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(key, title.alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), at.alias("at"))
+    file = F.floor(key / 50).alias("file")
+    seconds = (F.lit(1704067200) + key * 3600).cast("string")
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = F.concat(F.substring("at", 9, 2), F.lit(" "), F.date_format(F.to_date(F.substring("at", 1, 10)), "MMM"), F.lit(" "), F.substring("at", 1, 4), F.substring("at", 11, 9), F.lit(" GMT"))
+    xml = F.concat(F.lit("<item><title>"), safe(F.col("title")), F.lit("</title><description>"), safe(F.col("html")), F.lit("</description><link>"), safe(F.col("url")), F.lit("</link><pubDate>"), day, F.lit("</pubDate></item>"))
+    both = lambda **c: F.collect_list(F.struct(*(v.alias(k) for k, v in c.items())))
+    wrap = lambda outer, inner, items: F.to_json(F.struct(F.struct(items.alias(inner)).alias(outer)))
+    pushed = wrap("data", "list", both(id=key, title=F.col("title"), digest=F.col("html"), ctime=F.col("at")))
+    rolled = wrap("result", "data", both(title=F.col("title"), intro=F.col("html"), ctime=seconds, url=F.col("url")))
+    sought = F.concat(F.lit("jQuery("), wrap("result", "cmsArticleWebOld", both(title=F.col("title"), content=F.col("html"), date=F.col("at"), url=F.col("url"))), F.lit(")"))
+    rss = F.concat(F.lit("<rss version=\"2.0\"><channel><title>pages</title>"), F.array_join(F.collect_list(xml), ""), F.lit("</channel></rss>"))
+    out = None
+    for kind, (feed, response) in enumerate(((feeds.PUSH, pushed), (feeds.ROLLING, rolled), (feeds.SEARCH, sought), (feeds.RssFeed(), rss))):
+        responses = pages.where(F.floor(key / 50) % 4 == kind).groupBy(file).agg(response.alias("value"))
+        part = feeds.news(responses, feed).select("source", "title", F.md5("content").alias("content_md5"), "publish_time", "url")
+        out = part if out is None else out.unionByName(part)
+    return out
