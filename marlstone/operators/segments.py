@@ -20,9 +20,11 @@ from pyspark.sql.types import StructType
 
 from ..staging import if_few
 
-#: A manifest: its number, the segments and the named keys, each [version, folder], and the tables' schemas.
+#: A manifest: its number, the segments and the named keys, each [version, folder], the tables' schemas, and the last batch of each writer.
 State = dict
-_NOTHING: State = {"version": 0, "segments": [], "named": [], "schemas": {}}
+_NOTHING: State = {"version": 0, "segments": [], "named": [], "schemas": {}, "batches": {}}
+#: A batch of a writer, such as a stream's, by name and number.
+Batch = tuple[str, int]
 
 
 class SegmentedTable:
@@ -76,11 +78,18 @@ class SegmentedTable:
             return False
         return True
 
-    def _commit(self, change: Callable[[State, int], State]) -> int:
+    def has_batch(self, batch: Batch, state: State | None = None) -> bool:
+        """Whether the batch, or a later one of its writer, was committed."""
+        return (state or self.state()).get("batches", {}).get(batch[0], -1) >= batch[1]
+
+    def _commit(self, change: Callable[[State, int], State], batch: Batch | None = None) -> int:
         while True:
             state = self.state()
+            if batch and self.has_batch(batch, state):
+                return state["version"]
             version = state["version"] + 1
-            if self._claim(state | change(state, version) | {"version": version}):
+            done = {"batches": state.get("batches", {}) | {batch[0]: batch[1]}} if batch else {}
+            if self._claim(state | change(state, version) | done | {"version": version}):
                 return version
 
     def _write(self, tables: dict[str, DataFrame]) -> str:
@@ -95,11 +104,21 @@ class SegmentedTable:
         keys.select(self.key).where(F.col(self.key).isNotNull()).distinct().write.parquet(folder)
         return folder
 
-    def put(self, tables: dict[str, DataFrame], keys: DataFrame) -> int:
-        """Add rows; they replace all rows of ``keys``, in every table."""
-        segment, named = self._write(tables), self._name(keys)
+    def put(self, tables: dict[str, DataFrame], keys: DataFrame | None, batch: Batch | None = None) -> int:
+        """Add rows; they replace all rows of ``keys``, in every table, or none.
+
+        A ``batch`` is recorded by the same manifest that makes its rows count, so
+        there is no state in which one of the two is missing; one that was
+        recorded before changes nothing.
+        """
+        segment, named = self._write(tables), None if keys is None else self._name(keys)
         schemas = {name: rows.schema.jsonValue() for name, rows in tables.items()}
-        return self._commit(lambda s, v: {"segments": [*s["segments"], [v, segment]], "named": [*s["named"], [v, named]] if s["segments"] else s["named"], "schemas": schemas})
+
+        def change(now: State, v: int) -> State:
+            more = [[v, named]] if named and now["segments"] else []
+            return {"segments": [*now["segments"], [v, segment]], "named": [*now["named"], *more], "schemas": schemas}
+
+        return self._commit(change, batch)
 
     def remove(self, keys: DataFrame) -> int:
         """Hide the rows of ``keys``; nothing else is read or written."""
@@ -129,10 +148,11 @@ class SegmentedTable:
         live = found.join(named, found[self.key] == named["named_key"], "left").where("since is null or since <= segment")
         return live.drop("segment", "named_key", "since")
 
-    def compact(self, names: list[str]) -> int:
-        """Rewrite what counts as one segment; what others commit meanwhile stays on top of it."""
+    def compact(self, names: list[str], keep: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Rewrite what counts, or what ``keep`` takes of it, as one segment; what others commit meanwhile stays on top of it."""
         state = self.state()
-        folder = self._write({name: self.read(name, state=state) for name in names})
+        keep = keep or (lambda rows: rows)
+        folder = self._write({name: keep(self.read(name, state=state)) for name in names})
         old = {f for kind in ("segments", "named") for _, f in state[kind]}
 
         def change(now: State, _: int) -> State:
