@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching
-from ..operators import chunking, retrieval, text_index, vector_index
+from ..operators import chunking, retrieval, rounds, text_index, vector_index
 from ..staging import new_path
 from .registry import query, table
 
@@ -284,3 +284,26 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full each context is and what it leaves out; of ``context_build``, tested with it."""
     return chunking.context_report(context_build(spark, sf_dir), 2000)
+
+
+_ROUND = "SELECT query_id, trim(text) AS text, max(score) AS score FROM {0} JOIN documents ON doc_id = key WHERE score >= 0.05 AND trim(text) <> '' GROUP BY 1, 2"
+_AGAIN = _JACCARD.replace("ja_", "jb_").replace("ja AS", "jb AS").replace("FROM benchmark", "FROM rd_q")
+
+
+@query(
+    f"""WITH {_JACCARD}, rd_1 AS ({_ROUND.format("ja")}),
+rd_q AS (SELECT query_id AS item_id, q AS text FROM (SELECT query_id, trim(substr(arg_min(text, (-score, text)), 1, 200)) AS q FROM rd_1 GROUP BY 1) JOIN benchmark ON item_id = query_id WHERE q <> '' AND q <> trim(benchmark.text)),
+{_AGAIN}, rd_2 AS ({_ROUND.format("jb")})
+SELECT query_id, 1::INT AS "round", md5(text) AS text_md5, score FROM rd_1
+UNION ALL SELECT query_id, 2::INT, md5(text), score FROM rd_2 ANTI JOIN rd_1 USING (query_id, text)"""
+)
+def retrieval_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds over all documents; the begin of the best new text asks the second."""
+    docs = table(spark, sf_dir, "documents")
+
+    def search(asked: DataFrame) -> DataFrame:
+        hits = retrieval.jaccard_search(docs, asked, TOP)
+        return hits.join(docs.select(F.col("doc_id").alias("key"), "text"), "key").select("query_id", "text", F.col("key").cast("string").alias("source"), "score")
+
+    found, _, _ = rounds.searched_in_rounds(_asked(spark, sf_dir), search, lambda q, text, source: F.substring(text, 1, 200), 2, 0.05)
+    return found.select("query_id", "round", F.md5("text").alias("text_md5"), "score")
