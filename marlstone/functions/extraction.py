@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import matching
@@ -39,6 +39,8 @@ COMPANY = r"[\x{4e00}-\x{9fa5}]{2,6}(?:集团|公司|控股|股份|科技|银行
 MONEY = r"([\d,.]*\d)\s*(亿|万|千|百)?\s*(元|美元|港元|人民币)"
 # What older stores call their document types.
 TYPE_NAMES = {"新闻报道": "news", "年报": "financial_report", "季报": "financial_report", "研究报告": "research", "行业分析": "research", "其他": "other"}
+# The metadata that a document should have.
+METADATA_FIELDS = ("source", "company", "date", "fiscal_period", "currency", "doc_type", "text_length")
 # How texts state their confidence.
 CONFIDENCE = (("high", r"置信度[】:：]\s*高|高置信"), ("low", r"置信度[】:：]\s*低|低置信"), ("medium", r"置信度[】:：]\s*中|中置信"))
 
@@ -232,6 +234,18 @@ def completeness(columns: list[Column]) -> Column:
     return F.round(sum((F.when(c.isNotNull() & (c.cast("string") != ""), 1).otherwise(0) for c in columns), F.lit(0)) / len(columns), 4)
 
 
+def metadata_completeness(docs: DataFrame, meta: str | None = "meta", fields: tuple[str, ...] = METADATA_FIELDS) -> Column:
+    """The share of ``fields`` that a row has, as a column or else as a key of the map ``meta``; null, empty and the number zero are missing."""
+    kinds = dict(docs.dtypes)
+
+    def filled(name: str) -> Column:
+        if name in kinds:
+            return F.nullif(F.col(name).cast("string"), F.lit("" if kinds[name] == "string" else "0"))
+        return F.nullif(F.try_element_at(F.col(meta), F.lit(name)), F.lit("")) if meta in kinds else F.lit(None).cast("string")
+
+    return completeness([filled(name) for name in fields])
+
+
 def fiscal_period(text: Column) -> Column:
     """YYYYQn or YYYYHn, halves mapped to their own period; null if none."""
     half, quarter = r"(\d{4})\s*年?\s*H([12])", r"(\d{4})\s*年?\s*Q([1-4])"

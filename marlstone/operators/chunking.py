@@ -11,6 +11,8 @@ from ..session import share_package
 # Separators from coarse to fine, and chunk sizes by document type.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";")
 SIZES = {"news": 500, "financial_report": 1500, "research": 1000}
+# Size, overlap and least size of the named strategies.
+STRATEGIES = {"default": (500, 50, 50), "paragraph": (1500, 100, 100), "none": (999_999, 0, 1)}
 SENTENCE_END = r"(?s)^.*[。！？；!?;.\n]"
 
 
@@ -89,6 +91,29 @@ def size_by_type(doc_type: Column, other: int = 500) -> Column:
     return out
 
 
+def source_id(url: Column, title: Column, place: Column) -> Column:
+    """The id of a document's chunks: its URL, else its title, else ``doc_`` and its place."""
+    return F.coalesce(F.nullif(url, F.lit("")), F.nullif(title, F.lit("")), F.concat(F.lit("doc_"), place.cast("string")))
+
+
+def chunked(docs: DataFrame, strategy: str = "default", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks by a named strategy; an unknown name is the default one."""
+    size, overlap, least = STRATEGIES.get(strategy, STRATEGIES["default"])
+    return chunk_documents(docs, size, overlap, least, id_col, text_col)
+
+
+def chunked_by_type(docs: DataFrame, overlap: int = 50, least: int = 50, place: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(source_id, doc_type, chunk_id, chunk_count, chunk_start, text) of documents (doc_id, url, title, doc_type, text).
+
+    The type decides the size of a chunk, and url, title or place name its source.
+    Documents of one source have their chunks numbered each from 0.
+    """
+    kind = F.coalesce(F.nullif("doc_type", F.lit("")), F.lit("other"))
+    rows = docs.select(F.struct(source_id(F.col("url"), F.col("title"), F.col(place)).alias("source_id"), kind.alias("doc_type")).alias("id"), F.col(text_col).alias("text"))
+    chunks = chunk_documents(rows, size_by_type(F.col("id.doc_type")), overlap, least, "id", "text")
+    return chunks.select("doc_id.source_id", "doc_id.doc_type", "chunk_id", "chunk_count", "chunk_start", "text")
+
+
 def sentence_cut(text: Column, budget: Column) -> Column:
     """The start of ``text`` within ``budget`` characters, up to its last sentence end if it has one."""
     head = F.substring(text, F.lit(1), budget)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cleaning, predicates
+from ..functions.tokens import CJK
+
 
 def group_scores(stages: DataFrame) -> DataFrame:
     """(run, group, score, worst_stage) of stage rows (run, stage, group, score)."""
@@ -111,3 +114,58 @@ def score_lines(stages: DataFrame) -> DataFrame:
     line = F.format_string("- %s: %.2f", F.col("stage"), F.col("score"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("score", "stage", line.alias("line")))), lambda x: x["line"])
     return stages.groupBy("run").agg(F.array_join(lines, "\n").alias("text"))
+
+
+# Signs that end a sentence.
+SENTENCE_ENDS = ("。", "！", "？", "；", ".", "!", "?", "\n")
+
+
+def text_scores(docs: DataFrame, by: list[str] | None = None, script: str = CJK, text: str = "text") -> DataFrame:
+    """How good texts are to index, one row for each value of ``by``; without any one row, also for no documents.
+
+    (doc_count, avg_length, script_ratio, avg_paragraphs, empty_docs, score, grade,
+    warnings). Content is the mean share of the script, 0.3 of which is enough,
+    and the mean number of paragraphs over 20 characters, five of which are; size
+    is best from 50 to 5,000 characters; texts under ten characters are empty.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    n = F.length(body)
+    bare = lambda x: F.length(cleaning.strip(x))
+    told = docs.select(*(by or []), n.alias("n"), F.when(n > 0, (n - F.length(F.regexp_replace(body, script + "+", ""))) / n).otherwise(0.0).alias("share"), F.size(F.filter(F.split(body, "\n\n"), lambda p: bare(p) > 20)).alias("paras"), (bare(body) < 10).cast("long").alias("empty"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = told.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("doc_count"), zero(F.avg("n")).alias("avg_length"), zero(F.avg("share")).alias("script_ratio"), zero(F.avg("paras")).alias("avg_paragraphs"), F.coalesce(F.sum("empty"), F.lit(0)).alias("empty_docs"))
+    length, share, paras = F.col("avg_length"), F.col("script_ratio"), F.col("avg_paragraphs")
+    empty = F.col("empty_docs") / F.greatest("doc_count", F.lit(1))
+    content = F.least(F.lit(1.0), share / 0.3 * 0.5 + F.least(paras / 5, F.lit(1.0)) * 0.5)
+    size = F.when(length < 50, length / 50).when(length <= 5000, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (length - 5000) / 20000))
+    score = F.when(F.col("doc_count") > 0, content * 0.4 + size * 0.3 + (1 - empty) * 0.3).otherwise(0.0)
+    return _scored(rows, score, {"no documents": F.col("doc_count") == 0, "little of the script": share < 0.1, "short texts": empty > 0.1, "few paragraphs": paras < 1})
+
+
+def chunk_scores(chunks: DataFrame, by: list[str] | None = None, chunk_size: int = 500, text: str = "text", ends: tuple[str, ...] = SENTENCE_ENDS) -> DataFrame:
+    """How well texts were cut, one row for each value of ``by``; without any one row, also for no chunks.
+
+    (chunk_count, avg_size, min_size, max_size, std_dev, uniformity, boundary_quality,
+    small_chunk_ratio, oversized_ratio, score, grade, warnings). Uniformity falls
+    with the variation of sizes; a good boundary is the end of a sentence; small is
+    under 50 characters, oversized one and a half times the size asked for.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    n = F.col("n")
+    told = chunks.select(*(by or []), F.length(body).alias("n"), F.substring(body, -1, 1).isin(*ends).cast("long").alias("ended"))
+    share = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    rows = told.groupBy(*(by or [])).agg(
+        *(F.count(F.lit(1)).alias("chunk_count"), share(n).alias("avg_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.coalesce(F.stddev_pop("n"), F.lit(0.0)).alias("std_dev")),
+        *(share("ended").alias("boundary_quality"), share((n < 50).cast("long")).alias("small_chunk_ratio"), share((n > chunk_size * 1.5).cast("long")).alias("oversized_ratio")),
+    )
+    rows = rows.withColumn("uniformity", F.greatest(F.lit(0.0), 1.0 - F.col("std_dev") / F.greatest("avg_size", F.lit(1.0)) * 0.8))
+    small = F.greatest(F.lit(0.0), 1.0 - F.col("small_chunk_ratio") * 3)
+    score = F.when(F.col("chunk_count") > 0, F.col("uniformity") * 0.35 + F.col("boundary_quality") * 0.35 + small * 0.3).otherwise(0.0)
+    some = F.col("chunk_count") > 0
+    return _scored(rows, score, {"no chunks": ~some, "many small chunks": F.col("small_chunk_ratio") > 0.2, "oversized chunks": F.col("oversized_ratio") > 0.1, "cut within sentences": some & (F.col("boundary_quality") < 0.5)})
+
+
+def _scored(rows: DataFrame, score: Column, warnings: dict[str, Column]) -> DataFrame:
+    said = F.array(*(F.when(when, F.lit(text)) for text, when in warnings.items()))
+    rows = rows.withColumn("score", score)
+    return rows.withColumns({"grade": predicates.grade(F.col("score")), "warnings": F.filter(said, lambda x: x.isNotNull())})

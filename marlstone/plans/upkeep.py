@@ -172,3 +172,35 @@ def dictionary_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([(t,) for t in DICTIONARY], "term string")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
     return knowledge.dictionary_use(table(spark, sf_dir, "documents"), terms, words)
+
+
+@query(
+    r"""WITH t AS (SELECT lang, length(text) AS n, (length(text) - length(regexp_replace(text, '[a-z]', '', 'g'))) / greatest(length(text), 1) AS share,
+  len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: length(regexp_replace(p, '^[\s\x0B\x{00A0}\x{3000}]+|[\s\x0B\x{00A0}\x{3000}]+$', '', 'g')) > 20)) AS paras,
+  (length(regexp_replace(text, '^[\s\x0B\x{00A0}\x{3000}]+|[\s\x0B\x{00A0}\x{3000}]+$', '', 'g')) < 10)::INT AS empty FROM (SELECT lang, coalesce(text, '') AS text FROM documents)),
+g AS (SELECT lang, count(*) AS doc_count, avg(n) AS l, avg(share) AS r, avg(paras) AS p, sum(empty)::BIGINT AS empty_docs FROM t GROUP BY lang),
+s AS (SELECT *, 0.4::DOUBLE * least(1.0, r / 0.3::DOUBLE * 0.5::DOUBLE + least(p / 5, 1.0::DOUBLE) * 0.5::DOUBLE)
+  + 0.3::DOUBLE * CASE WHEN l < 50 THEN l / 50 WHEN l <= 5000 THEN 1.0 ELSE greatest(0.5::DOUBLE, 1 - (l - 5000) / 20000) END + 0.3::DOUBLE * (1 - empty_docs / doc_count) AS score FROM g)
+SELECT lang, doc_count, empty_docs, round(l, 4) AS avg_length, round(r, 6) AS script_ratio, round(p, 6) AS avg_paragraphs, round(score, 6) AS score,
+  CASE WHEN score >= 0.9 THEN 'A' WHEN score >= 0.75 THEN 'B' WHEN score >= 0.6 THEN 'C' WHEN score >= 0.4 THEN 'D' ELSE 'F' END AS grade FROM s"""
+)
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How good the documents of each language are to index, by small Latin letters."""
+    rows = scorecard.text_scores(table(spark, sf_dir, "documents"), ["lang"], "[a-z]")
+    return rows.select("lang", "doc_count", "empty_docs", F.round("avg_length", 4).alias("avg_length"), F.round("script_ratio", 6).alias("script_ratio"), F.round("avg_paragraphs", 6).alias("avg_paragraphs"), F.round("score", 6).alias("score"), "grade")
+
+
+@query(
+    """WITH c AS (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+t AS (SELECT lang, length(text) AS n, (substr(text, -1) IN ('。', '！', '？', '；', '.', '!', '?'))::INT AS ended FROM c),
+g AS (SELECT lang, count(*) AS chunk_count, avg(n) AS m, min(n) AS min_size, max(n) AS max_size, stddev_pop(n) AS sd, avg(ended) AS b, avg((n < 50)::INT) AS sm, avg((n > 750)::INT) AS o FROM t GROUP BY lang),
+s AS (SELECT *, greatest(0.0::DOUBLE, 1 - sd / greatest(m, 1.0::DOUBLE) * 0.8::DOUBLE) AS u FROM g), f AS (SELECT *, u * 0.35::DOUBLE + b * 0.35::DOUBLE + greatest(0.0::DOUBLE, 1 - sm * 3) * 0.3::DOUBLE AS score FROM s)
+SELECT lang, chunk_count, min_size::INT AS min_size, max_size::INT AS max_size, round(m, 4) AS avg_size, round(sd, 4) AS std_dev, round(u, 6) AS uniformity, round(b, 6) AS boundary_quality,
+  round(sm, 6) AS small_chunk_ratio, round(o, 6) AS oversized_ratio, round(score, 6) AS score FROM f"""
+)
+def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How even the lines of the documents of each language are, taken as chunks."""
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    rows = scorecard.chunk_scores(lines, ["lang"])
+    shown = {"avg_size": 4, "std_dev": 4, "uniformity": 6, "boundary_quality": 6, "small_chunk_ratio": 6, "oversized_ratio": 6, "score": 6}
+    return rows.select("lang", "chunk_count", "min_size", "max_size", *(F.round(c, n).alias(c) for c, n in shown.items()))
