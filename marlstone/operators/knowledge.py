@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import if_few, staged
+from ..staging import if_few, rename_if_absent, staged
 
 
 def doc_key(source: Column, text: Column) -> Column:
@@ -96,20 +98,43 @@ def field_coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
     return counts.selectExpr("n", f"stack({len(fields)}, {pairs}) AS (field, present)").select("field", "present", F.round(F.col("present") / F.col("n"), 4).alias("share"))
 
 
-def save_snapshot(docs: DataFrame, path: str, version: int) -> DataFrame:
-    """Write a version and then its manifest row (version, n_docs, checksum), which is what makes it count.
+def save_snapshot(docs: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """Write a version, by default the next, and its manifest row (version, n_docs, checksum), which is what makes it count.
 
-    A version that is there is not written again: its folder is replaced only
-    after its manifest is gone, so a write that fails leaves a version without a
-    manifest, which ``current_version`` does not see, and never a mixed one.
+    Rows and manifest are written aside and then moved to names that nothing may
+    have yet. So of two writers only one gets a number, and the other takes the
+    next one, or fails if it was told its number; a manifest is there whole or not
+    at all. A version with a manifest is never written again; what a failed write
+    left of one without is replaced if its number is asked for.
     """
     spark = docs.sparkSession
-    _delete(spark, f"{path}/manifest/v={version}")
-    docs.write.mode("overwrite").parquet(f"{path}/v={version}")
-    written = spark.read.parquet(f"{path}/v={version}")
-    manifest = written.agg(F.lit(version).alias("version"), F.count("*").alias("n_docs"), checksum(written).alias("checksum"))
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest/v={version}")
-    return spark.read.parquet(f"{path}/manifest/v={version}")
+    draft = f"{path}/drafts/{uuid.uuid4().hex}"
+    docs.write.parquet(f"{draft}/rows")
+    written = spark.read.parquet(f"{draft}/rows")
+    n, sum_ = written.agg(F.count("*"), checksum(written)).first()
+    if version is not None:
+        if version in versions(spark, path):
+            raise ValueError(f"version {version} is there already")
+        _delete(spark, f"{path}/v={version}")
+    while not rename_if_absent(spark, f"{draft}/rows", f"{path}/v={(number := next_version(spark, path) if version is None else version)}"):
+        if version is not None:
+            raise ValueError(f"version {version} is being written")
+    spark.createDataFrame([(number, n, sum_)], "version int, n_docs long, checksum long").coalesce(1).write.parquet(f"{draft}/manifest")
+    rename_if_absent(spark, f"{draft}/manifest", f"{path}/manifest/v={number}")
+    _delete(spark, draft)
+    return spark.read.parquet(f"{path}/manifest/v={number}")
+
+
+def snapshot_info(spark: SparkSession, path: str) -> DataFrame:
+    """(version, n_docs, checksum, n_files, bytes, modified, is_current) of every version that counts."""
+    known = versions(spark, path)
+    if not known:
+        return spark.createDataFrame([], "version int, n_docs long, checksum long, n_files long, bytes long, modified timestamp, is_current boolean")
+    manifests = spark.read.parquet(*(f"{path}/manifest/v={v}" for v in known))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{path}/v={v}" for v in known])
+    number = F.regexp_extract("path", r".*/v=(\d+)/", 1).cast("int")
+    sizes = files.groupBy(number.alias("version")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+    return manifests.join(sizes, "version", "left").select("version", "n_docs", "checksum", "n_files", "bytes", "modified", (F.col("version") == known[-1]).alias("is_current"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -122,12 +147,16 @@ def checksum(rows: DataFrame) -> Column:
     return F.sum(F.pmod(F.xxhash64(*sorted(rows.columns)), F.lit(1 << 31)))
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.removeprefix("v=")) for n in names if n.startswith("v="))
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions with a manifest, ascending; one folder name each."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.listStatus(root) if fs.exists(root) else []
-    return sorted(int(x.getPath().getName().removeprefix("v=")) for x in found if x.getPath().getName().startswith("v="))
+    return _numbers(spark, f"{path}/manifest")
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
@@ -136,7 +165,8 @@ def current_version(spark: SparkSession, path: str) -> int | None:
 
 
 def next_version(spark: SparkSession, path: str) -> int:
-    return (current_version(spark, path) or 0) + 1
+    """One more than the highest number that anybody has taken, with a manifest or without."""
+    return max([0, *_numbers(spark, path), *versions(spark, path)]) + 1
 
 
 def load_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -169,6 +199,16 @@ def merged_dictionary(parts: list[DataFrame], order: str = "part") -> DataFrame:
     return out.groupBy("term", "kind").agg(F.max_by("value", F.struct(order, "value")).alias("value"))
 
 
+def with_terms(dictionary: DataFrame, added: DataFrame) -> DataFrame:
+    """A dictionary (term, value, kind) with words added at run time, which win over those that are there."""
+    return merged_dictionary([dictionary, added])
+
+
+def dictionary_statistics(dictionary: DataFrame) -> DataFrame:
+    """(kind, n_terms, n_values) of a dictionary (term, value, kind)."""
+    return dictionary.groupBy("kind").agg(F.countDistinct("term").alias("n_terms"), F.countDistinct("value").alias("n_values"))
+
+
 def synonym_groups(pairs: DataFrame) -> DataFrame:
     """(group_id, members) of a dictionary (term, group_id), members in order: what an export writes."""
     return pairs.groupBy("group_id").agg(F.sort_array(F.collect_set("term")).alias("members"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..staging import if_few
+from ..staging import if_few, rename_if_absent
 
 #: A manifest: its number, the segments and the named keys, each [version, folder], the tables' schemas, and the last batch of each writer.
 State = dict
@@ -58,25 +58,14 @@ class SegmentedTable:
 
     def _claim(self, state: State) -> bool:
         """Write the manifest if nobody else has written one of its number."""
-        jvm = self.spark._jvm
-        draft, final = self._hadoop(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._hadoop(f"{self.path}/manifests/{state['version']:09d}")
+        draft = self._hadoop(f"{self.path}/drafts/{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        self._fs.mkdirs(final.getParent())
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        never_over = self.spark.sparkContext._gateway.new_array(kind, 1)
-        never_over[0] = kind.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, never_over)
-        except Exception as error:
-            if not self._fs.exists(final):
-                raise
-            self._fs.delete(draft, False)
-            if "FileAlreadyExists" not in str(error):
-                raise
-            return False
-        return True
+        if rename_if_absent(self.spark, draft.toString(), f"{self.path}/manifests/{state['version']:09d}"):
+            return True
+        self._fs.delete(draft, False)
+        return False
 
     def has_batch(self, batch: Batch, state: State | None = None) -> bool:
         """Whether the batch, or a later one of its writer, was committed."""

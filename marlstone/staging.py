@@ -45,3 +45,26 @@ FEW = 200_000
 def if_few(table: DataFrame, rows: int = FEW) -> DataFrame:
     """A staged table, marked for broadcast if its rows, which are counted, are few."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def rename_if_absent(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file or folder to a name that nothing has yet; False if something has it.
+
+    The file system must refuse to rename onto a name that exists, as HDFS and
+    local ones do.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    old, new = jvm.Path(source), jvm.Path(target)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = new.getFileSystem(conf)
+    old, new = fs.makeQualified(old), fs.makeQualified(new)
+    fs.mkdirs(new.getParent())
+    never_over = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    never_over[0] = getattr(jvm, "Options$Rename").NONE
+    try:
+        jvm.FileContext.getFileContext(new.toUri(), conf).rename(old, new, never_over)
+    except Exception as error:
+        if not fs.exists(new) or "FileAlreadyExists" not in str(error):
+            raise
+        return False
+    return True
