@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import matcher
+from ..staging import if_few, staged
 from .knowledge import titled
 
 
@@ -31,12 +32,15 @@ def named_items(queries: DataFrame, items: DataFrame, most: int = 10, least_char
 
     queries (query_id, query), items (item_id, keyword); a keyword field names
     several, with 、 between. All distinct keywords are looked for in a query at
-    once, and items are then joined by equality: no pairs are tested.
+    once, and items are then joined by equality: no pairs are tested. Of a keyword
+    only its first ``most`` items are joined, as no other can be among a query's.
     """
-    words = items.select("item_id", F.explode(F.split(F.lower("keyword"), "、")).alias("word")).where(F.length("word") >= least_chars)
+    words = items.select("item_id", F.explode(F.split(F.lower("keyword"), "、")).alias("word")).where(F.length("word") >= least_chars).distinct()
+    of_word = F.row_number().over(Window.partitionBy("word").orderBy("item_id"))
+    words = staged(words.withColumn("r", of_word).where(F.col("r") <= most).drop("r"), "first-items")
     find = matcher(words.select("word", F.lit(None).cast("string").alias("value"), F.lit(0).alias("place")))
     hits = queries.select("query_id", F.explode(find(F.lower("query"))).alias("hit")).select("query_id", F.col("hit")["word"].alias("word"))
-    found = hits.join(words, "word").select("query_id", "item_id").distinct()
+    found = hits.join(if_few(words), "word").select("query_id", "item_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))
     return found.withColumn("place", place).where(F.col("place") <= most)
 

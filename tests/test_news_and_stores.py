@@ -89,3 +89,14 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     got = {r.store: (r.n_files, r.bytes, r.modified is not None) for r in readers.inventory(spark, {"a": str(tmp_path / "a"), "e": str(tmp_path / "empty")}).collect()}
     assert got == {"a": (1, 5, True), "e": (0, 0, False)}
+
+
+def test_a_keyword_brings_its_first_items_only(spark, monkeypatch):
+    items = spark.createDataFrame([(i, ("hot、cold", "hot", "COLD、hot")[i % 3]) for i in range(300)] + [(7, "hot")], "item_id int, keyword string")
+    asked = spark.createDataFrame([(1, "a hot day"), (2, "cold"), (3, "hot and cold")], "query_id int, query string")
+    joined, plain = [], news.if_few
+    monkeypatch.setattr(news, "if_few", lambda rows: joined.append(rows.count()) or plain(rows))
+    got = sorted((r.query_id, r.place, r.item_id) for r in news.named_items(asked, items, 4).collect())
+    cold = [i for i in range(300) if i % 3 != 1]
+    assert got == [(q, k + 1, i) for q, ids in ((1, range(4)), (2, cold[:4]), (3, range(4))) for k, i in enumerate(ids)]
+    assert joined == [8]
