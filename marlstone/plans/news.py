@@ -29,8 +29,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT title, md5(substr(coalesce(content, ''), 1, 300)) AS content_md5, 'unknown' AS source, url FROM d WHERE k = 1 OR title = ''"""
 )
 def date_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of a day, titles once; items without a title all stay."""
-    rows = news.date_events(_items(spark, sf_dir), "2024-01-03", most=None, order=[F.col("url")])
+    """All events of a day, titles once; items without a title all stay.
+
+    Of items that share title and url, which the SQL does not order, the one of the smallest id stands for them.
+    """
+    rows = news.date_events(_items(spark, sf_dir), "2024-01-03", most=None, order=[F.col("url"), F.col("item_id")])
     return rows.select("title", F.md5("content").alias("content_md5"), "source", "url")
 
 
