@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..staging import if_few, rename_if_absent
+from ..staging import if_few, rename_if_absent, staged
 
 #: A manifest: its number, the segments and the named keys, each [version, folder], the tables' schemas, and the last batch of each writer.
 State = dict
+#: Named keys that may be broadcast; each is a key and a number.
+NAMED = 1_000_000
 _NOTHING: State = {"version": 0, "segments": [], "named": [], "schemas": {}, "batches": {}}
 #: A batch of a writer, such as a stream's, by name and number.
 Batch = tuple[str, int]
@@ -117,31 +119,44 @@ class SegmentedTable:
     def clear(self) -> int:
         return self._commit(lambda s, v: {"segments": [], "named": []})
 
-    def read(self, name: str, where: Column | None = None, state: State | None = None) -> DataFrame:
-        """The rows that count of a table; ``where`` may prune its partitions."""
-        state = state or self.state()
+    def _stored(self, name: str, state: State) -> DataFrame | None:
+        """All rows of a table, with the number of their segment."""
         found = None
         for version, folder in state["segments"]:
             part = self.spark.read.schema(StructType.fromJson(state["schemas"][name])).parquet(f"{folder}/{name}").withColumn("segment", F.lit(version))
-            part = part if where is None else part.where(where)
             found = part if found is None else found.unionByName(part)
+        return found
+
+    def read(self, name: str, where: Column | None = None, state: State | None = None, keys: str | None = None) -> DataFrame:
+        """The rows that count of a table; ``where`` may prune its partitions.
+
+        ``keys`` is a smaller table that has every key once a segment: named keys
+        that hide nothing are then left out before rows are laid against them.
+        """
+        state = state or self.state()
+        found = self._stored(name, state)
         if found is None:
             raise ValueError(f"nothing is stored below {self.path}")
+        found = found if where is None else found.where(where)
         if not state["named"]:
             return found.drop("segment")
         named = None
         for version, folder in state["named"]:
             part = self.spark.read.parquet(folder).withColumn("since", F.lit(version))
             named = part if named is None else named.unionByName(part)
-        named = if_few(named.groupBy(F.col(self.key).alias("named_key")).agg(F.max("since").alias("since")))
+        named = named.groupBy(F.col(self.key).alias("named_key")).agg(F.max("since").alias("since"))
+        if keys is not None:
+            stored = self._stored(keys, state).select(F.col(self.key).alias("k"), F.col("segment").alias("s"))
+            named = staged(named.join(stored, (F.col("named_key") == F.col("k")) & (F.col("s") < F.col("since")), "left_semi"), "hiding-keys")
+        named = if_few(named, NAMED)
         live = found.join(named, found[self.key] == named["named_key"], "left").where("since is null or since <= segment")
         return live.drop("segment", "named_key", "since")
 
-    def compact(self, names: list[str], keep: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    def compact(self, names: list[str], keep: Callable[[DataFrame], DataFrame] | None = None, keys: str | None = None) -> int:
         """Rewrite what counts, or what ``keep`` takes of it, as one segment; what others commit meanwhile stays on top of it."""
         state = self.state()
         keep = keep or (lambda rows: rows)
-        folder = self._write({name: keep(self.read(name, state=state)) for name in names})
+        folder = self._write({name: keep(self.read(name, state=state, keys=keys)) for name in names})
         old = {f for kind in ("segments", "named") for _, f in state[kind]}
 
         def change(now: State, _: int) -> State:
