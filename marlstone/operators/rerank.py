@@ -28,8 +28,9 @@ def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, scorer: Score
     number of scores or one that is no number, keeps its order, with null scores
     and levels. Hits without a document are scored as empty texts.
     """
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("candidate"))
-    rows = staged(texts.join(if_few(staged(hits.select("query_id", "key", "rank"), "rerank-hits")), "key", "right").join(queries.select("query_id", "query"), "query_id"), "rerank-candidates")
+    some = staged(hits.select("query_id", "key", "rank"), "rerank-hits")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("candidate")).join(if_few(some.select("key")), "key", "left_semi")
+    rows = staged(texts.join(some, "key", "right").join(queries.select("query_id", "query"), "query_id"), "rerank-candidates")
     part = F.floor((F.col("rank") - 1) / batch)
     # A group is a batch: BATCH texts at most.
     groups = rows.groupBy("query_id", "query", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("rank", "key", F.coalesce("candidate", F.lit("")).alias("candidate")))).alias("c"))
