@@ -2,8 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,37 @@ def test_keys_and_query_ids_of_any_kind(spark):
     asked = spark.createDataFrame([("q", "x y"), (None, "y")], "query_id string, query string")
     got = [(r.query_id, r["rank"], r.key) for r in retrieval.jaccard_search(docs, asked, 2).collect()]
     assert set(got) == {("q", 1, "a"), ("q", 2, "b"), (None, 1, "é"), (None, 2, "a")}
+
+
+def test_memory_does_not_follow_the_length_of_texts(spark, monkeypatch):
+    """Of long texts as few are laid against a block at once as their terms allow."""
+    names = [f"t{i}" for i in range(512)]
+    asked = [(q, 30, [names[(q * 30 + i) % 512] for i in range(30)], [1.0] * 30) for q in range(256)]
+    asked = spark.createDataFrame(asked, "query_id int, m int, terms array<string>, weights array<double>")
+    rows = spark.createDataFrame([], "key long, n int, terms array<string>, values array<double>")
+    monkeypatch.setattr(scoring, "map_arrow", lambda rows, run, schema: run)
+    run = scoring.best_pairs(rows, asked, 3, lambda sums, n, m: sums / n, 10)
+    n = 2000
+    lists = lambda values: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * 512, values)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([512.0] * n), lists(pa.array(names * n)), lists(pa.array(np.ones(512 * n)))], names=["key", "n", "terms", "values"])
+    tracemalloc.start()
+    found = [len(x) for x in run(iter([batch]))]
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sum(found) >= 256 * 3 and most < 300  # MB; 665 if all are laid against the block at once
+
+
+def test_long_texts_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_TOKENS", 7)
+    monkeypatch.setattr(scoring, "CHUNK_TERMS", 3)
+    monkeypatch.setattr(scoring, "CHUNK_VALUES", 5)
+    rng = random.Random(8)
+    docs = [(i, made(rng, rng.randrange(0, 40))) for i in range(60)]
+    asked = {q: made(rng, 12) for q in range(9)}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").coalesce(2)
+    queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id int, query string")
+    for kind, search in (("bm25", retrieval.bm25_search), ("jaccard", retrieval.jaccard_search)):
+        got = {(r.query_id, r["rank"]): (r.key, round(r.score, 6)) for r in search(rows, queries, 4).collect()}
+        want = loop(docs, asked, 4, kind)
+        assert got.keys() == want.keys()
+        assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
