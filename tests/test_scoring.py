@@ -114,3 +114,64 @@ def test_long_texts_are_counted_in_parts(spark, monkeypatch):
         want = loop(docs, asked, 4, kind)
         assert got.keys() == want.keys()
         assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+
+
+def copies(rng):
+    """Documents that share keys: whole copies, equal lengths with other words, others; some without a key."""
+    docs = [(i // 3, made(rng, rng.choice((20, 20, 33)))) for i in range(120)]
+    docs += [docs[i] for i in range(0, 60, 4)] + [(None, made(rng, 15)) for _ in range(9)]
+    docs += [(100 + i, made(rng, rng.randrange(0, 40))) for i in range(60)]
+    rng.shuffle(docs)
+    return docs
+
+
+def by_sql(docs, asked):
+    """Hits of both searches by the queries' SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", [(i, " ".join(w)) for i, w in docs])
+        db.executemany("INSERT INTO benchmark VALUES (?, ?)", [(q, " ".join(w)) for q, w in asked.items()])
+        return {kind: db.execute(__spark_entry__.oracle_sql()[f"{kind}_search"]).fetchall() for kind in ("bm25", "jaccard")}
+
+
+def test_documents_that_share_a_key_score_as_by_sql(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_TERMS", 60)
+    monkeypatch.setattr(scoring, "TASK_TERMS", 400)
+    rng = random.Random(12)
+    docs, asked = copies(rng), {q: made(rng, rng.randrange(1, 30)) for q in range(15)}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id long, query string")
+    for kind, hits in by_sql(docs, asked).items():
+        search = {"bm25": retrieval.bm25_search, "jaccard": retrieval.jaccard_search}[kind]
+        got = [tuple(r) for r in search(rows, queries, 10).select("query_id", "key", "rank", "score").collect()]
+        key = lambda r: (r[0], r[2])
+        # Of rows of one key the SQL leaves nulls last among equals, and copies of a key open.
+        want = {key(r): r for r in hits}
+        assert {key(r) for r in got} == want.keys()
+        assert all(abs(r[3] - want[key(r)][3]) < 2e-6 for r in got)
+        tied = Counter((r[0], r[3]) for r in hits)
+        assert all(r[1] == want[key(r)][1] for r in got if tied[r[0], want[key(r)][3]] == 1)
+
+
+@pytest.mark.parametrize("kind", ["bm25", "jaccard"])
+def test_pairs_of_documents_that_share_a_key_are_not_shuffled(spark, monkeypatch, kind):
+    docs = spark.range(4000).select((F.col("id") % 2000).alias("doc_id"), F.concat(F.lit("the same words "), F.repeat(F.lit("x "), (F.col("id") % 50).cast("int"))).alias("text")).coalesce(2)
+    asked = spark.range(30).select(F.col("id").alias("query_id"), F.lit("the words").alias("query"))
+    seen, ranked = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, *more: seen.append(scored.count()) or ranked(scored, *more))
+    hits = {"bm25": retrieval.bm25_search, "jaccard": retrieval.jaccard_search}[kind](docs, asked, 3)
+    assert hits.count() == 30 * 3 and seen[0] <= 8 * 30 * 3  # of 60,000
+
+
+def test_a_frequent_key_is_added_up_before_it_is_shuffled(spark, monkeypatch):
+    held = []
+    whole = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a: held.append(self.count()) or whole(self, *a))
+    rows = spark.range(0, 6000, 1, 3).select(F.lit(None).cast("long").alias("key"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id") % 4)).alias("terms"), F.array(F.lit(1), F.lit(2)).alias("values"))
+    got = [(r.key, dict(zip(r.terms, r["values"], strict=True))) for r in scoring.added_up(rows, "key").collect()]
+    assert got == [(None, {"a": 6000.0} | {f"b{i}": 3000.0 for i in range(4)})]
+    assert held == [3]
